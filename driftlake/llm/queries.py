@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import sentencepiece_bpe
+from driftlake.llm import imatch, mixing, quality_rules, sentencepiece_bpe, sharding
 from driftlake.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
@@ -16,7 +16,31 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), model_file)
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # which rule rejected first depends on measured costs, so that column stays with the operator
+    return quality_rules.assess(table(spark, sf_dir, "documents")).drop("rejected_by", "n_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_imatch": op6_imatch,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLE: dict[str, str] = {
+    "op7_mix_sources": mixing.QUERY_SQL,
+    "op9_quality_rules": quality_rules.QUERY_SQL,
 }
-ORACLE: dict[str, str] = {}
