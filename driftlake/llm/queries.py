@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import imatch, mixing, quality_rules, sentencepiece_bpe, sharding
+from driftlake.llm import imatch, mixing, quality_rules, sentencepiece_bpe, sharding, warc
 from driftlake.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
@@ -33,12 +33,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("rejected_by", "n_lines")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_imatch": op6_imatch,
     "op7_mix_sources": op7_mix_sources,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {
     "op7_mix_sources": mixing.QUERY_SQL,
