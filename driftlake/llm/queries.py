@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import imatch, mixing, quality_rules, sentencepiece_bpe, sharding, warc
+from driftlake.llm import imatch, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, warc
 from driftlake.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), model_file)
 
@@ -38,6 +42,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_imatch": op6_imatch,
     "op7_mix_sources": op7_mix_sources,
