@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import imatch, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, warc
+from driftlake.llm import imatch, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, substring_dedup, warc
 from driftlake.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
@@ -20,6 +20,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), model_file)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_imatch": op6_imatch,
     "op7_mix_sources": op7_mix_sources,
     "op8_hilbert_shards": op8_hilbert_shards,
