@@ -56,7 +56,7 @@ def test_trie_search_stays_in_its_context():
     assert t.find(np.array([9, 4, 2**63], np.uint64)).tolist() == [1, -1, 2]
     got = t.follow(np.array([0, 0, 1, 2, 2, -1]), np.array([5, 6, 5, 5, 8, 5], np.uint64))
     p = [2.5 / 5, 0, 0, 0.5 / 2, 0, 0]
-    assert [0 if c == lm_score.ZERO else 10 ** (-c / lm_score.STEP) for c in got] == pytest.approx(p, rel=1e-3)
+    assert [0 if c == lm_score.ZERO else 10 ** (-int(c) / lm_score.STEP) for c in got] == pytest.approx(p, rel=1e-3)
 
 
 def test_probabilities_sum_to_one():
@@ -65,5 +65,5 @@ def test_probabilities_sum_to_one():
     t = lm_score.Trie(lm_score.Trie.build(words, count, np.array([0, 3, 3, 3, 3, 3]), np.array([1, 2, 4], np.uint64), np.array([2, 2, 1]), 0.6, 4.0))
     p1 = np.append(count + 0.5, 0.5) / (15 + 0.5 * 6)
     seen = t.follow(np.zeros(6, int), np.array([1, 2, 3, 4, 5, 6], np.uint64))
-    p = np.where(seen < lm_score.ZERO, 10 ** (-seen / lm_score.STEP), 0) + 10 ** (-t.back[0] / lm_score.STEP) * p1
+    p = np.where(seen < lm_score.ZERO, 10 ** (-seen.astype(float) / lm_score.STEP), 0) + 10 ** (-float(t.back[0]) / lm_score.STEP) * p1
     assert p.sum() == pytest.approx(1, abs=1e-3)
