@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import imatch, lm_score, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, substring_dedup, warc
+from driftlake.llm import html_extract, imatch, lm_score, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, substring_dedup, warc
 from driftlake.llm.tables import table
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_lm_score": op3_lm_score,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
