@@ -8,7 +8,7 @@ documents as compressed Arrow data, is shuffled once by its number, and meets th
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -22,9 +22,9 @@ BATCH_BYTES = 4 << 20  # of text in a batch; a longer text is a batch of its own
 SHARD_CHARS = 16 << 20  # of text for each shard of an index
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, payload): all rows' ids and texts, dealt out by batch."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def packed(docs: DataFrame, id_col: str, text_col: str, others: Sequence[str] = ()) -> DataFrame:
+    """(batch, payload): all rows' ids, texts and other columns (o0, o1, ...), dealt out by batch."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from driftlake.llm import kernels
@@ -60,7 +60,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def unpacked(payload) -> pa.Table:
-    """The batch's ids and texts, in order."""
+    """The batch's rows, in order."""
     return pa.ipc.open_stream(zstandard.decompress(payload)).read_all()
 
 

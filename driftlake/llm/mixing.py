@@ -116,6 +116,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself, with docs' columns: a row for each time that a document is drawn, up to max_epochs times, and
+    cut to its first words where the source's last block ends within it.  Ids are taken to name documents: rows of one
+    id, source and size share a text."""
+    all_docs, got = pieces(docs, id_col, text_col, source_col, weights, slots, max_epochs)
+    draws = got.groupBy("_rank", "_start", "_id", "_size", "_epoch").agg(F.sum("_words").alias("_take"))
+    names = all_docs.select(F.col("_rank").alias("r"), F.col("_source").alias("_src")).distinct()
+    draws = draws.join(F.broadcast(names), F.col("_rank") == F.col("r")).select("_id", "_src", F.col("_size").alias("_n"), "_take")  # a row for each source
+    texts = docs.withColumn("_w", F.size(words(F.col(text_col))).cast("long")).dropDuplicates([id_col, source_col, "_w"])
+    drawn = texts.join(draws, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_w") == F.col("_n")))
+    cut = F.array_join(F.slice(words(F.col(text_col)), 1, F.col("_take").cast("int")), " ")
+    drawn = drawn.withColumn(text_col, F.when(F.col("_take") < F.col("_w"), cut).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        drawn = drawn.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return drawn.select(docs.columns)
+
+
 QUERY_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS ord FROM documents),

@@ -17,6 +17,7 @@ if they are long enough; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,17 +113,28 @@ def finish(window: int, shards: int, texts_too: bool):
             kept.append(view[place[a] : place[b] - 1] if b > a else b"")
         cols = {"id": docs.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(left), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         if texts_too:
-            cols["kept_text"] = pa.array([k.decode() for k in kept], pa.string())
+            removed = (n - np.diff(left)).tolist()
+            cols["kept_text"] = pa.array([k.decode() if r else (t or "") for k, r, t in zip(kept, removed, docs.column("text").to_pylist())], pa.string())
+        cols |= {c: docs.column(c) for c in docs.column_names[2:]}
         return pa.table(cols)
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """For every row: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and with texts=True that
-    text as kept_text."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False, others: Sequence[str] = ()) -> DataFrame:
+    """For every row: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space), with texts=True also
+    kept_text (the text itself if nothing is removed, else the kept words joined by one space), and `others`."""
     shards = batches.shards_for(docs, text_col)
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    out = batches.exchange(batches.packed(docs, id_col, text_col), ask(window, shards), answer, finish(window, shards, texts), schema)
-    return out.withColumnRenamed("id", id_col)
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"id {kind[id_col]}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "") + "".join(f", o{i} {kind[c]}" for i, c in enumerate(others))
+    out = batches.exchange(batches.packed(docs, id_col, text_col, others), ask(window, shards), answer, finish(window, shards, texts), schema)
+    return out.withColumnsRenamed({"id": id_col, **{f"o{i}": c for i, c in enumerate(others)}})
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeated passages taken out of text_col; its other columns stay (n_chars, if there, follows the text)."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = dedup(docs, id_col, text_col, texts=True, others=others).drop("n_words", "n_removed", "kept_sha256").withColumnRenamed("kept_text", text_col)
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)

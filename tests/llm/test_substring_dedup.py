@@ -13,13 +13,13 @@ def brute(rows, k=35):
     docs = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + k]) for w in docs for i in range(len(w) - k + 1))
     out = []
-    for (d, _), w in zip(rows, docs):
+    for (d, text), w in zip(rows, docs):
         gone = set()
         for i in range(len(w) - k + 1):
             if seen[tuple(w[i : i + k])] > 1:
                 gone |= set(range(i, i + k))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept if gone else text or ""))
     return sorted(out, key=str)
 
 
