@@ -7,10 +7,11 @@ Registers of different minima may still be equal, so the estimate subtracts that
 verified on their full sets of 64-bit shingle hashes.
 
 No group is ever expanded into all its pairs.  First each vertex is compared with the least member of each of its bands
-and its best estimate is verified; what is then one component needs no more links.  In bands that still hold
-several components, blocks of members are compared by registers: first the best partners of each member are
-verified, then whatever pair still spans two components.  A pair at similarity 0.75 shares no band with
-probability (1 - 0.75**4)**32, about 5e-6; at 0.8 it is 5e-8.
+and its best estimate is verified; what is then one component needs no more links.  Bands that still hold several
+components are compared by registers, block by block, and give as few weak links as join what is estimated
+alike; the families that these make are compared on their full sets, block by block, and give as few links as join
+what is similar.  So links, candidates and messages grow with the number of members, and no task holds more than two
+blocks.  A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32, about 5e-6; at 0.8 it is 5e-8.
 
 Defined cases: null and empty texts and texts without words have size 0 and are linked with nothing; texts of one to
 four words are one shingle; equal rows are linked; a component's id is its least document id (nulls aside).
@@ -23,7 +24,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlake.llm import kernels
@@ -34,7 +35,8 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 9
 PER_CENT = 75
 MARGIN = 0.19  # five standard deviations of an estimate at 0.75 from 128 registers
-BLOCK = 512  # members of a band that are compared at a time
+BLOCK = 512  # members of a band whose registers are compared at a time
+SET_BLOCK = 256  # members of a family whose full sets are
 BROADCAST_IDS = 1_000_000  # ids; beyond it texts are fetched by a shuffle
 
 _SEEDS = kernels.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -55,6 +57,11 @@ def shingle_sets(values: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield kernels.windows(w.hashes[a:b], b - a) if b > a else np.empty(0, np.uint64)
 
 
+def _name(s: np.ndarray) -> int:
+    """64 bits that name a set: two different sets among n share them with probability n * n / 2**65."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """uint16[len(sets), REGISTERS] of non-empty sets: leading zeros above, mantissa bits below."""
     out = np.empty((len(sets), REGISTERS), np.uint64)
@@ -97,7 +104,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 keys = registers(full).view(np.int64) if full else np.empty((0, REGISTERS // BAND), np.int64)
                 has = np.array([len(s) > 0 for s in sets])
-                vid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
+                vid = [_name(s) if len(s) else None for s in sets]
                 ends = np.concatenate(([0], np.cumsum(has) * keys.shape[1])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(vid, pa.int64()), lists], names=["id", "n", "vid", "keys"])
@@ -126,22 +133,27 @@ def _estimated(pairs: DataFrame, verts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, est double")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    needed = kept(pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct().join(verts.select("vid", "id"), "vid"))
-    few = needed.count() <= BROADCAST_IDS
-    ids = needed.select(F.col("id").alias("_need")).distinct()
+def _sets(vids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(vid, set) of the vertices (vid, id): the texts are fetched by id and their sets made anew."""
+    few = vids.count() <= BROADCAST_IDS
+    ids = vids.select(F.col("id").alias("_need")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(ids) if few else ids, texts["id"].eqNullSafe(ids["_need"]), "left_semi").select("text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 got = [s for s in shingle_sets(whole.column(0).slice(at, 500)) if len(s)]
-                vid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in got]
-                yield pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["vid", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["vid", "set"])
 
-    full = texts.mapInArrow(sets, "vid long, set binary").join(F.broadcast(needed.select("vid")) if few else needed.select("vid"), "vid", "left_semi").dropDuplicates(["vid"])
+    names = vids.select("vid")
+    return texts.mapInArrow(run, "vid long, set binary").join(F.broadcast(names) if few else names, "vid", "left_semi").dropDuplicates(["vid"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    needed = kept(pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct().join(verts.select("vid", "id"), "vid"))
+    full = _sets(needed, docs, id_col, text_col)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -180,35 +192,83 @@ def _open_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
     return kept(named.join(mixed, "bucket"))
 
 
-def _spanning(open_bands: DataFrame, verts: DataFrame, least: float, best: int | None) -> DataFrame:
-    """Pairs (a, b, est) of band members in different components; `best` keeps each member's best partners in a block.
-    A band is compared block by block: a task never holds more than two blocks of members."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = open_bands.withColumn("c", F.pmod(F.xxhash64("vid"), blocks)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    rows = rows.select("bucket", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "vid", "comp").join(verts.select("vid", "n", "keys"), "vid")
+def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, size, vid, ...) once for each pair (lo, hi) of blocks of their group; c is a row's own block."""
+    n = F.ceil(F.col("size") / block)
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("vid"), n)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))))
+    return rows.select(group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "vid", "comp", "c")
+
+
+def _joined(label: np.ndarray, vid: np.ndarray, i: int, others: np.ndarray) -> list[tuple[int, int]]:
+    """Joins i's part with the parts of others; one link for each part that was apart."""
+    links = []
+    parts, at = np.unique(label[others], return_index=True)
+    for part, k in zip(parts, at):
+        if part != label[i]:
+            links.append((vid[i], vid[others[k]]))
+            label[label == part] = label[i]
+    return links
+
+
+def _links(links: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _families(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join what is estimated at `least` or more within a band: as few as join the same vertices, so their
+    number grows with the band's members.  Components count as joined already."""
+    rows = _blocks(open_bands, "bucket", BLOCK).join(verts.select("vid", "n", "keys"), "vid")
 
     def compare(t: pa.Table) -> pa.Table:
         vid, comp, n, c = (t.column(x).to_numpy() for x in ("vid", "comp", "n", "c"))
         regs = _matrix(t.column("keys").combine_chunks())
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        right = np.flatnonzero(c == hi)
-        found = []
+        label = np.unique(comp, return_inverse=True)[1]
+        right, links = np.flatnonzero(c == hi), []
         for i in np.flatnonzero(c == lo):
-            others = right[comp[right] != comp[i]]
+            others = right[label[right] != label[i]]
             if len(others):
                 est = estimate(regs[i], regs[others], float(n[i]), n[others].astype(float))
-                good = np.flatnonzero(est >= least)
-                if best is not None and len(good) > best:
-                    good = good[np.argpartition(-est[good], best)[:best]]
-                found += [(min(vid[i], vid[o]), max(vid[i], vid[o]), e) for o, e in zip(others[good], est[good])]
-        a, b, e = zip(*found) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "est": pa.array(e, pa.float64())})
+                links += _joined(label, vid, i, others[est >= least])
+        return _links(links)
+
+    return kept(rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct())
+
 
-    pairs = rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, est double").dropDuplicates(["a", "b"])
-    if best is None:
-        return pairs
-    w = lambda s: Window.partitionBy(s).orderBy(F.col("est").desc(), F.col("b" if s == "a" else "a"))
-    return pairs.withColumn("ra", F.row_number().over(w("a"))).withColumn("rb", F.row_number().over(w("b"))).filter((F.col("ra") <= best) | (F.col("rb") <= best)).drop("ra", "rb")
+def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that join the members of a family (family, size, vid, comp) whose full sets are similar enough, again as
+    few as join the same vertices.  Sets meet as rows of a 0/1 matrix, whose products are the sizes of intersections."""
+    rows = _blocks(families, "family", SET_BLOCK).join(sets, "vid")
+
+    def compare(t: pa.Table) -> pa.Table:
+        vid, comp, c = (t.column(x).to_numpy() for x in ("vid", "comp", "c"))
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        size = np.array([len(s) for s in full])
+        left, right = np.flatnonzero(c == t.column("lo")[0].as_py()), np.flatnonzero(c == t.column("hi")[0].as_py())
+        names, place = np.unique(np.concatenate(full), return_inverse=True)
+        common = np.flatnonzero(np.bincount(place) > 1)  # a shingle of one set is in no intersection
+        row = np.repeat(np.arange(len(full)), size)
+        at = np.full(len(names), -1)
+        at[common] = np.arange(len(common))
+        col = at[place]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(left), len(right)), np.float32)  # exact: counts below 2**24
+        for a in range(0, len(common), 4096):
+            lo, hi = np.searchsorted(col, [a, a + 4096])
+            m = np.zeros((len(full), 4096), np.float32)
+            m[row[lo:hi], col[lo:hi] - a] = 1
+            both += m[left] @ m[right].T
+        both = both.astype(np.int64)
+        near = 100 * both >= per_cent * (size[left][:, None] + size[right][None, :] - both)
+        label, links = np.unique(comp, return_inverse=True)[1], []
+        for k, i in enumerate(left):
+            others = right[near[k]]
+            links += _joined(label, vid, i, others[label[others] != label[i]])
+        return _links(links)
+
+    return kept(rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
@@ -223,19 +283,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.filter("lead <> vid").select(F.least("lead", "vid").alias("a"), F.greatest("lead", "vid").alias("b"), "vid").distinct()
     scored = _estimated(stars.select("a", "b").distinct(), verts, least)
     each = stars.join(scored, ["a", "b"]).groupBy("vid").agg(F.max(F.struct("est", "a", "b")).alias("top"))
-    tested = kept(each.select("top.a", "top.b").distinct())
-    edges = _verified(tested, docs, verts, id_col, text_col, per_cent)
+    edges = _verified(kept(each.select("top.a", "top.b").distinct()), docs, verts, id_col, text_col, per_cent)
     labels = components(edges)
-    for best in (2, None):
-        still = _open_bands(members.select("bucket", "vid"), labels)
-        if still.isEmpty():
-            break
-        pairs = kept(_spanning(still, verts, least, best).join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        if pairs.isEmpty():
-            continue
-        more = _verified(pairs, docs, verts, id_col, text_col, per_cent)
-        tested, edges = tested.union(pairs), kept(edges.union(more))
-        labels = components(edges)
+    still = _open_bands(members.select("bucket", "vid"), labels)
+    if not still.isEmpty():
+        weak = _families(still, verts, least)
+        if not weak.isEmpty():
+            family = components(edges.select("a", "b").union(weak)).select("vid", F.col("comp").alias("family"))
+            mixed = family.join(labels, "vid", "left").select("family", "vid", F.coalesce("comp", "vid").alias("comp"))
+            sizes = mixed.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("family", "size")
+            apart = kept(mixed.join(sizes, "family").join(verts.select("vid", "id"), "vid"))
+            more = _exact_links(apart.drop("id"), _sets(apart.select("vid", "id"), docs, id_col, text_col), per_cent)
+            labels = components(edges.union(more))
 
     named = verts.select("vid", "id").join(labels, "vid", "left").select("vid", "id", F.coalesce("comp", "vid").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
