@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+from driftlake.plans import imaging  # noqa: E402,F401  registers its queries
