@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from driftlake.plans import imaging  # noqa: E402,F401  registers its queries
+from driftlake.plans import catalog, imaging, records  # noqa: E402,F401  register their queries
