@@ -122,7 +122,7 @@ def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.fold_captures(entries(spark, sf_dir), rows)[0].select("id", "url", "parent")
 
 
-HASHED = "concat('{\"url\":\"', url, '\",\"mask\":[', {mask}, '],\"waitFor\":\"load\",\"fullPage\":', CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END, ',\"subName\":', {sub}, ',\"hooks\":1}}')"
+HASHED = "concat('{{\"url\":\"', url, '\",\"mask\":[', {mask}, '],\"waitFor\":\"load\",\"fullPage\":', CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END, ',\"subName\":', {sub}, ',\"hooks\":1}}')"
 HASHED_SQL = HASHED.format(mask="CASE WHEN page_id % 3 = 0 THEN '\".ad\",\".clock\"' ELSE '' END", sub=f"CASE WHEN {DERIVED} AND instr(id, '__') > 0 THEN concat('\"', substr(id, instr(id, '__') + 2), '\"') ELSE 'null' END")
 
 

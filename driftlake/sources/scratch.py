@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir (a folder of our own only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='driftlake-')}")
+    return named or sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
