@@ -3,7 +3,7 @@
 Each source's documents are put in a fixed random order (MD5 of the id) and its words cut into blocks
 of equally many words.  Slot i of the mix draws source s where frac((i + 1/2) * golden ratio) falls into
 s's part of the cumulative targets; the k-th slot of a source takes the k-th block of its stream, which
-repeats at most `max_epochs` times.  A source's taken words come within a few blocks of its target.
+repeats at most `max_epochs` times; slots end where all words are shared out.  A source's taken words come within a few blocks of its target.
 
 Everything that is ordered is ordered within small groups (source and hash prefix) with offsets summed
 above them, so that a source with a third of all documents is not sorted in one task.  The number of slots is a
@@ -71,18 +71,19 @@ def schedule(sources: DataFrame, slots: int = SLOTS, max_epochs: int = MAX_EPOCH
     edges = sources.withColumn("_hi", F.sum("_target").over(everything.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)) / F.col("_total"))
     edges = edges.withColumn("_lo", F.coalesce(F.lag("_hi").over(everything.orderBy("_rank")), F.lit(0.0)))
     edges = edges.withColumn("_hi", F.when(F.col("_rank") == F.max("_rank").over(everything), F.lit(2.0)).otherwise(F.col("_hi")))
-    edges = edges.filter("_hi > _lo AND _total > 0").select("_rank", "_lo", "_hi", _most(slots, max_epochs).alias("_most"))
+    edges = edges.filter("_hi > _lo AND _total > 0").select("_rank", "_lo", "_hi", _most(slots, max_epochs).alias("_most"), (F.col("_total") / _block(slots)).alias("_used"))
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1)).cast("long")
     edges = edges.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
     points = sources.sparkSession.range(slots).select(F.col("id").alias("_slot"), ((F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)).alias("_x"))
     points = points.withColumn("_x", F.col("_x") - F.floor("_x")).withColumn("_cell", cell(F.col("_x")))
-    drawn = points.join(edges, "_cell").filter("_x >= _lo AND _x < _hi")
+    drawn = points.join(edges, "_cell").filter("_x >= _lo AND _x < _hi AND _slot < _used")
     k = F.row_number().over(Window.partitionBy("_rank").orderBy("_slot")) - 1
     return drawn.select("_rank", k.cast("long").alias("_k"), "_slot", "_most").filter("_k < _most").drop("_most")
 
 
 def _block(slots: int) -> Column:
-    return F.greatest(F.lit(1), F.expr(f"_total div {slots}"))
+    """Words in a block: as many as share all words out over at most `slots` slots."""
+    return F.greatest(F.lit(1), F.expr(f"(_total + {slots - 1}) div {slots}"))
 
 
 def _most(slots: int, max_epochs: int) -> Column:
@@ -143,11 +144,11 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN
              sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 g AS (SELECT *, (total - before) / rest AS level, cap <= weight * ((total - before) / rest) AS capped FROM f),
 h AS (SELECT *, CASE WHEN capped THEN cap ELSE weight * (SELECT arg_min(level, before) FROM g WHERE NOT capped) END AS target FROM g),
-e AS (SELECT *, greatest(1, total // {SLOTS}) AS block, sum(target) OVER (ORDER BY rank) / total AS hi0 FROM h),
+e AS (SELECT *, greatest(1, (total + {SLOTS - 1}) // {SLOTS}) AS block, sum(target) OVER (ORDER BY rank) / total AS hi0 FROM h),
 b AS (SELECT *, coalesce(lag(hi0) OVER (ORDER BY rank), 0) AS lo, CASE WHEN rank = max(rank) OVER () THEN 2 ELSE hi0 END AS hi FROM e),
 p AS (SELECT range AS slot, (range + 0.5::DOUBLE) * {GOLDEN}::DOUBLE - floor((range + 0.5::DOUBLE) * {GOLDEN}::DOUBLE) AS x FROM range({SLOTS})),
 k AS (SELECT rank, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k, floor(source_size * {MAX_EPOCHS} / block) AS most
-      FROM p JOIN b ON x >= lo AND x < hi WHERE total > 0),
+      FROM p JOIN b ON x >= lo AND x < hi WHERE total > 0 AND slot < total / block),
 n AS (SELECT rank, count(*) AS slots FROM k WHERE k < most GROUP BY rank),
 s AS (SELECT doc_id, d.source, size, ord, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT doc_id, size, source_size, target,
