@@ -78,7 +78,7 @@ cf AS (SELECT *, abs(delta) > {LIMIT} AS m, ex < band OR ex >= bw - band OR ey <
 @query("region_shapes", f"""{MEASURES_SQL}, g AS (SELECT frame, region, bw, bh, bx, "by", count(*) FILTER (m) AS n, count(*) FILTER (m) / (bw * bh)::DOUBLE AS fill,
  CASE WHEN count(*) FILTER (m) > 0 THEN count(*) FILTER (m AND onb) / (count(*) FILTER (m))::DOUBLE ELSE 0 END AS border,
  count(*) FILTER (m AND NOT onb) / (count(*) FILTER (NOT onb))::DOUBLE AS inner_fill, count(*) FILTER (m AND onc) / (count(*) FILTER (onc))::DOUBLE AS centre,
- count(DISTINCT y) FILTER (m) / bh::DOUBLE AS row_share, count(DISTINCT x) FILTER (m) / bw::DOUBLE AS column_share FROM cf GROUP BY ALL HAVING count(*) FILTER (m) > 0)
+ count(DISTINCT y) FILTER (m) / bh::DOUBLE AS row_share, count(DISTINCT x) FILTER (m) / bw::DOUBLE AS column_share FROM cf GROUP BY frame, region, bw, bh, bx, "by" HAVING count(*) FILTER (m) > 0)
 SELECT frame, region, round(fill, 6) AS fill, round(border, 6) AS border, round(inner_fill, 6) AS inner_fill, round(centre, 6) AS centre, round(row_share, 6) AS row_share, round(column_share, 6) AS column_share,
  CASE WHEN fill > 0.65 THEN 'solid-region' WHEN inner_fill < 0.2 AND (border > 0.6 OR (centre < 0.1 AND border > 0.3 AND fill < 0.5)) THEN 'contour-frame'
       WHEN fill < 0.3 AND border > 0.45 THEN 'edge-dominated' WHEN fill < 0.3 AND row_share > 0.7 AND column_share > 0.7 THEN 'sparse-distributed' ELSE 'mixed-region' END AS shape,
