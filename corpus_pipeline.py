@@ -31,8 +31,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix draws them: some sources' several times, others' in part."""
-    return mixing.mixed(docs)
+    """Documents as the mix draws them: some sources' several times, others' in part, each source up to its target."""
+    return mixing.mixed(docs, exact=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

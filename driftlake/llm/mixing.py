@@ -4,6 +4,9 @@ Each source's documents are put in a fixed random order (MD5 of the id) and its
 of equally many words.  Slot i of the mix draws source s where frac((i + 1/2) * golden ratio) falls into
 s's part of the cumulative targets; the k-th slot of a source takes the k-th block of its stream, which
 repeats at most `max_epochs` times; slots end where all words are shared out.  A source's taken words come within a few blocks of its target.
+Blocks grow with the corpus, so a source of few blocks can miss its target by all of it.  With `exact`, a source has as many blocks
+as its target needs and the last is trimmed: it gets its target, rounded up to a word, whatever the corpus's size.  Blocks
+without a slot of their own share slots at even distances.  (Where a block is one word the schedule itself decides.)
 
 Everything that is ordered is ordered within small groups (source and hash prefix) with offsets summed
 above them, so that a source with a third of all documents is not sorted in one task.  The number of slots is a
@@ -65,8 +68,9 @@ def _streams(sized: DataFrame) -> DataFrame:
     return d.join(sums, d["_source"].eqNullSafe(sums["_s"]) & (d["_group"] == sums["_g"])).withColumn("_start", F.col("_base") + F.col("_inner")).drop("_s", "_g", "_base", "_inner")
 
 
-def schedule(sources: DataFrame, slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def schedule(sources: DataFrame, slots: int = SLOTS, max_epochs: int = MAX_EPOCHS, exact: bool = False) -> DataFrame:
     """(_rank, _k, _slot): the k-th block of source _rank goes to slot _slot of the mix."""
+    block = _block(slots)
     everything = Window.partitionBy(F.lit(0))
     edges = sources.withColumn("_hi", F.sum("_target").over(everything.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)) / F.col("_total"))
     edges = edges.withColumn("_lo", F.coalesce(F.lag("_hi").over(everything.orderBy("_rank")), F.lit(0.0)))
@@ -78,7 +82,16 @@ def schedule(sources: DataFrame, slots: int = SLOTS, max_epochs: int = MAX_EPOCH
     points = points.withColumn("_x", F.col("_x") - F.floor("_x")).withColumn("_cell", cell(F.col("_x")))
     drawn = points.join(edges, "_cell").filter("_x >= _lo AND _x < _hi AND _slot < _used")
     k = F.row_number().over(Window.partitionBy("_rank").orderBy("_slot")) - 1
-    return drawn.select("_rank", k.cast("long").alias("_k"), "_slot", "_most").filter("_k < _most").drop("_most")
+    drawn = drawn.select("_rank", k.cast("long").alias("_k"), "_slot", "_most")
+    if not exact:
+        return drawn.filter("_k < _most").drop("_most")
+    needs = F.ceil(_quota() / block)
+    wanted = sources.filter("_target > 0").select("_rank", block.alias("_block"), needs.alias("_n"), F.ceil(F.col("_total") / block).alias("_used"))
+    coarse = wanted.filter("_block > 1").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    even = F.floor((F.col("_k") + F.lit(0.5)) / F.col("_n") * F.col("_used"))
+    coarse = coarse.join(drawn.drop("_most"), ["_rank", "_k"], "left").select("_rank", "_k", F.coalesce("_slot", even).alias("_slot"))
+    fine = drawn.filter("_k < _most").join(wanted.filter("_block = 1").select("_rank"), "_rank", "left_semi")
+    return fine.drop("_most").unionByName(coarse)
 
 
 def _block(slots: int) -> Column:
@@ -91,7 +104,12 @@ def _most(slots: int, max_epochs: int) -> Column:
     return F.floor(F.col("_source_size") * max_epochs / _block(slots))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
+def _quota() -> Column:
+    """A source's target in whole words."""
+    return F.ceil("_target").cast("long")
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents with sizes and targets, and the taken pieces: (_ord, _id, _start, _rank, _size, _epoch, _slot, _words)."""
     sized = _sized(docs, id_col, text_col, source_col)
     totals = sized.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
@@ -103,8 +121,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     copies = copies.withColumn("_block", _block(slots)).withColumn("_from", F.col("_start") + F.col("_epoch") * F.col("_source_size"))
     copies = copies.withColumn("_k", F.explode(F.sequence(F.expr("_from div _block"), F.expr("(_from + _size - 1) div _block"))))
     overlap = F.least(F.col("_from") + F.col("_size"), (F.col("_k") + 1) * F.col("_block")) - F.greatest(F.col("_from"), F.col("_k") * F.col("_block"))
+    if exact:
+        beyond = F.greatest(F.lit(0), F.least(F.col("_from") + F.col("_size"), (F.col("_k") + 1) * F.col("_block")) - _quota())
+        overlap = F.when(F.col("_block") > 1, overlap - beyond).otherwise(overlap)
     copies = copies.select("_ord", "_id", "_start", "_rank", "_size", "_epoch", "_k", overlap.alias("_words"))
-    return all_docs, copies.join(schedule(sources, slots, max_epochs), ["_rank", "_k"])
+    if exact:
+        copies = copies.filter("_words > 0")
+    return all_docs, copies.join(schedule(sources, slots, max_epochs, exact), ["_rank", "_k"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -117,11 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), slots: int = SLOTS, max_epochs: int = MAX_EPOCHS, exact: bool = False) -> DataFrame:
     """The mix itself, with docs' columns: a row for each time that a document is drawn, up to max_epochs times, and
     cut to its first words where the source's last block ends within it.  Ids are taken to name documents: rows of one
     id, source and size share a text."""
-    all_docs, got = pieces(docs, id_col, text_col, source_col, weights, slots, max_epochs)
+    all_docs, got = pieces(docs, id_col, text_col, source_col, weights, slots, max_epochs, exact)
     draws = got.groupBy("_rank", "_start", "_id", "_size", "_epoch").agg(F.sum("_words").alias("_take"))
     names = all_docs.select(F.col("_rank").alias("r"), F.col("_source").alias("_src")).distinct()
     draws = draws.join(F.broadcast(names), F.col("_rank") == F.col("r")).select("_id", "_src", F.col("_size").alias("_n"), "_take")  # a row for each source
