@@ -1,13 +1,18 @@
 """I-Match fingerprints, in DataFrame expressions only.
 
-Terms are lower-cased words.  The lexicon holds the terms that occur in a chosen band of document shares; it has at most
-(mean distinct terms of a document) / (least share) terms however large the corpus is, which is why it can be
-broadcast once that size is checked.  A document keeps its distinct lexicon terms and hashes several randomised
+Terms are lower-cased words.  The lexicon holds the terms that occur in a chosen band of shares of distinct texts, so that
+exact copies count once; it has at most (mean distinct terms of a text) / (least share) terms however large the corpus
+is, which is why it can be broadcast once that size is checked.  A document keeps its distinct lexicon terms and hashes several randomised
 lexicon subsets: the subsets of level l hold each term with probability 4**-l.  A subset's hash is the exclusive or of
 its terms' hashes, which like a hash over the sorted list depends on the set alone.  Sparse subsets survive
 an edit that changes many terms, dense ones tell near copies apart.
 
-A fingerprint is 16 hex digits for all terms and 16 for each subset ('-' for an empty one), joined by commas.
+Near copies by the third of all rows still lift all their terms out of the band, and other documents hold only rare or
+common terms.  So every document also hashes the same subsets of all its terms; likeness uses those where one of the
+two documents has fewer than FEW lexicon terms.
+
+A fingerprint is 16 hex digits for all terms, 16 for each lexicon subset ('-' for an empty one, and for all of a document
+with fewer than FEW lexicon terms) and 16 for each subset of all terms, joined by commas.
 
 The edited text of a document needs the next document in descending id order.  Rows are dealt into id
 ranges once; the largest id of each range is copied to the range above, so every step after that (next text, terms,
@@ -28,7 +33,9 @@ from driftlake.llm.tables import kept, parts
 BAND = (0.001, 0.2)  # shares of documents between which a term is in the lexicon
 LEVELS = (1, 2, 3, 4)
 SEEDS = 10
+FEW = 8  # lexicon terms below which a document is compared by all its terms
 BROADCAST_TERMS = 2_000_000  # beyond it the lexicon is joined by a shuffle
+BROADCAST_COPIES = 1_000_000  # likewise for the texts that have copies
 
 
 def terms(text: Column) -> Column:
@@ -36,10 +43,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """Hashes of the terms whose share of documents lies in the band."""
-    n = docs.count()
-    each = docs.select(F.explode(terms(F.col(text_col))).alias("t")).select(F.xxhash64("t").alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))).select("term")
+    """Hashes of the terms whose share of distinct texts lies in the band."""
+    named = docs.select(F.unhex(F.md5(F.col(text_col))).alias("md5"), F.col(text_col).alias("text"))
+    copied = kept(named.groupBy("md5").agg(F.count("*").alias("rows")).filter("md5 IS NOT NULL AND rows > 1"))
+    groups, again = copied.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()
+    n = docs.count() - again
+    each = named.join(F.broadcast(copied) if groups <= BROADCAST_COPIES else copied, "md5", "left")
+    each = each.select((F.lit(1.0) / F.coalesce("rows", F.lit(1))).alias("weight"), F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("term"), "weight")
+    # the copies of a text weigh 1 together: the sum is a whole number but for rounding
+    return each.groupBy("term").agg(F.round(F.sum("weight")).alias("df")).filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))).select("term")
 
 
 def _subsets() -> list[tuple[int, int]]:
@@ -51,32 +63,45 @@ def _odd(seed: int) -> int:
     return (0x9E3779B97F4A7C15 * (2 * seed + 3) % (1 << 63)) | 1
 
 
-def subset_hashes(term: Column, listed: Column) -> list[Column]:
-    """Aggregates over a document's distinct terms: the hash of each randomised lexicon subset."""
+def subset_hashes(term: Column, known: Column) -> list[Column]:
+    """Aggregates over a document's distinct terms: the hash of each randomised subset, of the lexicon's (known, null for
+    others) and of all terms."""
     made = []
     for level, seed in _subsets():
-        h = F.xxhash64(term, F.lit(seed))
-        made.append(F.bit_xor(F.when(listed & (F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(4**level - 1)) == 0), term)).alias(f"s{level}_{seed}"))
+        chosen = F.shiftrightunsigned(F.xxhash64(term, F.lit(seed)), 40).bitwiseAND(F.lit(4**level - 1)) == 0
+        made += [F.bit_xor(F.when(chosen, known)).alias(f"s{level}_{seed}"), F.bit_xor(F.when(chosen, term)).alias(f"a{level}_{seed}")]
     return made
 
 
-def fingerprint(own: Column) -> Column:
+def fingerprint(own: Column, listed: Column) -> Column:
+    """Of the subsets' hashes and the number of lexicon terms."""
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    return F.lower(F.concat_ws(",", hexed(F.coalesce(own, F.lit(0))), *[F.coalesce(hexed(F.col(f"s{a}_{b}")), F.lit("-")) for a, b in _subsets()]))
+    shown = lambda kind: [F.coalesce(hexed(F.col(f"{kind}{a}_{b}")), F.lit("-")) for a, b in _subsets()]
+    known = F.when(listed >= FEW, F.concat_ws(",", *shown("s"))).otherwise(",".join("-" * len(_subsets())))
+    return F.lower(F.concat_ws(",", hexed(F.coalesce(own, F.lit(0))), known, *shown("a")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints, 0 to 1: the share of equal subset hashes among those that either has, at the sparsest level
-    at which at least half of the subsets have terms (at level 1 if none does).  There it estimates the share of terms in common."""
-    x, y = F.split(a, ","), F.split(b, ",")
+def _alike(x: Column, y: Column, start: int) -> Column:
+    """Of the subset hashes from position `start` on."""
     value: Column = F.lit(None).cast("double")
     for level in LEVELS:
-        at = 2 + LEVELS.index(level) * SEEDS
+        at = start + LEVELS.index(level) * SEEDS
         pairs = F.arrays_zip(F.slice(x, at, SEEDS).alias("x"), F.slice(y, at, SEEDS).alias("y"))
         some = F.size(F.filter(pairs, lambda p: (p["x"] != "-") | (p["y"] != "-")))
         same = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != "-")))
         here = F.when(some > 0, same / some)
         value = F.coalesce(here if level == LEVELS[0] else F.when(some * 2 >= SEEDS, here), value)
+    return F.coalesce(value, F.lit(0.0))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints, 0 to 1: the share of equal subset hashes among those that either has, at the sparsest level
+    at which at least half of the subsets have terms (at level 1 if none does).  There it estimates the share of terms in
+    common: of lexicon terms if both documents have enough of them, else of all terms."""
+    x, y = F.split(a, ","), F.split(b, ",")
+    width = len(_subsets())
+    known = lambda z: F.exists(F.slice(z, 2, width), lambda h: h != "-")
+    value = F.when(known(x) & known(y), _alike(x, y, 2)).otherwise(_alike(x, y, 2 + width))
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
@@ -119,9 +144,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # at most (mean distinct terms) / band[0] terms, whatever the corpus holds; still, the count decides
     each = each.join(F.broadcast(known) if words.count() <= BROADCAST_TERMS else known, each["term"] == known["known"], "left")
     one = each.groupBy("r", "nth", "e").agg(
-        F.first("id").alias("id"), F.first("copy").alias("copy"), F.first("n").alias("n"), F.first("sha").alias("sha"), F.bit_xor("term").alias("own"), *subset_hashes(F.col("term"), F.col("known").isNotNull())
+        F.first("id").alias("id"), F.first("copy").alias("copy"), F.first("n").alias("n"), F.first("sha").alias("sha"), F.bit_xor("term").alias("own"), F.count("known").alias("listed"), *subset_hashes(F.col("term"), F.col("known"))
     )
-    one = one.select("r", "nth", "e", "id", "copy", "n", "sha", fingerprint(F.col("own")).alias("fp"))
+    one = one.select("r", "nth", "e", "id", "copy", "n", "sha", fingerprint(F.col("own"), F.col("listed")).alias("fp"))
     doc = one.groupBy("r", "nth").agg(
         F.max("id").alias("id"), F.max("copy").alias("copy"), F.max("n").alias("n"), F.max("sha").alias("sha"), F.max(F.when(F.col("e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("fp"))).alias("fe")
     )
