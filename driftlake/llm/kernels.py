@@ -1,8 +1,8 @@
 """NumPy kernels over the bytes of an Arrow string column.
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``; the separators are ASCII, so words can be
-found on UTF-8 bytes.  Words and word windows are named by 64-bit hashes: polynomials over
-2**64 read off prefix sums, then finalised, so that a batch costs a few passes over its bytes and no
+found on UTF-8 bytes.  Words and word windows are named by 64-bit hashes, made of non-linear mixing steps alone
+(sums or polynomials modulo 2**64 cancel on regular texts), so that a batch costs a few passes over its words and no
 Python object per word.
 """
 
@@ -13,8 +13,9 @@ from typing import Iterator, NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BLOCK = 1 << 20  # bytes (or words) whose powers are kept at hand
+BLOCK = 1 << 20  # bytes (or words) that are worked on at a time
 U = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -30,23 +31,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
+_ODD, _START = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+LONG_WORD = 64  # bytes beyond which a word is hashed by itself
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's first n powers and their inverses modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, min(BLOCK, 4 * n))
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers = (made[0], made[1])
-    return _powers[0], _powers[1]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a followed by b, for arrays of hashes."""
+    return mix(a * _ODD + (b ^ _START))
+
+
+def _named(text: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of text[s:e] for each word: eight bytes at a time, mixed one after the other."""
+    size = e - s
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(U) + _START)
+    long = size > LONG_WORD
+    at = np.flatnonzero(~long)
+    for k in range(0, LONG_WORD, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (eight[s[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]))
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh3_64_intdigest(text[s[i] : e[i]].tobytes())
+    return out
 
 
 class Words(NamedTuple):
@@ -79,32 +89,29 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bo
     before[cuts], after[cuts - 1] = True, True
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
-    hashes = np.empty(len(starts) if hashed else 0, U)
-    i = 0
-    while i < len(hashes):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        block = text[a:b]
-        up, down = powers(b - a)
-        total = np.zeros(b - a + 1, U)
-        np.cumsum(_BYTE[_LOWER[block] if lower else block] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        hashes[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-        i = j
+    hashes = _named(_LOWER[text] if lower else text, starts, ends) if hashed else np.empty(0, U)
     return Words(hashes, starts + lo, ends + lo, np.searchsorted(starts, offsets - lo))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of hashes[i:i+k] for every i, without regard to documents."""
+    """A hash of hashes[i:i+k] for every i, without regard to documents.
+
+    Runs of 1, 2, 4, ... words are joined pair by pair and put together to k: no sum or product over a window that
+    patterns in the text could cancel."""
     n = len(hashes) - k + 1
     out = np.empty(max(n, 0), U)
     for i in range(0, n, BLOCK // 4):
-        part = hashes[i : min(i + BLOCK // 4, n) + k - 1]
-        up, down = powers(len(part))
-        total = np.zeros(len(part) + 1, U)
-        np.cumsum(part * up[: len(part)], out=total[1:])
-        m = len(part) - k + 1
-        out[i : i + m] = mix((total[k:] - total[:m]) * down[:m] + U(k))
+        run = hashes[i : min(i + BLOCK // 4, n) + k - 1]
+        m, made, width, size = len(run) - k + 1, None, 0, 1
+        while True:
+            if k & size:
+                made = run[:] if made is None else join(made[: len(run) - width], run[width:])
+                width += size
+            if 2 * size > k:
+                break
+            run = join(run[:-size], run[size:])
+            size *= 2
+        out[i : i + m] = mix(made[:m] + U(k))
     return out
 
 

@@ -1,17 +1,22 @@
 """Near-duplicate documents by HyperMinHash, confirmed on full shingle sets.
 
-A document's set holds its distinct five-word shingles.  Equal sets are one vertex.  Every vertex has 128 registers; a
-register has a hash permutation of its own (so that small sets fill all of them) and stores the leading zeros and
-nine further bits of its minimum.  Four registers make a band; vertices that share a band are candidates.
-Registers of different minima may still be equal, so the estimate subtracts that chance before candidates are
-verified on their full sets of 64-bit shingle hashes.
-
-No group is ever expanded into all its pairs.  First each vertex is compared with the least member of each of its bands
-and its best estimate is verified; what is then one component needs no more links.  Bands that still hold several
-components are compared by registers, block by block, and give as few weak links as join what is estimated
-alike; the families that these make are compared on their full sets, block by block, and give as few links as join
-what is similar.  So links, candidates and messages grow with the number of members, and no task holds more than two
-blocks.  A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32, about 5e-6; at 0.8 it is 5e-8.
+A document's set holds its distinct five-word shingles.  Equal sets are one vertex, named by 128 bits and numbered.
+Every vertex has 128 registers; a register has a hash permutation of its own (so that small sets fill all of them) and
+stores the leading zeros and nine further bits of its minimum.  Four registers make a band; vertices that share a band are
+candidates.  Registers of different minima may still be equal, so the estimate subtracts that chance before
+candidates are verified on their full sets of 64-bit shingle hashes.
+
+No group is ever expanded into its pairs, and links are linear in the number of members:
+
+1. A vertex is compared by registers with the lead (least member) of each of its bands.  Its best lead is verified.
+2. Vertices whose estimates to leads are high enough are one family.  Bands that still hold several families are
+   compared by registers, block by block, and give links between families alone.
+3. Within a family, what is verified already is a part.  Members of other parts than the family's largest meet all
+   members of other parts on their full sets, block by block; the largest part isn't compared with itself.  Blocks give as few links
+   as join what is similar.
+
+So similar pairs are found whichever lead they have, and no task holds more than two blocks.  A pair at similarity 0.75 shares
+no band with probability (1 - 0.75**4)**32, about 5e-6; at 0.8 it is 5e-8.
 
 Defined cases: null and empty texts and texts without words have size 0 and are linked with nothing; texts of one to
 four words are one shingle; equal rows are linked; a component's id is its least document id (nulls aside).
@@ -37,7 +42,7 @@ PER_CENT = 75
 MARGIN = 0.19  # five standard deviations of an estimate at 0.75 from 128 registers
 BLOCK = 512  # members of a band whose registers are compared at a time
 SET_BLOCK = 256  # members of a family whose full sets are
-BROADCAST_IDS = 1_000_000  # ids; beyond it texts are fetched by a shuffle
+BROADCAST_IDS = 200_000  # ids of 16 bytes at most on average; beyond it texts are fetched by a shuffle
 
 _SEEDS = kernels.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = kernels.mix(_SEEDS) | np.uint64(1)
@@ -57,9 +62,10 @@ def shingle_sets(values: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield kernels.windows(w.hashes[a:b], b - a) if b > a else np.empty(0, np.uint64)
 
 
-def _name(s: np.ndarray) -> int:
-    """64 bits that name a set: two different sets among n share them with probability n * n / 2**65."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """int64[len(sets), 2]: 128 bits that name a set."""
+    raw = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,23 +100,25 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, vid, keys): the set's size, a 64-bit name of the set, the registers as one long for each band."""
+    """(id, md5 of the text, n, h1, h2, keys): the set's size and name, the registers as one long for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                sets = list(shingle_sets(b.column(1)))
+                sets = list(shingle_sets(b.column(2)))
+                has = np.array([len(s) > 0 for s in sets])
                 full = [s for s in sets if len(s)]
                 keys = registers(full).view(np.int64) if full else np.empty((0, REGISTERS // BAND), np.int64)
-                has = np.array([len(s) > 0 for s in sets])
-                vid = [_name(s) if len(s) else None for s in sets]
+                names = np.zeros((len(sets), 2), np.int64)
+                names[has] = _names(full)
                 ends = np.concatenate(([0], np.cumsum(has) * keys.shape[1])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(vid, pa.int64()), lists], names=["id", "n", "vid", "keys"])
+                name = [pa.array(names[:, k], mask=~has) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), *name, lists], names=["id", "md5", "n", "h1", "h2", "keys"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n long, vid long, keys array<long>")
+    src = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("md5"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, md5 binary, n long, h1 long, h2 long, keys array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,25 +126,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).view(np.uint16)
 
 
-def _estimated(pairs: DataFrame, verts: DataFrame, least: float) -> DataFrame:
-    """(a, b, est) of the pairs (a, b) estimated at least `least`."""
-    side = lambda s: verts.select(F.col("vid").alias(s), F.col("n").alias(f"n{s}"), F.col("keys").alias(f"k{s}"))
+def _estimated(stars: DataFrame, verts: DataFrame) -> DataFrame:
+    """(vid, lead, est) of the pairs (vid, lead)."""
+    lead = verts.select(F.col("vid").alias("lead"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
                 c = {n: x.column(i) for i, n in enumerate(x.schema.names)}
-                est = estimate(_matrix(c["ka"]), _matrix(c["kb"]), c["na"].to_numpy().astype(float), c["nb"].to_numpy().astype(float))
-                yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(est)], names=["a", "b", "est"]).filter(pa.array(est >= least))
+                est = estimate(_matrix(c["keys"]), _matrix(c["kb"]), c["n"].to_numpy().astype(float), c["nb"].to_numpy().astype(float))
+                yield pa.RecordBatch.from_arrays([c["vid"], c["lead"], pa.array(est)], names=["vid", "lead", "est"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb")
-    return joined.mapInArrow(run, "a long, b long, est double")
+    joined = stars.join(verts.select("vid", "n", "keys"), "vid").join(lead, "lead").select("vid", "lead", "n", "nb", "keys", "kb")
+    return joined.mapInArrow(run, "vid long, lead long, est double")
 
 
-def _sets(vids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(vid, set) of the vertices (vid, id): the texts are fetched by id and their sets made anew."""
-    few = vids.count() <= BROADCAST_IDS
-    ids = vids.select(F.col("id").alias("_need")).distinct()
+def _sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(vid, set) of the vertices (vid, id, h1, h2): the texts are fetched by id and their sets made anew."""
+    few = needed.count() <= BROADCAST_IDS
+    ids = needed.select(F.col("id").alias("_need")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(ids) if few else ids, texts["id"].eqNullSafe(ids["_need"]), "left_semi").select("text")
 
@@ -144,15 +152,17 @@ def _sets(vids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 got = [s for s in shingle_sets(whole.column(0).slice(at, 500)) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["vid", "set"])
+                names = _names(got)
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in got], pa.binary())], names=["h1", "h2", "set"])
 
-    names = vids.select("vid")
-    return texts.mapInArrow(run, "vid long, set binary").join(F.broadcast(names) if few else names, "vid", "left_semi").dropDuplicates(["vid"])
+    names = needed.select("vid", "h1", "h2")
+    made = texts.mapInArrow(run, "h1 long, h2 long, set binary")
+    return made.join(F.broadcast(names) if few else names, ["h1", "h2"]).select("vid", "set").dropDuplicates(["vid"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    needed = kept(pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct().join(verts.select("vid", "id"), "vid"))
+    """The pairs (vid, lead) whose full sets are similar enough."""
+    needed = kept(pairs.select("vid").union(pairs.select("lead")).distinct().join(verts.select("vid", "id", "h1", "h2"), "vid"))
     full = _sets(needed, docs, id_col, text_col)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +172,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str,
                 s, t = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= per_cent * (len(s) + len(t) - both))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield x.select(["vid", "lead"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: full.select(F.col("vid").alias(s), F.col("set").alias(f"s{s}"))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return kept(joined.mapInArrow(check, "a long, b long"))
+    joined = pairs.join(full.withColumnRenamed("set", "sa"), "vid").join(full.select(F.col("vid").alias("lead"), F.col("set").alias("sb")), "lead")
+    return kept(joined.select("vid", "lead", "sa", "sb").mapInArrow(check, "vid long, lead long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Least labels go to neighbours and then jump along labels, so the number of rounds grows with the logarithm of a path."""
     both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = kept(both.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("m")).select("vid", F.least("vid", "m").alias("comp")))
+    labels = both.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("m")).select("vid", F.least("vid", "m").alias("comp"))
     while True:
         near = both.join(labels.select(F.col("vid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("vid")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "vid").select("vid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
@@ -185,18 +194,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("vid", "comp")
 
 
-def _open_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, vid, comp, size) of bands that hold several components."""
-    named = members.join(labels, "vid", "left").select("bucket", "vid", F.coalesce("comp", "vid").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size")
-    return kept(named.join(mixed, "bucket"))
-
-
 def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """rows (group, size, vid, ...) once for each pair (lo, hi) of blocks of their group; c is a row's own block."""
-    n = F.ceil(F.col("size") / block)
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("vid"), n)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))))
-    return rows.select(group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "vid", "comp", "c")
+    """rows (group, vid, part) once for each pair of blocks in which they are compared: (group, lo, hi, vid, part, c), where c is
+    the row's own block.  A group's largest part has blocks of its own (numbered from -1 down), which never meet each other;
+    groups of one part have none."""
+    sizes = kept(rows.groupBy(group, "part").agg(F.count("*").alias("size")))
+    per = sizes.groupBy(group).agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts"))
+    per = per.filter("parts > 1").select(group, F.col("top.part").alias("major"), F.ceil(F.col("top.size") / block).alias("n_major"), F.ceil((F.col("all") - F.col("top.size")) / block).alias("n_minor"))
+    rows = rows.join(per, group)
+    major = F.col("part") == F.col("major")
+    own = F.when(major, -1 - F.pmod(F.xxhash64("vid"), F.col("n_major"))).otherwise(F.pmod(F.xxhash64("vid"), F.col("n_minor")))
+    upto = lambda a, b: F.sequence(F.lit(a).cast("long"), b.cast("long"))
+    meets = F.when(major, upto(0, F.col("n_minor") - 1)).otherwise(F.concat(F.reverse(upto(-1, -F.col("n_major"))), upto(0, F.col("n_minor") - 1)))
+    rows = rows.withColumn("c", own).withColumn("d", F.explode(meets))
+    return rows.select(group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "vid", "part", "c")
 
 
 def _joined(label: np.ndarray, vid: np.ndarray, i: int, others: np.ndarray) -> list[tuple[int, int]]:
@@ -215,16 +226,16 @@ def _links(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _families(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join what is estimated at `least` or more within a band: as few as join the same vertices, so their
-    number grows with the band's members.  Components count as joined already."""
+def _weak_links(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join what is estimated at `least` or more within a band (bucket, vid, part): as few as join the same
+    parts."""
     rows = _blocks(open_bands, "bucket", BLOCK).join(verts.select("vid", "n", "keys"), "vid")
 
     def compare(t: pa.Table) -> pa.Table:
-        vid, comp, n, c = (t.column(x).to_numpy() for x in ("vid", "comp", "n", "c"))
+        vid, part, n, c = (t.column(x).to_numpy() for x in ("vid", "part", "n", "c"))
         regs = _matrix(t.column("keys").combine_chunks())
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        label = np.unique(comp, return_inverse=True)[1]
+        label = np.unique(part, return_inverse=True)[1]
         right, links = np.flatnonzero(c == hi), []
         for i in np.flatnonzero(c == lo):
             others = right[label[right] != label[i]]
@@ -237,12 +248,12 @@ def _families(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFram
 
 
 def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that join the members of a family (family, size, vid, comp) whose full sets are similar enough, again as
-    few as join the same vertices.  Sets meet as rows of a 0/1 matrix, whose products are the sizes of intersections."""
+    """Links (a, b) that join the members of a family (family, vid, part) whose full sets are similar enough, again as
+    few as join the same parts.  Sets meet as rows of a 0/1 matrix, whose products are the sizes of intersections."""
     rows = _blocks(families, "family", SET_BLOCK).join(sets, "vid")
 
     def compare(t: pa.Table) -> pa.Table:
-        vid, comp, c = (t.column(x).to_numpy() for x in ("vid", "comp", "c"))
+        vid, part, c = (t.column(x).to_numpy() for x in ("vid", "part", "c"))
         full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
         size = np.array([len(s) for s in full])
         left, right = np.flatnonzero(c == t.column("lo")[0].as_py()), np.flatnonzero(c == t.column("hi")[0].as_py())
@@ -262,7 +273,7 @@ def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
             both += m[left] @ m[right].T
         both = both.astype(np.int64)
         near = 100 * both >= per_cent * (size[left][:, None] + size[right][None, :] - both)
-        label, links = np.unique(comp, return_inverse=True)[1], []
+        label, links = np.unique(part, return_inverse=True)[1], []
         for k, i in enumerate(left):
             others = right[near[k]]
             links += _joined(label, vid, i, others[label[others] != label[i]])
@@ -271,40 +282,82 @@ def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
     return kept(rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """For every row: id_col, n_shingles, component_id, kept (the row has its component's least id)."""
+def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
+    """(id, md5, n, h1, component, least): for every row, its component's number (a vertex, null without words) and least id."""
     least = per_cent / 100 - MARGIN
     sig = kept(signatures(docs, id_col, text_col))
-    verts = kept(sig.filter("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    named = sig.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    verts = kept(named.withColumn("vid", F.monotonically_increasing_id()))  # written before it is used, so numbers stay
     bands = verts.select("vid", F.posexplode("keys").alias("band", "key")).select("vid", F.xxhash64("band", "key").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("vid").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead")
+    shared = bands.groupBy("bucket").agg(F.min("vid").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     members = kept(bands.join(shared, "bucket"))
 
-    stars = members.filter("lead <> vid").select(F.least("lead", "vid").alias("a"), F.greatest("lead", "vid").alias("b"), "vid").distinct()
-    scored = _estimated(stars.select("a", "b").distinct(), verts, least)
-    each = stars.join(scored, ["a", "b"]).groupBy("vid").agg(F.max(F.struct("est", "a", "b")).alias("top"))
-    edges = _verified(kept(each.select("top.a", "top.b").distinct()), docs, verts, id_col, text_col, per_cent)
-    labels = components(edges)
-    still = _open_bands(members.select("bucket", "vid"), labels)
-    if not still.isEmpty():
-        weak = _families(still, verts, least)
-        if not weak.isEmpty():
-            family = components(edges.select("a", "b").union(weak)).select("vid", F.col("comp").alias("family"))
-            mixed = family.join(labels, "vid", "left").select("family", "vid", F.coalesce("comp", "vid").alias("comp"))
-            sizes = mixed.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("family", "size")
-            apart = kept(mixed.join(sizes, "family").join(verts.select("vid", "id"), "vid"))
-            more = _exact_links(apart.drop("id"), _sets(apart.select("vid", "id"), docs, id_col, text_col), per_cent)
-            labels = components(edges.union(more))
-
-    named = verts.select("vid", "id").join(labels, "vid", "left").select("vid", "id", F.coalesce("comp", "vid").alias("comp"))
-    least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    of = named.join(least_id, "comp").select("vid", "component_id")
-    out = sig.select("id", "n", "vid").join(of, "vid", "left")
-    component = F.when(F.col("vid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    stars = members.filter("lead <> vid").groupBy("vid", "lead").agg(F.max("size").alias("size"))
+    scored = kept(_estimated(stars.select("vid", "lead"), verts))
+    best = scored.filter(F.col("est") >= least).groupBy("vid").agg(F.max(F.struct("est", F.col("lead").alias("lead"))).alias("top")).select("vid", F.col("top.lead").alias("lead"))
+    sure = _verified(kept(best), docs, verts, id_col, text_col, per_cent)
+    links = sure.select(F.col("lead").alias("a"), F.col("vid").alias("b"))
+    near = scored.filter(F.col("est") >= least)
+    near = near.join(near.groupBy("vid").agg(F.min("lead").alias("first")), "vid")
+    # a vertex is linked with its first lead, and that lead with its other ones: one link for a vertex, and few among leads
+    families = components(near.select(F.col("first").alias("a"), F.when(F.col("lead") == F.col("first"), F.col("vid")).otherwise(F.col("lead")).alias("b")).distinct())
+
+    part = families.withColumnRenamed("comp", "part")
+    of_lead = part.select(F.col("vid").alias("lead"), F.col("part").alias("lead_part"))
+    apart = scored.filter(F.col("est") < least).select("vid", "lead").join(part, "vid", "left").join(of_lead, "lead", "left")
+    apart = apart.filter(F.coalesce("part", "vid") != F.coalesce("lead_part", "lead")).select("vid", "lead")
+    still = members.filter("size > 2").join(apart, ["vid", "lead"]).select("bucket").distinct()  # of two members the pair is known
+    rows = kept(members.select("bucket", "vid").join(still, "bucket", "left_semi").join(part, "vid", "left").select("bucket", "vid", F.coalesce("part", "vid").alias("part")))
+    if not rows.isEmpty():
+        more = _weak_links(rows, verts, least)
+        if not more.isEmpty():
+            # only families that are joined get new numbers
+            of = rows.select("vid", F.col("part").alias("family")).distinct()
+            ends = more.join(of.withColumnsRenamed({"vid": "a", "family": "x"}), "a").join(of.withColumnsRenamed({"vid": "b", "family": "y"}), "b")
+            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            families = families.union(rows.select("vid", "part").distinct().join(families.select("vid"), "vid", "left_anti").select("vid", F.col("part").alias("comp")))
+            families = families.join(joined.select(F.col("vid").alias("comp"), F.col("comp").alias("under")), "comp", "left").select("vid", F.coalesce("under", "comp").alias("comp"))
+
+    # parts of families: a vertex goes to its verified lead, and with it to the lead's
+    up = sure.select("vid", "lead")
+    two = up.join(up.select(F.col("vid").alias("lead"), F.col("lead").alias("above")), "lead", "left").select("vid", F.coalesce("above", "lead").alias("part"))
+    rows = families.select("vid", F.col("comp").alias("family")).join(two, "vid", "left").select("family", "vid", F.coalesce("part", "vid").alias("part"))
+    mixed = rows.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("family")
+    rows = kept(rows.join(mixed, "family", "left_semi").join(verts.select("vid", "id", "h1", "h2"), "vid"))
+    if not rows.isEmpty():
+        links = links.union(_exact_links(rows.select("family", "vid", "part"), _sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col), per_cent))
+
+    found = components(links).join(verts.select("vid", "id"), "vid")
+    least_id = found.groupBy("comp").agg(F.min("id").alias("least"))
+    found = kept(found.select("vid", "comp").join(least_id, "comp"))
+    of = verts.select("vid", "h1", "h2", "id").join(found, "vid", "left").select("h1", "h2", F.coalesce("comp", "vid").alias("component"), F.coalesce("least", "id").alias("least"))
+    return sig.drop("keys").join(of, ["h1", "h2"], "left").select("id", "md5", "n", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+    """For every row: id_col, n_shingles, component_id, kept (the row has its component's least id)."""
+    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least"))
+    return _clustered(docs, id_col, text_col, per_cent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs that near_duplicates keeps; ids are taken to name documents."""
-    gone = kept(near_duplicates(docs, id_col, text_col, per_cent).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each component of docs, and all rows without words.  A row is known by its id and text: of a component the
+    row with the least id (null ids last) stays, with ties the one whose text has the least MD5, and of rows equal in both
+    any one."""
+    rows = kept(_clustered(docs, id_col, text_col, per_cent).filter("component IS NOT NULL").groupBy("component", "id", "md5").agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("md5").alias("md5"))
+    first = rows.groupBy("component").agg(F.min(order).alias("top"), F.sum("rows").alias("all")).filter("all > 1").select("component", "top")
+    judged = kept(rows.join(first, "component").select(F.col("id").alias("_near_id"), F.col("md5").alias("_near_md5"), (F.col("id").eqNullSafe(F.col("top.id")) & F.col("md5").eqNullSafe(F.col("top.md5"))).alias("_near_stays"), F.col("rows").alias("_near_rows")))
+    gone = judged.filter("NOT _near_stays").select("_near_id", "_near_md5")
+    again = judged.filter("_near_stays AND _near_rows > 1").select("_near_id", "_near_md5")
+
+    def small(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+
+    keyed = docs.withColumn("_near_text", F.unhex(F.md5(F.col(text_col))))
+    same = keyed[id_col].eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_md5"))
+    left = keyed.join(small(gone), same, "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        left = left.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([id_col, "_near_text"]))
+    return left.drop("_near_text")

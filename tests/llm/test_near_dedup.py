@@ -87,3 +87,52 @@ def test_words_are_cut_at_ascii_white_space_only():
     assert found == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     wins = kernels.windows(w.hashes, 2)
     assert len(wins) == len(w.hashes) - 1 and kernels.inside(w.first, 2).tolist() == [True, True, False, True]
+
+
+def thue_morse(n, a="a", b="b"):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_regular_texts_do_not_collide(spark):
+    one, other = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    rows = [(1, one), (2, other), (3, " ".join(thue_morse(64, "x", "y"))), (4, " ".join(thue_morse(64, "y", "x")))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    data, offsets = kernels.column(pa.array([r[1] for r in rows]))
+    w = kernels.words(data, offsets)
+    assert len(set(w.hashes.tolist())) == 4
+    for k in (2, 8, 32):
+        seen = {}
+        texts = [bytes(data[s:e]) for s, e in zip(w.starts, w.ends)]
+        for i, h in enumerate(kernels.windows(w.hashes, k).tolist()):
+            seen.setdefault(h, set()).add(tuple(texts[i : i + k]))
+        assert all(len(v) == 1 for v in seen.values())
+
+
+def test_links_grow_with_the_members(spark, monkeypatch):
+    """Near copies of one text that isn't there itself: mostly too far from each other to be linked."""
+    rng, counts = random.Random(7), []
+    inner = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: counts.append(edges.count()) or inner(edges))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def family(n):
+        for i in range(n):
+            w = list(base)
+            for k in rng.sample(range(120), 4):
+                w[k] = f"n{rng.randrange(10**6)}"
+            yield i, " ".join(w)
+
+    most = {}
+    for n in (300, 1500):
+        counts.clear()
+        near_dedup.near_duplicates(spark.createDataFrame(list(family(n)), "doc_id long, text string")).count()
+        most[n] = max(counts)
+    assert most[1500] <= 6 * most[300] and most[1500] <= 4 * 1500
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (None, b, 1), (None, "x y", 1), (None, "x y", 1), (None, None, 1), (None, "", 1), (7, "z", 1), (7, "z", 1)]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _near_x int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, a, 1), (5, b, 1), (None, "x y", 1), (None, None, 1), (None, "", 1), (7, "z", 1)], key=str)
