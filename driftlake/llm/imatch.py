@@ -19,7 +19,8 @@ ranges once; the largest id of each range is copied to the range above, so every
 subset hashes, next fingerprint) stays within its range without another shuffle of texts.
 
 Defined cases: a null text is empty; equal fingerprints have likeness 1; an empty table gives no rows; rows with
-the same id follow one another by text, descending; null ids come last.
+the same id follow one another by the MD5 of their texts, descending; null ids come last, in a fixed order of their texts; ids may be
+of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -35,20 +36,22 @@ LEVELS = (1, 2, 3, 4)
 SEEDS = 10
 FEW = 8  # lexicon terms below which a document is compared by all its terms
 BROADCAST_TERMS = 2_000_000  # beyond it the lexicon is joined by a shuffle
-BROADCAST_COPIES = 1_000_000  # likewise for the texts that have copies
+BROADCAST_COPIES = 200_000  # likewise for the texts that have copies
+RANGE_SAMPLE = 40  # ids for each range, from which the ranges' cuts are taken
 
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), SEPARATORS), ""))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """Hashes of the terms whose share of distinct texts lies in the band."""
-    named = docs.select(F.unhex(F.md5(F.col(text_col))).alias("md5"), F.col(text_col).alias("text"))
-    copied = kept(named.groupBy("md5").agg(F.count("*").alias("rows")).filter("md5 IS NOT NULL AND rows > 1"))
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, index: DataFrame | None = None) -> DataFrame:
+    """Hashes of the terms whose share of distinct texts lies in the band; index: docs' column md5, if it is at hand already."""
+    docs = docs.select(F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("md5"))
+    index = docs if index is None else index
+    copied = kept(index.groupBy("md5").agg(F.count("*").alias("rows")).filter("rows > 1"))
     groups, again = copied.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()
-    n = docs.count() - again
-    each = named.join(F.broadcast(copied) if groups <= BROADCAST_COPIES else copied, "md5", "left")
+    n = index.count() - again
+    each = docs.join(F.broadcast(copied) if groups <= BROADCAST_COPIES else copied, "md5", "left")
     each = each.select((F.lit(1.0) / F.coalesce("rows", F.lit(1))).alias("weight"), F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("term"), "weight")
     # the copies of a text weigh 1 together: the sum is a whole number but for rounding
     return each.groupBy("term").agg(F.round(F.sum("weight")).alias("df")).filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))).select("term")
@@ -105,34 +108,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
-def _ranges(docs: DataFrame, ranges: int) -> Column:
-    """Number of the id range of a row: ranges hold about equally many rows; -1 for null ids."""
-    cuts = sorted({int(x) for x in docs.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    if not cuts:
-        return F.when(F.col("id").isNull(), -1).otherwise(0)
-    listed = F.array(*[F.lit(x).cast("long") for x in cuts])
-    return F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(listed, lambda x: x < F.col("id"))))
+def _ranges(index: DataFrame, ranges: int) -> Column:
+    """Number of the id range of a row (id, md5), ascending: ranges hold about equally many rows.  Null ids lie below, dealt out by
+    their texts.  Cuts come from a sample of RANGE_SAMPLE ids a range; they decide where rows are worked on, not what comes out."""
+    named = index.filter("id IS NOT NULL").select("id")
+    n = named.count()
+    share = min(1.0, RANGE_SAMPLE * ranges / max(n, 1))
+    got = sorted(x[0] for x in (named if share == 1.0 else named.sample(share, seed=1)).collect())
+    cuts = sorted({got[len(got) * i // ranges] for i in range(1, ranges)}) if got else []
+    kind = index.schema["id"].dataType
+    below = F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in cuts]), lambda x: x < F.col("id"))) if cuts else F.lit(0)
+    return F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("md5"), F.lit(ranges)).cast("int")).otherwise(below)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """For every row: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = kept(lexicon(src, "text", band))
-    ranges = parts(spark)
-    src = src.withColumn("r", _ranges(src.filter("id IS NOT NULL"), ranges))
-
-    # one row a range goes to the driver: its largest id, to be copied to the next range that has rows
-    heads = {h["r"]: (h["top"]["id"], h["top"]["md5"]) for h in src.groupBy("r").agg(F.max(F.struct("id", "text")).alias("t")).select("r", F.struct(F.col("t.id").alias("id"), F.md5("t.text").alias("md5")).alias("top")).collect()}
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("md5", F.unhex(F.md5("text")))
+    index = kept(src.select("id", "md5"))
+    words = kept(lexicon(src, "text", band, index))
+    where = _ranges(index, parts(spark))
+    src = src.withColumn("r", where)
+
+    # one row a range goes to the driver: its first in the order, to be copied to the end of the next range that has rows
+    heads = {h["r"]: h["top"] for h in index.withColumn("r", where).groupBy("r").agg(F.max(F.struct("id", "md5")).alias("top")).collect()}
     order = sorted(heads)
     rows = src.withColumn("copy", F.lit(False))
     if order:
         goes = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
-        moves = spark.createDataFrame([(r, goes[r], *heads[r]) for r in order], "r int, up int, top long, md5 string")
-        copies = src.join(F.broadcast(moves), "r").filter(F.col("id").eqNullSafe(F.col("top"))).filter(F.md5("text") == F.col("md5"))
-        rows = rows.unionByName(copies.select("id", "text", F.col("up").alias("r"), F.lit(True).alias("copy")))
+        kind = index.schema["id"].dataType.simpleString()
+        moves = spark.createDataFrame([(r, goes[r], heads[r]["id"], heads[r]["md5"]) for r in order], f"r int, up int, top {kind}, top_md5 binary")
+        copies = src.join(F.broadcast(moves), "r").filter(F.col("id").eqNullSafe(F.col("top"))).filter(F.col("md5") == F.col("top_md5")).dropDuplicates(["r"])
+        rows = rows.unionByName(copies.select("id", "text", "md5", F.col("up").alias("r"), F.lit(True).alias("copy")))
 
-    w = Window.partitionBy("r").orderBy("copy", F.col("id").desc_nulls_last(), F.col("text").desc())
+    w = Window.partitionBy("r").orderBy("copy", F.col("id").desc_nulls_last(), F.col("md5").desc())
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     rows = rows.withColumn("next", F.lead("text").over(w)).withColumn("nth", F.row_number().over(w))
@@ -143,14 +152,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = words.select(F.col("term").alias("known"))
     # at most (mean distinct terms) / band[0] terms, whatever the corpus holds; still, the count decides
     each = each.join(F.broadcast(known) if words.count() <= BROADCAST_TERMS else known, each["term"] == known["known"], "left")
-    one = each.groupBy("r", "nth", "e").agg(
-        F.first("id").alias("id"), F.first("copy").alias("copy"), F.first("n").alias("n"), F.first("sha").alias("sha"), F.bit_xor("term").alias("own"), F.count("known").alias("listed"), *subset_hashes(F.col("term"), F.col("known"))
-    )
+    # what is not a number goes with the key: buffers of longs alone are aggregated in place, by hash, without a sort of all terms
+    one = each.groupBy("r", "nth", "e", "id", "copy", "n", "sha").agg(F.bit_xor("term").alias("own"), F.count("known").alias("listed"), *subset_hashes(F.col("term"), F.col("known")))
     one = one.select("r", "nth", "e", "id", "copy", "n", "sha", fingerprint(F.col("own"), F.col("listed")).alias("fp"))
-    doc = one.groupBy("r", "nth").agg(
-        F.max("id").alias("id"), F.max("copy").alias("copy"), F.max("n").alias("n"), F.max("sha").alias("sha"), F.max(F.when(F.col("e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("fp"))).alias("fe")
-    )
-    doc = doc.withColumn("fn", F.lead("fp").over(Window.partitionBy("r").orderBy("nth"))).filter(~F.col("copy"))
+    follow = Window.partitionBy("r").orderBy("nth", "e")  # a text, its edited text, the next text
+    doc = one.withColumns({"fe": F.lead("fp", 1).over(follow), "sha": F.lead("sha", 1).over(follow), "fn": F.lead("fp", 2).over(follow)}).filter("e = 0 AND NOT copy")
     return doc.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("fe")).alias("near_edited"), likeness(F.col("fp"), F.col("fn")).alias("near_next")
     )
