@@ -26,7 +26,6 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +76,6 @@ class Ngrams:
         self.pointer = np.searchsorted(keys >> np.uint64(SUCCESSOR_BITS), np.arange(len(self.words) + 1, dtype=np.uint64))
         self.successor = keys & np.uint64((1 << SUCCESSOR_BITS) - 1)
 
-    def cuts(self, shards: int) -> np.ndarray:
-        edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-        return np.concatenate(([0], np.searchsorted(self.words, edges), [len(self.words)]))
-
 
 def _five(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -141,51 +136,23 @@ class Trie:
         return np.where((lo < end) & (self.successor[at] == successor), self.code[at], ZERO).astype(np.uint16) if len(self.successor) else np.full(len(successor), ZERO, np.uint16)
 
 
-_squeeze = zstandard.ZstdCompressor(level=1)
-
-
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays by bytes' place, so that small numbers compress to little; bytes go as they are."""
-    out = []
-    for a in arrays:
-        raw = a if isinstance(a, bytes) else _squeeze.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
-        out.append(len(raw).to_bytes(8, "little") + raw)
-    return b"".join(out)
-
-
-def _unpack(buffer, *kinds) -> list:
-    view, at, out = memoryview(buffer), 0, []
-    for kind in kinds:
-        n = int.from_bytes(view[at : at + 8], "little")
-        raw = view[at + 8 : at + 8 + n]
-        at += 8 + n
-        if kind is bytes:
-            out.append(raw)
-            continue
-        flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel())
-    return out
-
-
 def ask(shards: int):
     def run(docs: pa.Table) -> list[tuple[int, bytes]]:
         g = Ngrams(docs)
-        cuts, made = g.cuts(shards), []
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a:
-                lo, hi = g.pointer[a], g.pointer[b]
-                made.append((s, _pack(eliasfano.encode(g.words[a:b]), g.word_count[a:b].astype(np.uint32), np.diff(g.pointer[a : b + 1]).astype(np.uint32), _five(g.successor[lo:hi]), g.pair_count[lo:hi].astype(np.uint32))))
+        made = []
+        for s, a, b in batches.runs(g.words, shards):
+            lo, hi = g.pointer[a], g.pointer[b]
+            made.append((s, batches.pack(eliasfano.encode(g.words[a:b]), g.word_count[a:b].astype(np.uint32), np.diff(g.pointer[a : b + 1]).astype(np.uint32), _five(g.successor[lo:hi]), g.pair_count[lo:hi].astype(np.uint32))))
         return made
 
     return run
 
 
 def answer(discount: float, prior: float):
-    def run(messages: list) -> list[bytes]:
+    def run(numbers: list[int], messages: list) -> list[bytes]:
         asked = []
         for m in messages:
-            words, count, kids, five, pairs = _unpack(m, bytes, np.uint32, np.uint32, bytes, np.uint32)
+            words, count, kids, five, pairs = batches.unpack(m, bytes, np.uint32, np.uint32, bytes, np.uint32)
             asked.append((eliasfano.decode(words)[0], count, kids, _from_five(five, len(pairs), 0), pairs))
         words = np.unique(np.concatenate([a[0] for a in asked]))
         count, keys, pairs = np.zeros(len(words), np.int64), [], []
@@ -206,16 +173,16 @@ def answer(discount: float, prior: float):
         replies = []
         for w, _, kids, succ, _ in asked:
             at = trie.find(w)
-            replies.append(_pack(trie.word_count[at], trie.back[at], trie.follow(np.repeat(at, kids), succ)))
+            replies.append(batches.pack(trie.word_count[at], trie.back[at], trie.follow(np.repeat(at, kids), succ)))
         return replies
 
     return run
 
 
 def finish(total: int, distinct: int):
-    def run(docs: pa.Table, replies: list) -> pa.Table:
+    def run(number: int, docs: pa.Table, replies: list) -> pa.Table:
         g = Ngrams(docs)
-        got = [_unpack(m, np.uint32, np.uint16, np.uint16) for m in replies]
+        got = [batches.unpack(m, np.uint32, np.uint16, np.uint16) for m in replies]
         count, back, code = (np.concatenate([x[i] for x in got]).astype(np.float64) for i in range(3))
         base = np.log10(count + 0.5) - np.log10(total + 0.5 * (distinct + 1))
         seen = np.where(code < ZERO, 10 ** (-code / STEP), 0.0)
@@ -249,9 +216,7 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str, shards: int) -> tupl
                 tok, _, first = _tokens(docs.column("text"))
                 tok = tok[np.repeat(~held_out(docs.column("id")), np.diff(first))]
                 own = np.unique(tok)
-                edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-                cuts = np.concatenate(([0], np.searchsorted(own, edges), [len(own)]))
-                some = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                some = batches.runs(own, shards)
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in some], pa.int32()), pa.array([eliasfano.encode(own[a:b]) for _, a, b in some], pa.binary()), pa.array([len(tok) if k == 0 else 0 for k in range(len(some))], pa.int64())], names=["shard", "words", "tokens"])
 
     def final(t: pa.Table) -> pa.Table:
@@ -269,5 +234,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disco
     total, distinct = vocabulary(docs, id_col, text_col, shards)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = batches.exchange(batches.packed(docs, id_col, text_col), ask(shards), answer(discount, prior), finish(total, distinct), schema)
+    out = batches.exchange(batches.packed(docs, id_col, text_col), shards, ask(shards), answer(discount, prior), finish(total, distinct), schema)
     return out.withColumnRenamed("id", id_col)

@@ -1,14 +1,15 @@
 """Removal of repeated passages by relative Lempel-Ziv parsing against an index of the whole corpus.
 
-The reference is the corpus itself: every phrase of `window` words is indexed, cut into blocks by its hash.  Each
-document is factored against all blocks: from a word at which an indexed phrase starts that also starts elsewhere, the
-factor grows as long as the phrases at its following words do.  Factors are maximal and phrases are looked up
-at every word, so the words around a factor's boundaries are checked too, where a greedy parse alone
-would miss a phrase that spans two factors.  All words of factors are duplicate spans and are removed.
+The reference is the corpus itself, in blocks (the batches that documents are packed in).  Every phrase of `window` words is
+indexed with its place, a block and a word in it; the index is cut into shards by the phrases' hashes.  Each document is
+factored greedily against all blocks: a factor begins at the first word whose phrase also starts elsewhere, takes that phrase's first
+other place as its source, and grows as long as the next phrase has its place one word further in the same
+block.  Where a factor ends, the phrase at the next word is looked up like any other, and if it is repeated a new factor begins
+that overlaps the last one: so a phrase that spans two factors is found, which a plain greedy parse would miss.
+Factors are at least `window` words long, and all their words are duplicate spans and are removed.
 
-Blocks grow in number with the corpus; a block gets each phrase once a batch of documents, so a passage
-that a third of all documents share costs a block no more than one entry a batch.  Phrases are named by
-64-bit hashes.
+A shard gets each phrase once a block, so a passage that a third of all documents share costs a shard no more than one entry a
+block.  Phrases are told apart by 96 bits of hash: of 10**13 phrases two different ones would meet with a probability of 1 in 1500.
 
 Defined cases: a null text has no words; documents shorter than the window keep all words; equal rows lose everything
 if they are long enough; an empty table gives no rows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +31,100 @@ from driftlake.llm import batches, eliasfano, kernels
 WINDOW = 35
 
 
-def _phrases(texts: pa.Array, window: int) -> tuple[kernels.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts, where phrases start, and each phrase's hash."""
+class Phrases(NamedTuple):
+    words: kernels.Words
+    data: np.ndarray
+    starts: np.ndarray  # the word at which each phrase starts
+    which: np.ndarray  # its place among the distinct ones
+    high: np.ndarray  # the distinct phrases' hashes, in order
+    low: np.ndarray
+    first: np.ndarray  # the word at which each distinct phrase first starts
+    second: np.ndarray  # and for the second time, or -1
+
+
+def phrases(texts: pa.Array, window: int) -> Phrases:
     data, offsets = kernels.column(texts)
     w = kernels.words(data, offsets)
     starts = np.flatnonzero(kernels.inside(w.first, window))
-    return w, data, starts, kernels.windows(w.hashes, window)[starts]
+    high = kernels.windows(w.hashes, window)[starts]
+    low = (kernels.windows(kernels.mix(w.hashes + np.uint64(window)), window)[starts] >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((starts, low, high))
+    h, k = high[order], low[order]
+    head = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    second = np.full(len(at), -1)
+    again = np.append(at[1:], len(h)) - at > 1
+    second[again] = starts[order[at[again] + 1]]
+    return Phrases(w, data, starts, which, h[at], k[at], starts[order[at]], second)
+
+
+def ask(window: int, shards: int):
+    def run(docs: pa.Table) -> list[tuple[int, bytes]]:
+        p = phrases(docs.column("text"), window)
+        return [(s, batches.pack(eliasfano.encode(p.high[a:b]), p.low[a:b], p.first[a:b].astype(np.uint32))) for s, a, b in batches.runs(p.high, shards)]
+
+    return run
 
 
-def _cuts(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where each block's range of hashes begins in a sorted array."""
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
+def answer(numbers: list[int], messages: list) -> list[bytes]:
+    """For each block's phrases of this shard: does another block have it, and which place of another block comes first?"""
+    asked = []
+    for m in messages:
+        high, low, first = batches.unpack(m, bytes, np.uint32, np.uint32)
+        asked.append((eliasfano.decode(high)[0], low, first))
+    high, low, first = (np.concatenate([a[i] for a in asked]) for i in range(3))
+    sizes = [len(a[0]) for a in asked]
+    block = np.repeat(np.array(numbers, np.int64), sizes)
+    order = np.lexsort((block, low, high))
+    h, k = high[order], low[order]
+    head = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
+    at = np.flatnonzero(head)
+    many = np.append(at[1:], len(h)) - at > 1  # a block asks for a phrase once, so these are different blocks
+    lead = np.repeat(at, np.append(at[1:], len(h)) - at)
+    source = np.empty(len(h), np.int64)
+    source[order] = order[np.where(head, np.minimum(lead + 1, len(h) - 1), lead)]  # the first asks for the second, others for the first
+    found = np.empty(len(h), bool)
+    found[order] = np.repeat(many, np.append(at[1:], len(h)) - at)
+    replies, begin = [], 0
+    for n in sizes:
+        has = found[begin : begin + n]
+        of = source[begin : begin + n][has]
+        replies.append(batches.pack(np.packbits(has), block[of], first[of]))
+        begin += n
+    return replies
 
 
-def factors(repeated: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word after the last of each factor, given where phrases start and which of them are repeated."""
-    at = starts[repeated]
-    if not len(at):
-        return at, at
-    head = np.ones(len(at), bool)
-    head[1:] = np.diff(at) > window  # phrases that overlap or touch belong to one covered run
+class Factors(NamedTuple):
+    begin: np.ndarray  # word at which each factor begins
+    end: np.ndarray  # the word after its last
+    block: np.ndarray  # where its source begins
+    place: np.ndarray
+
+
+def parse(number: int, p: Phrases, replies: list, shards: int, window: int) -> Factors:
+    """The factors of a block's documents, from the replies of all shards."""
+    block, place = np.full(len(p.high), -1, np.int64), np.zeros(len(p.high), np.int64)
+    for (_, a, b), m in zip(batches.runs(p.high, shards), replies):
+        bits, blocks, firsts = batches.unpack(m, np.uint8, np.int64, np.uint32)
+        at = a + np.flatnonzero(np.unpackbits(bits, count=b - a))
+        block[at], place[at] = blocks, firsts
+    own_first = p.starts == p.first[p.which]
+    b, at = block[p.which], place[p.which]
+    within = np.where(own_first, p.second[p.which], p.first[p.which])  # the phrase's other place in this block, if it has one
+    inner = (within >= 0) & ((b < 0) | (number < b))
+    b, at = np.where(inner, number, b), np.where(inner, within, at)
+    hit = np.flatnonzero(b >= 0)
+    if not len(hit):
+        none = np.zeros(0, np.int64)
+        return Factors(none, none, none, none)
+    s, b, at = p.starts[hit], b[hit], at[hit]
+    grows = (s[1:] == s[:-1] + 1) & (b[1:] == b[:-1]) & (at[1:] == at[:-1] + 1)
+    doc = np.searchsorted(p.words.first, s, "right")
+    head = np.append(True, ~(grows & (doc[1:] == doc[:-1])))
     tail = np.append(head[1:], True)
-    return at[head], at[tail] + window
+    return Factors(s[head], s[tail] + window, b[head], at[head])
 
 
 def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,43 +134,12 @@ def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def ask(window: int, shards: int):
-    def run(docs: pa.Table) -> list[tuple[int, bytes]]:
-        _, _, _, hashes = _phrases(docs.column("text"), window)
-        own, counts = np.unique(hashes, return_counts=True)
-        cuts = _cuts(own, shards)
-        twice = counts > 1
-        return [(s, eliasfano.encode(own[a:b]) + np.packbits(twice[a:b]).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-
-    return run
-
-
-def answer(messages: list) -> list[bytes]:
-    """For each batch's phrases of this block: does the phrase start more than once in the corpus?"""
-    asked, again = [], []
-    for m in messages:
-        values, at = eliasfano.decode(m)
-        asked.append(values)
-        again.append(np.unpackbits(np.frombuffer(m, np.uint8, offset=at), count=len(values)).astype(bool))
-    every = np.sort(np.concatenate([*asked, *[v[t] for v, t in zip(asked, again)]]))  # what a batch holds twice counts twice
-    many = np.unique(every[1:][every[1:] == every[:-1]])
-    replies = []
-    for v in asked:
-        at = np.minimum(np.searchsorted(many, v), max(0, len(many) - 1))
-        replies.append(np.packbits(many[at] == v if len(many) else np.zeros(len(v), bool)).tobytes())
-    return replies
-
-
-def finish(window: int, shards: int, texts_too: bool):
-    def run(docs: pa.Table, replies: list) -> pa.Table:
-        w, data, starts, hashes = _phrases(docs.column("text"), window)
-        own, which = np.unique(hashes, return_inverse=True)
-        cuts = np.diff(_cuts(own, shards))
-        bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(replies, cuts[cuts > 0])]
-        repeated = np.concatenate(bits).astype(bool)[which] if bits else np.zeros(0, bool)
-        begins, ends = factors(repeated, starts, window)
-        gone = _covered(len(w.starts), begins, ends)
-        keep = ~gone
+def finish(window: int, shards: int, texts_too: bool, factors_too: bool = False):
+    def run(number: int, docs: pa.Table, replies: list) -> pa.Table:
+        p = phrases(docs.column("text"), window)
+        w, data = p.words, p.data
+        found = parse(number, p, replies, shards, window)
+        keep = ~_covered(len(w.starts), found.begin, found.end)
         s, e = w.starts[keep], w.ends[keep]
         sizes = e - s + 1
         place = np.concatenate(([0], np.cumsum(sizes)))
@@ -115,19 +157,30 @@ def finish(window: int, shards: int, texts_too: bool):
         if texts_too:
             removed = (n - np.diff(left)).tolist()
             cols["kept_text"] = pa.array([k.decode() if r else (t or "") for k, r, t in zip(kept, removed, docs.column("text").to_pylist())], pa.string())
+        if factors_too:
+            ends = np.searchsorted(found.begin, w.first).astype(np.int32)
+            begins = found.begin - w.first[np.searchsorted(w.first, found.begin, "right") - 1] if len(found.begin) else found.begin
+            one = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (begins, found.end - found.begin, found.block, found.place)], names=["start", "length", "source_block", "source_word"])
+            cols["factors"] = pa.ListArray.from_arrays(pa.array(ends), one)
+            cols["block"] = pa.array([number] * docs.num_rows, pa.int64())
+            cols["block_word"] = pa.array(w.first[:-1], pa.int64())
         cols |= {c: docs.column(c) for c in docs.column_names[2:]}
         return pa.table(cols)
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False, others: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False, factors: bool = False, others: Sequence[str] = ()) -> DataFrame:
     """For every row: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space), with texts=True also
-    kept_text (the text itself if nothing is removed, else the kept words joined by one space), and `others`."""
+    kept_text (the text itself if nothing is removed, else the kept words joined by one space), with factors=True also its
+    factors (start and length in words, source_block, source_word) and where its own words stand (block, block_word), and `others`."""
     shards = batches.shards_for(docs, text_col)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"id {kind[id_col]}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "") + "".join(f", o{i} {kind[c]}" for i, c in enumerate(others))
-    out = batches.exchange(batches.packed(docs, id_col, text_col, others), ask(window, shards), answer, finish(window, shards, texts), schema)
+    schema = f"id {kind[id_col]}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    if factors:
+        schema += ", factors array<struct<start:bigint,length:bigint,source_block:bigint,source_word:bigint>>, block long, block_word long"
+    schema += "".join(f", o{i} {kind[c]}" for i, c in enumerate(others))
+    out = batches.exchange(batches.packed(docs, id_col, text_col, others), shards, ask(window, shards), answer, finish(window, shards, texts, factors), schema)
     return out.withColumnsRenamed({"id": id_col, **{f"o{i}": c for i, c in enumerate(others)}})
 
 

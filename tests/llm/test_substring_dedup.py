@@ -60,3 +60,70 @@ def test_elias_fano_round_trip(values, shift):
     raw = eliasfano.encode(v)
     back, used = eliasfano.decode(raw + b"tail")
     assert back.tolist() == v.tolist() and used == len(raw)
+
+
+def passages_corpus():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    shared = [[word() for _ in range(n)] for n in (36, 50, 120)]
+    rows = []
+    for i in range(50):
+        w = [word() for _ in range(rng.randint(5, 60))]
+        p = shared[i % 3]
+        at = rng.randint(0, len(w))
+        rows.append((i, " ".join(w[:at] + p[rng.randint(0, 1) :] + (shared[(i + 1) % 3] if i % 4 == 0 else []) + w[at:])))
+    return [*rows, (50, " ".join(shared[2] + ["z"] + shared[2])), (51, None)]
+
+
+def test_factors_are_copies_of_their_sources(spark, monkeypatch):
+    monkeypatch.setattr(batches, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(batches, "SHARD_CHARS", 2000)
+    rows = passages_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in substring_dedup.dedup(df, factors=True).collect()}
+    texts = {d: (t or "").split() for d, t in rows}
+    blocks = {}
+    for d, r in got.items():
+        for i, x in enumerate(texts[d]):
+            blocks[r.block, r.block_word + i] = (d, x)
+    assert len({b for b, _ in blocks}) > 3
+    n = 0
+    for d, r in got.items():
+        gone = set()
+        for f in r.factors:
+            own = texts[d][f.start : f.start + f.length]
+            source = [blocks[f.source_block, f.source_word + i] for i in range(f.length)]
+            assert f.length >= 35 and own == [x for _, x in source] and (f.source_block, f.source_word) != (r.block, r.block_word + f.start)
+            assert len({x for x, _ in source}) == 1  # a source lies in one document
+            gone |= set(range(f.start, f.start + f.length))
+            n += 1
+        assert r.n_removed == len(gone)
+    assert n > 50
+
+
+def test_messages_go_through_post_offices(spark, monkeypatch):
+    monkeypatch.setattr(batches, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(batches, "SHARD_CHARS", 1000)
+    monkeypatch.setattr(batches, "FAN", 4)
+    monkeypatch.setattr(batches, "BUNDLE", 3)
+    rows = passages_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert batches.shards_for(df, "text") > 8
+    got = substring_dedup.dedup(df, texts=True).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_no_batch_sends_more_messages_than_its_fan(spark):
+    hashes = np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    for shards in (1, 7, 4096, 100_000):
+        found = batches.runs(hashes, shards)
+        assert [b - a for _, a, b in found] and sum(b - a for _, a, b in found) == len(hashes)
+        width = -(-shards // batches.FAN)
+        assert len({s // width for s, _, _ in found}) <= batches.FAN
+
+
+def test_regular_texts_are_told_apart(spark):
+    signs = ["".join("ab"[bin(i).count("1") % 2] for i in range(64)), "".join("ba"[bin(i).count("1") % 2] for i in range(64))]
+    rows = [(i, " ".join(s)) for i, s in enumerate(signs)] + [(2 + i, " ".join([s * 16] * 20)) for i, s in enumerate(signs)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
