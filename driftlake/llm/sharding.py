@@ -6,7 +6,8 @@ MD5 of its text, then its id.  Runs of near-equal bytes along that order are the
 any of the dimensions touches few of them.
 
 Rows with equal texts take the metadata of the least of them and stand together; they stay in one shard unless they
-hold more than SPLIT of a shard's bytes, in which case they are cut like any other run.  Ranks and byte offsets
+hold more than SPLIT of a shard's bytes, in which case they are cut like any other run: the law is near-equal bytes, and a group kept
+whole makes shards unequal by up to its size.  Ranks and byte offsets
 are sums over four levels (curve index, hash prefix, text and id residue, row), so no task ever orders the
 whole table or a whole group of copies.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlake.llm.tables import kept
+
 BITS, DIMS = 4, 3
 SPLIT = 0.05
 RESIDUES = 37
@@ -84,6 +87,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         F.crc32(text).alias("crc"),
         F.md5(text).alias("key"),
     )
+    rows = kept(rows)  # sizes and digests: all that follows reads these, and the texts once
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     cells = spread = groups
     for c in ("source", "lang"):
