@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm import html_extract, imatch, lm_score, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, substring_dedup, warc
 from driftlake.llm.tables import table
 
-TOKENIZERS = "/opt/tokenizers"  # the folder of public vocabulary files
+MODEL = "piece_bpe_32k.model"  # of the public vocabulary files
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), model_file)
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path(MODEL))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
