@@ -6,13 +6,12 @@ what the tokenizer made of each text.
 
 from __future__ import annotations
 
-import uuid
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm import mixing, near_dedup, quality_rules, sentencepiece_bpe, substring_dedup
-from driftlake.llm.queries import TOKENIZERS
-from driftlake.llm.tables import shared_dir, table
+from driftlake.llm.queries import MODEL
+from driftlake.llm.tables import new_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every drawn text."""
-    return sentencepiece_bpe.encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", others=["source", "lang"])
+    return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path(MODEL), others=["source", "lang"])
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
@@ -50,7 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:  # the next stage reads its input more than once
-            path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
+            path = new_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
