@@ -65,15 +65,15 @@ def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.reachable(catalog.links(pages), start)
 
 
-# A manifest: three entries of four are base entries (some are missing), the fourth is derived from the one before it.
+# A manifest: three entries of four are base entries, the fourth is derived from the one before it, or, every fifth time, from one that is gone.
 ENTRIES = """CASE WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING), '__menu') ELSE concat('p', CAST(page_id AS STRING)) END AS id,
-regexp_replace(url, '^[a-z]+://[^/]*', '') AS url, CASE WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING)) END AS parent, page_id % 8 = 3 AS derived"""
-ENTRIES_SQL = f"en AS (SELECT {ENTRIES}, page_id FROM pages WHERE page_id % 20 <> 2)"
+regexp_replace(url, '^[a-z]+://[^/]*', '') AS url, CASE WHEN page_id % 20 = 3 THEN concat('gone', CAST(page_id AS STRING)) WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING)) END AS parent, page_id % 8 = 3 AS derived"""
+ENTRIES_SQL = f"en AS (SELECT {ENTRIES}, page_id, length(html) AS size FROM pages)"
 DERIVED = "(coalesce(derived, false) OR (parent IS NOT NULL AND contains(id, '__')))"
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id % 20 <> 2").selectExpr(*[x for x in _split(ENTRIES)])
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*[x for x in _split(ENTRIES)])
 
 
 def _split(columns: str) -> list[str]:
@@ -99,20 +99,20 @@ def sub_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", catalog.is_derived().alias("derived"), catalog.sub_name().alias("sub_name"))
 
 
-@query("manifest_upsert", f"WITH {ENTRIES_SQL}, inc AS (SELECT concat('p', CAST(page_id % 30 AS STRING)) AS id, concat('/new/', CAST(page_id AS STRING)) AS url, page_id AS pos FROM pages WHERE page_id % 2 = 0), lst AS (SELECT id, arg_max(url, pos) AS url FROM inc GROUP BY id) SELECT id, url FROM en WHERE id NOT IN (SELECT id FROM lst) UNION ALL SELECT id, url FROM lst")
+@query("manifest_upsert", f"WITH {ENTRIES_SQL}, inc AS (SELECT concat('p', CAST(page_id // 3 * 3 AS STRING)) AS id, concat('/new/', CAST(page_id AS STRING)) AS url, page_id AS pos FROM pages), lst AS (SELECT id, arg_max(url, pos) AS url FROM inc GROUP BY id) SELECT id, url FROM en WHERE id NOT IN (SELECT id FROM lst) UNION ALL SELECT id, url FROM lst")
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id % 2 = 0")
-    incoming = p.select(F.concat(F.lit("p"), (F.col("page_id") % 30).cast("string")).alias("id"), F.concat(F.lit("/new/"), F.col("page_id").cast("string")).alias("url"), F.col("page_id").alias("pos"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    incoming = p.select(F.concat(F.lit("p"), F.expr("page_id div 3 * 3").cast("string")).alias("id"), F.concat(F.lit("/new/"), F.col("page_id").cast("string")).alias("url"), F.col("page_id").alias("pos"))
     return catalog.upsert(entries(spark, sf_dir).select("id", "url"), incoming)
 
 
 @query("capture_fold", f"""WITH {ENTRIES_SQL}, inc AS (SELECT page_id AS pos, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 4 = 2 THEN concat('p', CAST(page_id AS STRING)) ELSE concat('p', CAST(page_id // 4 * 4 + 2 AS STRING), '__new') END AS id,
- CASE WHEN page_id % 13 = 0 THEN 'x' ELSE '/cap' END AS url, CASE WHEN page_id % 4 <> 2 THEN concat('p', CAST(page_id // 4 * 4 + 2 AS STRING)) END AS parent, page_id % 4 <> 2 AS derived FROM pages WHERE page_id < 100),
+ CASE WHEN page_id % 13 = 0 THEN 'x' ELSE '/cap' END AS url, CASE WHEN page_id % 4 <> 2 THEN concat('p', CAST(page_id // 4 * 4 + 2 AS STRING)) END AS parent, page_id % 4 <> 2 AS derived FROM pages),
 good AS (SELECT * FROM inc WHERE id IS NOT NULL AND url LIKE '/%'), bs AS (SELECT id FROM good WHERE NOT {DERIVED}),
 lft AS (SELECT id, url, parent, derived FROM en WHERE NOT (parent IS NOT NULL AND parent IN (SELECT id FROM bs) AND {DERIVED})), lst AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1)
 SELECT id, url, parent FROM lft WHERE id NOT IN (SELECT id FROM lst) UNION ALL SELECT id, url, parent FROM lst""")
 def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id < 100")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     base = F.concat(F.lit("p"), F.expr("CAST(page_id div 4 * 4 + 2 AS STRING)"))
     own, i = F.col("page_id") % 4 == 2, F.col("page_id")
     rows = p.select(
@@ -128,7 +128,7 @@ HASHED_SQL = HASHED.format(mask="CASE WHEN page_id % 3 = 0 THEN '\".ad\",\".cloc
 
 @query("capture_hashes", f"WITH {ENTRIES_SQL} SELECT id, 'sha256:' || sha256({HASHED_SQL}) AS capture_hash FROM en")
 def capture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id % 20 <> 2")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     e = p.selectExpr(*_split(ENTRIES), "'load' AS wait_for", "page_id % 2 = 0 AS full_page", "CASE WHEN page_id % 3 = 0 THEN array('.clock', '.ad') ELSE array() END AS mask")
     return e.select("id", catalog.capture_hash().alias("capture_hash"))
 
@@ -141,8 +141,8 @@ def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.totals(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(STATUS).alias("status")))
 
 
-@query("report_from_judgements", f"WITH {ENTRIES_SQL}, jd AS (SELECT id, CASE WHEN page_id % 3 = 0 THEN 'fail' ELSE 'needs-judgment' END AS status FROM en WHERE page_id % 5 = 0) SELECT id, status FROM jd UNION ALL SELECT id, 'pass' FROM en WHERE id NOT IN (SELECT id FROM jd)")
+@query("report_from_judgements", f"WITH {ENTRIES_SQL}, jd AS (SELECT id, CASE WHEN page_id % 3 = 0 THEN 'fail' ELSE 'needs-judgment' END AS status FROM en WHERE size > 3000) SELECT id, status FROM jd UNION ALL SELECT id, 'pass' FROM en WHERE id NOT IN (SELECT id FROM jd)")
 def report_from_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id % 20 <> 2").selectExpr(*_split(ENTRIES), "page_id")
-    judged = p.filter("page_id % 5 = 0").select("id", F.when(F.col("page_id") % 3 == 0, "fail").otherwise("needs-judgment").alias("status"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*_split(ENTRIES), "page_id", "length(html) AS size")
+    judged = p.filter("size > 3000").select("id", F.when(F.col("page_id") % 3 == 0, "fail").otherwise("needs-judgment").alias("status"))
     return catalog.with_passes(p.select("id"), judged)

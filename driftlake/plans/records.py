@@ -40,9 +40,9 @@ od AS (SELECT *, o_orderkey % 6 AS m, array_to_string(nl[1:len(nl) - 1], ',') AS
 docs AS (SELECT o_orderkey AS key, {OLD} AS old, {NEW} AS new FROM od)"""
 KIND = "CASE WHEN {0} IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'N' ELSE {0} END"
 DIFF_SQL = f"""
-a AS (SELECT docs.key AS k, t.fullkey AS f, t.path AS p, {KIND.format('t.type')} AS kind, CAST(t.value AS VARCHAR) AS v, TRY_CAST(t.atom AS DOUBLE) AS num FROM docs, json_tree(docs.old) t),
-b AS (SELECT docs.key AS k, t.fullkey AS f, t.path AS p, {KIND.format('t.type')} AS kind, CAST(t.value AS VARCHAR) AS v, TRY_CAST(t.atom AS DOUBLE) AS num FROM docs, json_tree(docs.new) t),
-j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, coalesce(a.p, b.p) AS p, a.kind AS ka, b.kind AS kb, a.v AS va, b.v AS vb, a.num AS na, b.num AS nb FROM a FULL JOIN b ON a.k = b.k AND a.f = b.f),
+a AS MATERIALIZED (SELECT docs.key AS k, t.fullkey AS f, t.path AS p, {KIND.format('t.type')} AS kind, CAST(t.value AS VARCHAR) AS v, TRY_CAST(t.atom AS DOUBLE) AS num FROM docs, json_tree(docs.old) t),
+b AS MATERIALIZED (SELECT docs.key AS k, t.fullkey AS f, t.path AS p, {KIND.format('t.type')} AS kind, CAST(t.value AS VARCHAR) AS v, TRY_CAST(t.atom AS DOUBLE) AS num FROM docs, json_tree(docs.new) t),
+j AS MATERIALIZED (SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, coalesce(a.p, b.p) AS p, a.kind AS ka, b.kind AS kb, a.v AS va, b.v AS vb, a.num AS na, b.num AS nb FROM a FULL JOIN b ON a.k = b.k AND a.f = b.f),
 df AS (SELECT j.k AS key, CASE WHEN j.ka IS NULL THEN 0 WHEN j.kb IS NULL THEN 1 ELSE 2 END AS type, j.f AS path, j.vb AS value, j.va AS old_value
        FROM j LEFT JOIN j u ON u.k = j.k AND u.f = j.p
        WHERE (j.f = '$' OR (u.ka = u.kb AND u.ka IN ('OBJECT', 'ARRAY')))
@@ -88,13 +88,13 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.size(t).cast("long").alias("tokens"), F.array_join(t, " ").alias("joined"))
 
 
-SPANS = "list_transform(regexp_extract_all(coalesce(text, ''), '[\"“”'']([^\"“”'']+)[\"“”'']', 1), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
+SPANS = "list_transform(regexp_extract_all(coalesce(html, ''), '[\"“”'']([^\"“”'']+)[\"“”'']', 1), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
 
 
-@query("quoted_span", f"SELECT conv_id, turn, role, span FROM (SELECT conv_id, turn, role, nullif(list_reduce(list_concat([''], {SPANS}), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS span FROM conversations) WHERE span IS NOT NULL")
+@query("quoted_span", f"SELECT page_id, span FROM (SELECT page_id, nullif(list_reduce(list_concat([''], {SPANS}), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS span FROM pages) WHERE span IS NOT NULL")
 def quoted_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", "role", textdiff.quoted(F.col("text")).alias("span")).filter("span IS NOT NULL")
+    """The longest quoted span of every page's source."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", textdiff.quoted(F.col("html")).alias("span")).filter("span IS NOT NULL")
 
 
 FILLER_SQL = ", ".join(f"'{w}'" for w in textdiff.FILLER)

@@ -1,6 +1,6 @@
 """Image pairs derived from the embeddings table: 32 x 32 RGBA frames in exploded form, one row for each pixel.
 
-Sixteen embeddings make a frame: each fills an 8 x 8 tile with its 64 values.  The second image of a pair differs in a block
+Sixteen embeddings make a frame: each fills an 8 x 8 tile with its 64 values; the first ones fill up the last frame.  The second image of a pair differs in a block
 (four frames of five) whose strength varies with the frame, and in a sparse grid of slight changes elsewhere.
 """
 
@@ -15,8 +15,10 @@ SIDE = 32
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, x, y, r, g, b, a): the first images."""
     source = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    whole = source.count() // 16  # a last frame that lacks tiles is left out
-    e = source.filter(F.col("vec_id") < whole * 16).select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    n = source.count()
+    source = source.select("vec_id", "embedding")
+    again = source.filter(F.col("vec_id") < -n % 16).withColumn("vec_id", F.col("vec_id") + n)  # the first tiles fill up the last frame
+    e = source.unionByName(again).select("vec_id", F.posexplode("embedding").alias("i", "v"))
     tile = F.col("vec_id") % 16
     level = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 0.5) * 255))).cast("int")
     px = e.select(
@@ -62,7 +64,9 @@ def pair(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = ("frame",
 
 
 FRAMES_SQL = """
-e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id < (SELECT count(*) // 16 * 16 FROM embeddings)),
+vn AS (SELECT count(*) AS n FROM embeddings),
+ve AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + n, embedding FROM embeddings, vn WHERE vec_id < (16 - n % 16) % 16),
+e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM ve),
 fa AS (SELECT vec_id // 16 AS frame, CAST((vec_id % 16 % 4) * 8 + i % 8 AS INT) AS x, CAST((vec_id % 16 // 4) * 8 + i // 8 AS INT) AS y,
        CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT) AS r FROM e),
 fb AS (SELECT frame, x, y, r AS r1, 255 - r AS g1, (r + 85) % 256 AS b1,
