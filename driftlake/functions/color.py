@@ -117,6 +117,12 @@ def lab(c: list[Column]) -> list[Column]:
     return [116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])]
 
 
+def lab_bytes(c: list[Column]) -> list[Column]:
+    """L*a*b* with each channel on the scale of 0 to 255, as similarity over colours takes it."""
+    l, a, b = lab(c)
+    return [l * 2.55, a + 128, b + 128]
+
+
 def parse_rgb(text: str) -> tuple[int, int, int]:
     """'r,g,b' as an option."""
     parts = [p.strip() for p in text.split(",")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,3 +148,97 @@ def correlations(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
 def as_quality(value: Column, distance: bool) -> Column:
     """A score's sign turned so that more is better."""
     return -value if distance else value
+
+
+def outcome_totals(matches: DataFrame, missed: DataFrame, extra: DataFrame) -> DataFrame:
+    """One row: matches (case, same), those of another type, misses, extras."""
+    one = matches.agg(F.count("*").alias("matched"), F.count_if(~F.col("same")).alias("wrong_type"))
+    return one.join(missed.agg(F.count("*").alias("missed")), F.lit(True)).join(extra.agg(F.count("*").alias("extra")), F.lit(True))  # one row each
+
+
+def flattened(matches: DataFrame, missed: DataFrame, extra: DataFrame) -> DataFrame:
+    """(case, kind, truth_id, found_id, iou): a row for each match, miss and extra, as a report of lines wants it."""
+    none = lambda like: F.lit(None).cast(like)
+    ids = matches.schema["truth_id"].dataType
+    return (
+        matches.select("case", F.when(F.col("same"), "match").otherwise("confused").alias("kind"), "truth_id", "found_id", "iou")
+        .unionByName(missed.select("case", F.lit("missed").alias("kind"), F.col("id").alias("truth_id"), none(ids).alias("found_id"), none("double").alias("iou")))
+        .unionByName(extra.select("case", F.lit("extra").alias("kind"), none(ids).alias("truth_id"), F.col("id").alias("found_id"), none("double").alias("iou")))
+    )
+
+
+def large_enough(boxes: DataFrame, least: int) -> DataFrame:
+    """Boxes (box) of `least` pixels or more: an evaluation may leave out smaller ones on both sides."""
+    return boxes.filter(F.col("box.width") * F.col("box.height") >= least)
+
+
+def chroma_share(pairs: DataFrame, key: str = "frame") -> DataFrame:
+    """(key, chroma_share): how much of an image pair's change is in colour rather than brightness, 0 without any change."""
+    y = lambda k: F.col(f"r{k}") * F.lit(0.299) + F.col(f"g{k}") * F.lit(0.587) + F.col(f"b{k}") * F.lit(0.114)
+    y1, y2 = y(1), y(2)
+    cb = F.abs((F.col("b1") - y1) - (F.col("b2") - y2)) * 0.564
+    cr = F.abs((F.col("r1") - y1) - (F.col("r2") - y2)) * 0.713
+    luma, chroma = F.sum(F.abs(y1 - y2)), F.sum((cb + cr) * 0.5)
+    return pairs.groupBy(key).agg(F.when(luma + chroma > 0, chroma / (luma + chroma)).otherwise(0.0).alias("chroma_share"))
+
+
+def _curve(b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A logistic with a linear part, b0 (1/2 - 1/(1 + exp(b1 (x - b2)))) + b3 x + b4, and its derivatives by b."""
+    e = 1 / (1 + np.exp(np.clip(b[1] * (x - b[2]), -500, 500)))
+    slope = b[0] * e * (1 - e)
+    return b[0] * (0.5 - e) + b[3] * x + b[4], np.stack([0.5 - e, slope * (x - b[2]), -slope * b[1], x, np.ones_like(x)], axis=1)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """(Pearson correlation, root mean square error) of y and the best logistic of x, by damped least squares from several steepnesses
+    of either sign; without a finite correlation, that of x itself."""
+    spread = max(float(x.std()), 1e-9)
+    best, least = None, np.inf
+    for steep in (0.25, 1.0, 4.0, 16.0, 64.0):
+        for sign in (1.0, -1.0):
+            b = np.array([y.max() - y.min(), sign * steep / spread, x.mean(), 0.0, y.mean()])
+            damp, f, j = 1e-2, *_curve(b, x)
+            cost = float(((f - y) ** 2).sum())
+            for _ in range(rounds):
+                a = j.T @ j
+                step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), j.T @ (y - f), rcond=None)[0]
+                g, k = _curve(b + step, x)
+                new = float(((g - y) ** 2).sum())
+                if new < cost:
+                    done = cost - new <= 1e-12 * cost
+                    b, f, j, cost, damp = b + step, g, k, new, damp / 3
+                    if done:
+                        break
+                else:
+                    damp *= 4
+                    if damp > 1e12:
+                        break
+            if cost < least:
+                best, least = f, cost
+    pearson = lambda p: float(np.corrcoef(p, y)[0, 1]) if p.std() > 0 and y.std() > 0 else float("nan")
+    found = pearson(best)
+    return (found if np.isfinite(found) else pearson(x)), float(np.sqrt(((best - y) ** 2).mean()))
+
+
+def fitted(ratings: DataFrame, group: str) -> DataFrame:
+    """(group, n, plcc, rmse) of ratings (group, predicted, rated): the subjective scale is met through a fitted logistic.  A group holds one
+    metric's ratings of one data set."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        plcc, rmse = logistic_fit(t["predicted"].to_numpy(float), t["rated"].to_numpy(float))
+        return pd.DataFrame({group: [t[group].iloc[0]], "n": [len(t)], "plcc": [plcc], "rmse": [rmse]})
+
+    rows = ratings.select(group, "predicted", "rated").filter("predicted IS NOT NULL AND rated IS NOT NULL AND NOT isnan(predicted) AND NOT isnan(rated)")
+    return rows.groupBy(group).applyInPandas(run, f"{group} {ratings.schema[group].dataType.simpleString()}, n long, plcc double, rmse double")
+
+
+def rated_pairs(names: DataFrame, folds: int = 5, path: str = "path") -> DataFrame:
+    """names (path like I07_12_03.png, rating) with reference, distortion, level and fold: all images of a reference share a fold."""
+    part = lambda k: F.regexp_extract(path, r"I(\d+)_(\d+)_(\d+)\.[a-z]+$", k).cast("int")
+    return names.withColumn("reference", part(1)).withColumn("distortion", part(2)).withColumn("level", part(3)).filter("reference IS NOT NULL").withColumn("fold", F.col("reference") % folds)
+
+
+def polarity(ratings: DataFrame, group: str) -> DataFrame:
+    """(group, correlation, declared, holds): does a metric that is declared a distance (distance) fall as ratings rise, and any other rise?"""
+    g = ratings.groupBy(group).agg(F.corr("predicted", "rated").alias("correlation"), F.bool_or("distance").alias("declared"))
+    return g.withColumn("holds", F.when(F.col("declared"), F.col("correlation") < 0).otherwise(F.col("correlation") > 0))

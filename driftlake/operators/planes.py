@@ -23,9 +23,8 @@ WHITE = (0.95047, 1.0, 1.08883)
 
 
 def reflected(index: np.ndarray, n: int) -> np.ndarray:
-    """Places beyond an edge fold back about the edge pixel, which isn't repeated."""
-    index = np.where(index < 0, -index, index)
-    return np.clip(np.where(index > n - 1, 2 * (n - 1) - index, index), 0, n - 1)
+    """Places beyond an edge fold back once about the edge pixel, which isn't repeated, and then stop at the edges."""
+    return np.clip(np.where(index < 0, -index, np.where(index > n - 1, 2 * (n - 1) - index, index)), 0, n - 1)
 
 
 def smoothed(plane: np.ndarray, kernel: Sequence[float]) -> np.ndarray:
@@ -168,3 +167,39 @@ def perceptual_ssim(pairs: DataFrame, options: Perceptual = Perceptual(), key: s
     """(key, score) of opaque colour pairs; alpha is ignored."""
     columns = [f"{c}{k}" for k in (1, 2) for c in "rgb"]
     return _scores(planes(pairs, columns, key), columns, lambda *p: perceptual_of(list(p[:3]), list(p[3:]), options), key)
+
+
+def scale_statistics(pairs: DataFrame, scales: int, key: str = "frame") -> DataFrame:
+    """(key, scale, ssim, structure): the means at every scale, the finest first."""
+    rows = planes(with_gray(pairs), ("l1", "l2"), key)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                a, b = (np.asarray(getattr(row, c), float).reshape(row.height, row.width) for c in ("l1", "l2"))
+                for scale in range(scales):
+                    if scale:
+                        a, b = shrunk(a, 2), shrunk(b, 2)
+                    if min(a.shape) < 2:
+                        break
+                    s, c = scale_maps(a, b)
+                    out.append((getattr(row, key), scale, float(s.mean()), float(c.mean())))
+            yield pd.DataFrame(out, columns=[key, "scale", "ssim", "structure"])
+
+    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, scale int, ssim double, structure double")
+
+
+# A metric by name: what it gives for pairs, and its score where two images differ in size.
+METRICS = {"ssim": (ssim, 0.0), "msssim": (ms_ssim, 0.0), "perceptual": (perceptual_ssim, 0.0)}
+
+
+def compare(pairs: DataFrame, method: str, mismatched: DataFrame | None = None, key: str = "frame", **options) -> DataFrame:
+    """(key, method, score) by a metric's name; images of different sizes (mismatched: key) get its worst score."""
+    if method not in METRICS:
+        raise ValueError(f"method is one of {', '.join(sorted(METRICS))}, not {method!r}")
+    run, worst = METRICS[method]
+    out = run(pairs, key=key, **options).select(key, F.lit(method).alias("method"), "score")
+    if mismatched is not None:
+        out = out.join(mismatched.select(key), key, "left_anti").unionByName(mismatched.select(key, F.lit(method).alias("method"), F.lit(worst).alias("score")))
+    return out

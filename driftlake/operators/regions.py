@@ -322,3 +322,37 @@ def interpret(px: DataFrame, width: int, height: int, key: str = "frame") -> Dat
     out = out.withColumn("shape", shape()).withColumn("position", position(width, height)).filter("change_type <> 'rendering-noise'")
     out = padded(out, width, height).withColumn("percentage", F.col("pixels") * 100.0 / (width * height))
     return out.select(key, "region", "bx", "by", "bw", "bh", "pixels", "percentage", "shape", "position", "change_type", "confidence")
+
+
+REFINE = 100.0  # a squared metric: pixels below it are no change that a coarse mask claims
+
+
+def score_map_regions(cells: DataFrame, across: int, down: int, width: int, height: int, least: float, key: str = "frame") -> DataFrame:
+    """(key, label, bx, by, bw, bh) in image pixels of connected cells (key, x, y, score) of a map of across x down cells that score
+    below `least`; NaN counts as below.  Cells tile the image by floor division; what scales to nothing is left out."""
+    low = F.isnan("score") | F.coalesce(F.col("score") < least, F.lit(True))
+    cells = cells.withColumn("changed", low).withColumn("closed", low)
+    at = lambda c, size, n: F.expr(f"({c}) * {size} div {n}")
+    boxes = component_boxes(cells, key).select(
+        key, "label", at("bx", width, across).alias("bx"), at("by", height, down).alias("by"), at("bx + bw", width, across).alias("_x"), at("by + bh", height, down).alias("_y")
+    )
+    return boxes.filter("_x > bx AND _y > by").select(key, "label", "bx", "by", (F.col("_x") - F.col("bx")).alias("bw"), (F.col("_y") - F.col("by")).alias("bh"))
+
+
+def within(px: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:
+    """Pixels of boxes (key, region, bx, by, bw, bh), once for each box.  Boxes are cut into rows, so a pixel meets the boxes of its own row alone."""
+    rows = boxes.select(key, F.explode(F.sequence(F.col("by").cast("int"), (F.col("by") + F.col("bh") - 1).cast("int"))).alias("y"), "region", "bx", "bw")
+    return px.join(rows, [key, "y"]).filter("x >= bx AND x < bx + bw").drop("bx", "bw")
+
+
+def union_pixels(px: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:
+    """(key, pixels): changed pixels under any of an image's boxes; one under two counts once."""
+    return within(px.filter("changed").select(key, "x", "y"), boxes, key).select(key, "x", "y").distinct().groupBy(key).agg(F.count("*").alias("pixels"))
+
+
+def refined(px: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:
+    """(key, x, y): of the pixels that boxes claim as changed, those whose metric reaches REFINE; a box in which none does keeps all its
+    pixels if any differs.  Boxes are judged apart, whatever their order."""
+    inside = within(px.select(key, "x", "y", F.abs("delta").alias("size")), boxes, key)
+    faint = inside.groupBy(key, "region").agg(F.max("size").alias("most")).filter((F.col("most") < REFINE) & (F.col("most") > 0)).select(key, "region")
+    return inside.filter(F.col("size") >= REFINE).select(key, "x", "y").union(inside.join(faint, [key, "region"], "left_semi").select(key, "x", "y")).distinct()

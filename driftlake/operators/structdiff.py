@@ -77,3 +77,10 @@ def path_text(path: str = "path") -> Column:
     """A path as text, such as $.lines[0].qty."""
     step = lambda p: F.when(p["idx"].isNull(), F.concat(F.lit("."), p["key"])).otherwise(F.concat(F.lit("["), p["idx"].cast("string"), F.lit("]")))
     return F.concat(F.lit("$"), F.array_join(F.transform(path, step), ""))
+
+
+def rich_equal(kind: Column, one: Column, two: Column) -> Column:
+    """Are two values equal that JSON writes as text?  Dates by their instant, and equal where neither is one; numbers by value; patterns
+    by source and flags; other texts as they are."""
+    instant = lambda c: F.try_to_timestamp(c)
+    return F.when(kind == "date", instant(one).eqNullSafe(instant(two))).when(kind == "number", one.try_cast("double") == two.try_cast("double")).otherwise(one == two)

@@ -80,11 +80,6 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.iou_pairs(*boxes(spark, sf_dir)).withColumn("iou", F.round("iou", 9))
 
 
-@query("iou_greedy")
-def iou_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.match(evaluation.iou_pairs(*boxes(spark, sf_dir)))
-
-
 @query("expected_absent", f'WITH {BOXES_SQL} SELECT "case", id FROM truth WHERE NOT expected AND id NOT IN (SELECT truth_id FROM io)')
 def expected_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = evaluation.match_cases(*boxes(spark, sf_dir))[0]
