@@ -10,9 +10,10 @@ which sums to one over the training words and one unknown word.  A text's tokens
 follows a begin.
 
 The trie is cut into shards by the hash of a context.  A shard holds flat levels: the contexts as an Elias-Fano
-sequence, monotone pointers into the next level, 40-bit successors sorted within their context, and quantised
-log10 probabilities.  ``Trie`` reads such a buffer in place, whether it comes from an Arrow column or a memory
-map.  Shards are built where they are asked: every batch of documents sends what n-grams it has, with counts from its
+sequence, monotone pointers into the next level as another, successors as a third (each beside its context's number, which makes the
+whole level monotone), and quantised log10 probabilities.  ``Trie`` searches the coded levels as they are, a successor
+within its context's pointers alone.  The buffer may come from an Arrow column or a memory map; no file is mapped
+here, as shards are built where they are asked: every batch of documents sends what n-grams it has, with counts from its
 training documents, and gets their probabilities back, so neither the model nor any part of it is broadcast.
 
 Defined cases: a null text has the end as its only token; a null id counts as the empty text in the split;
@@ -101,39 +102,32 @@ class Trie:
         with np.errstate(divide="ignore"):
             code = np.where(p > 0, np.minimum(np.rint(-np.log10(p) * STEP), ZERO - 1), ZERO).astype(np.uint16)
         back = np.minimum(np.rint(-np.log10(rest) * STEP), ZERO - 1).astype(np.uint16)
-        parts = [eliasfano.encode(words), eliasfano.encode(pointer.astype(np.uint64)), word_count.astype(np.uint32).tobytes(), back.tobytes(), _five(successor), code.tobytes()]
+        level = of.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
+        parts = [eliasfano.encode(words), eliasfano.encode(pointer.astype(np.uint64)), word_count.astype(np.uint32).tobytes(), back.tobytes(), eliasfano.encode(level), code.tobytes()]
         return np.array([len(x) for x in parts], np.uint64).tobytes() + b"".join(parts)
 
     def __init__(self, buffer):
         sizes = np.frombuffer(buffer, np.uint64, 6).astype(np.int64)
         at = 48 + np.concatenate(([0], np.cumsum(sizes)))
         view = memoryview(buffer)
-        self.words, _ = eliasfano.decode(view[at[0] :])
-        pointer, _ = eliasfano.decode(view[at[1] :])
-        self.pointer = pointer.astype(np.int64)
-        n, m = len(self.words), int(self.pointer[-1]) if len(self.pointer) else 0
-        self.word_count = np.frombuffer(view, np.uint32, n, at[2])
-        self.back = np.frombuffer(view, np.uint16, n, at[3])
-        self.successor = _from_five(view, m, at[4])
-        self.code = np.frombuffer(view, np.uint16, m, at[5])
+        self.words, self.pointer, self.level = (eliasfano.Sequence(view[at[i] : at[i + 1]]) for i in (0, 1, 4))
+        self.word_count = np.frombuffer(view, np.uint32, len(self.words), at[2])
+        self.back = np.frombuffer(view, np.uint16, len(self.words), at[3])
+        self.code = np.frombuffer(view, np.uint16, len(self.level), at[5])
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Places of words in the first level, -1 for those it lacks."""
-        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
+        return self.words.search(words, np.zeros(len(words), np.int64), np.full(len(words), len(self.words)))
 
     def follow(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of successors, searched for within their contexts' ranges alone; ZERO for those that never followed."""
-        lo = np.where(context < 0, 0, self.pointer[context])
-        end = np.where(context < 0, 0, self.pointer[context + 1])
-        hi, last = end.copy(), max(0, len(self.successor) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            less = self.successor[np.minimum(mid, last)] < successor
-            lo = np.where(open_ & less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        at = np.minimum(lo, last)
-        return np.where((lo < end) & (self.successor[at] == successor), self.code[at], ZERO).astype(np.uint16) if len(self.successor) else np.full(len(successor), ZERO, np.uint16)
+        out = np.full(len(successor), ZERO, np.uint16)
+        known = np.flatnonzero(context >= 0)
+        c = context[known]
+        begin, end = (self.pointer[c + k].astype(np.int64) for k in (0, 1))
+        at = self.level.search(c.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor[known], begin, end)
+        out[known[at >= 0]] = self.code[at[at >= 0]]
+        return out
 
 
 def ask(shards: int):

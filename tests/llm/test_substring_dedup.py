@@ -127,3 +127,16 @@ def test_regular_texts_are_told_apart(spark):
     rows = [(i, " ".join(s)) for i, s in enumerate(signs)] + [(2 + i, " ".join([s * 16] * 20)) for i, s in enumerate(signs)]
     got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1), st.integers(0, 63), st.lists(st.integers(0, 2**64 - 1)))
+def test_elias_fano_is_searched_in_place(values, shift, others):
+    v = np.sort(np.array([x >> shift for x in values], np.uint64))
+    s = eliasfano.Sequence(memoryview(eliasfano.encode(v)))
+    assert len(s) == len(v) and s[np.arange(len(v))].tolist() == v.tolist()
+    asked = np.concatenate((v, np.array([x >> shift for x in others], np.uint64)))
+    at = s.search(asked, np.zeros(len(asked), np.int64), np.full(len(asked), len(v)))
+    assert [(-1 if i < 0 else int(v[i])) for i in at] == [(int(x) if x in v else -1) for x in asked]
+    half = s.search(v, np.full(len(v), len(v) // 2), np.full(len(v), len(v)))
+    assert all((i >= len(v) // 2) == (x in v[len(v) // 2 :]) for i, x in zip(half, v))
