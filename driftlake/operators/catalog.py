@@ -150,3 +150,16 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, ma
         return found
     w = Window.partitionBy("host").orderBy("depth", "url")
     return found.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= max_routes).drop("_nth")
+
+
+def stale(entries: DataFrame) -> DataFrame:
+    """Entries (hash, captured_hash) that were edited since they were captured."""
+    return entries.filter(~F.col("hash").eqNullSafe(F.col("captured_hash")))
+
+
+def discovered(pages: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_routes: int | None = MAX_ROUTES) -> DataFrame:
+    """(host, url, depth): what a crawl of each host finds from its start, one route for each normal path, the nearest.  The caps on depth
+    and routes are the crawl's feature; None lifts the latter."""
+    found = reachable(links(pages), starts, max_depth, max_routes)
+    w = Window.partitionBy("host", "url").orderBy("depth")
+    return found.withColumn("url", normal_path(F.col("url"))).withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")

@@ -65,6 +65,20 @@ def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.reachable(catalog.links(pages), start)
 
 
+@query("discovered_routes", f"""WITH {HREFS}, st AS (SELECT DISTINCT host, src AS url, 0 AS depth FROM (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, min(CASE WHEN s1 = '' THEN '/' ELSE s1 END) AS src
+  FROM (SELECT url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS s1 FROM pages) GROUP BY 1)),
+one AS (SELECT DISTINCT host, dst AS url, 1 AS depth FROM lk JOIN st USING (host) WHERE src = st.url AND (host, dst) NOT IN (SELECT (host, url) FROM st)),
+al AS (SELECT * FROM st UNION ALL SELECT * FROM one),
+nm AS (SELECT host, depth, regexp_replace(regexp_extract(url, '^[^?]*'), '/+$', '') AS p0, regexp_extract(url, '^[^?]*\\?([^?]*)', 1) AS q FROM al)
+SELECT host, CASE WHEN p0 = '' THEN '/' ELSE p0 END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url, min(depth) AS depth FROM nm GROUP BY ALL""")
+def discovered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every normal path that a host's first page leads to, without a cap."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    here = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "#.*$", "")
+    start = pages.groupBy(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("host")).agg(F.min(F.when(here == "", "/").otherwise(here)).alias("url"))
+    return catalog.discovered(pages, start, max_depth=1, max_routes=None)
+
+
 # A manifest: three entries of four are base entries, the fourth is derived from the one before it, or, every fifth time, from one that is gone.
 ENTRIES = """CASE WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING), '__menu') ELSE concat('p', CAST(page_id AS STRING)) END AS id,
 regexp_replace(url, '^[a-z]+://[^/]*', '') AS url, CASE WHEN page_id % 20 = 3 THEN concat('gone', CAST(page_id AS STRING)) WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING)) END AS parent, page_id % 8 = 3 AS derived"""
@@ -146,3 +160,11 @@ def report_from_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*_split(ENTRIES), "page_id", "length(html) AS size")
     judged = p.filter("size > 3000").select("id", F.when(F.col("page_id") % 3 == 0, "fail").otherwise("needs-judgment").alias("status"))
     return catalog.with_passes(p.select("id"), judged)
+
+
+@query("stale_entries", f"WITH {ENTRIES_SQL} SELECT id FROM en WHERE page_id % 7 = 3 OR page_id % 9 = 4")
+def stale_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose capture has another hash, or none."""
+    i = F.col("page_id")
+    e = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*_split(ENTRIES), "page_id").withColumn("hash", F.sha2("url", 256))
+    return catalog.stale(e.withColumn("captured_hash", F.when(i % 7 == 3, F.concat("hash", F.lit("0"))).when(i % 9 != 4, F.col("hash")))).select("id")

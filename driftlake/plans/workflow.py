@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlake.plans.registry import query
-from driftlake.sources.scratch import shared_dir
+from driftlake.sources.scratch import new_path
 from driftlake.streaming import checks
 
 
@@ -13,4 +14,12 @@ from driftlake.streaming import checks
 def latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last event, folded as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return checks.run_latest(spark, f"{sf_dir}/events*.parquet", schema, shared_dir(spark), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    return checks.run_latest(spark, f"{sf_dir}/events*.parquet", schema, new_path(spark, "stream"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+
+
+@query("pending_requests", "SELECT event_id AS id, user_id FROM events WHERE event_type = 'signup' AND event_id + 1 NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
+def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups that the next event doesn't answer with a purchase."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    asked = e.filter("event_type = 'signup'").select(F.col("event_id").alias("id"), "user_id")
+    return checks.pending(asked, e.filter("event_type = 'purchase'").select((F.col("event_id") - 1).alias("id")))

@@ -1,13 +1,12 @@
 """Streams of check events: the latest state of every key, folded as files arrive.
 
-State is one row for each key; the checkpoint lets a stopped stream go on where it was, and every batch's result is
-written as a whole version, so a batch that runs twice gives the same table.
+A stream writes the rows of the keys that a batch changed, as one folder a batch, so what it writes goes with what changed and not with
+all keys.  The checkpoint lies beside the state in the caller's folder: a stream that stopped goes on where it was, and a
+batch that runs twice gives the same rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +23,31 @@ def latest(events: DataFrame, key: str, order: list[str], values: list[str]) ->
 
 
 def fold(state: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs an aggregated stream over all that is there and writes each batch's state to path/version=<batch>."""
+    """Runs an aggregated stream over all that is there and writes the rows that each batch changed to path/batch=<number>."""
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+def newest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The state: of every key the row of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(key, "last.*")
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of a folded state."""
-    versions = spark.read.parquet(path)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version")
+def compact(spark: SparkSession, path: str, key: str, to: str) -> None:
+    """The state as one table, for readers that come after many batches."""
+    newest(spark, path, key).write.parquet(to)
 
 
 def run_latest(spark: SparkSession, source: str, schema, folder: str, key: str, order: list[str], values: list[str]) -> DataFrame:
-    run = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The state after all files that are there.  Called again with the same folder it reads new files alone."""
+    run = folder.rstrip("/")
     fold(latest(read_events(spark, source, schema), key, order, values), f"{run}/state", f"{run}/checkpoint")
-    return newest(spark, f"{run}/state")
+    return newest(spark, f"{run}/state", key)
 
 
 def pending(requests: DataFrame, verdicts: DataFrame, key: str = "id") -> DataFrame:
