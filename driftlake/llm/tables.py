@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from driftlake.sources.scratch import kept, new_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir.  Only a local session, whose executor is the driver, may lack it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='driftlake-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+__all__ = ["kept", "new_path", "parts", "shared_dir", "table"]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table in the shared folder: later plans start from its files, and know their size."""
-    spark = df.sparkSession
-    path = new_path(spark, "kept")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts(spark: SparkSession) -> int:
