@@ -234,7 +234,7 @@ def fitted(ratings: DataFrame, group: str) -> DataFrame:
 
 def rated_pairs(names: DataFrame, folds: int = 5, path: str = "path") -> DataFrame:
     """names (path like I07_12_03.png, rating) with reference, distortion, level and fold: all images of a reference share a fold."""
-    part = lambda k: F.regexp_extract(path, r"I(\d+)_(\d+)_(\d+)\.[a-z]+$", k).cast("int")
+    part = lambda k: F.regexp_extract(path, r"I(\d+)_(\d+)_(\d+)\.[a-z]+$", k).try_cast("int")
     return names.withColumn("reference", part(1)).withColumn("distortion", part(2)).withColumn("level", part(3)).filter("reference IS NOT NULL").withColumn("fold", F.col("reference") % folds)
 
 
