@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.functions import color
-from driftlake.operators import pixeldiff, similarity
+from driftlake.operators import pixeldiff, rasters, similarity
 from driftlake.plans.registry import query
 from driftlake.sources.frames import FRAMES_SQL, SIDE, frame_pairs, frames, edited, pair
 
@@ -116,6 +116,12 @@ def aa_aware_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixeldiff.summary(aa_status(spark, sf_dir)).select("frame", "diff_count", "aa_count")
 
 
+@query("raster_diff", f"{DELTA_SQL}, {AROUND_SQL} SELECT frame, count(*) AS pixels, count(*) FILTER (status = 'diff') AS diff_count, count(*) FILTER (status = 'aa') AS aa_count, bool_and(r1 = r2 AND g1 = g2 AND b1 = b2 AND a1 = a2) AS identical FROM st GROUP BY frame")
+def raster_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as aa_aware_diff, on rasters."""
+    return rasters.compare(rasters.packed(frame_pairs(spark, sf_dir))).drop("reason")
+
+
 FADE = f"CAST(trunc(255 + (({dot_sql(('r1', 'g1', 'b1'), color.Y)}) - 255) * 0.1::DOUBLE * a1 / 255) AS INT)"
 
 
