@@ -3,7 +3,8 @@
 ``spark.dataSource.register(WarcDataSource)`` gives format "warc".  Reading plans one partition for each run of
 archive files; predicates on warc_type and on the header columns are pushed down, headers are parsed first, and the
 payload of a record that fails them (or that option payload=false says nobody wants) is passed over without
-being decoded.  Writing makes one archive for each task, a gzip member for each record, in a staging folder; the
+being decoded.  Archives of our own have an index beside them, which holds every member's place and headers: there, unwanted
+members aren't even read; in archives without one they are inflated to get past them.  Writing makes one archive for each task, a gzip member for each record, in a staging folder; the
 committed tasks' files are then moved into place, so a lost executor's half-written archive never shows.
 
 Files are reached through pyarrow.fs, so a path may be local or any store that it knows by URI.
@@ -15,9 +16,11 @@ digest; a null URL has no WARC-Target-URI; an empty table writes no archive and
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import io
+import json
 import urllib.parse
 import uuid
 import zlib
@@ -86,6 +89,28 @@ def records(stream: BinaryIO, wanted) -> Iterator[tuple[dict[str, str], bytes |
                 yield headers, None
 
 
+INDEX = ".idx"  # after an archive's name: for each member its offset, length and header lines
+
+
+def member(stream: BinaryIO) -> tuple[dict[str, str], bytes]:
+    """The only record of an inflated member."""
+    return next(records(stream, lambda headers: "block"))
+
+
+def indexed(at: fs.FileSystem, path: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """As records(), for an archive with an index: headers come from the index, and only wanted members are read."""
+    with at.open_input_stream(path + INDEX, compression=None) as f:
+        entries = json.loads(zlib.decompress(f.read()))
+    with at.open_input_file(path) as raw:
+        for offset, length, headers in entries:
+            want = wanted(headers)
+            if want == "block":
+                raw.seek(offset)
+                yield headers, member(io.BytesIO(gzip.decompress(raw.read(length))))[1]
+            elif want:
+                yield headers, None
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     if headers.get("content-type", "").startswith("application/http"):
         return block.partition(b"\r\n\r\n")[2]
@@ -143,9 +168,13 @@ class WarcReader(DataSourceReader):
         rows: list[tuple] = []
         size = 0
         for path in partition.paths:
-            with at.open_input_stream(path, compression=None) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BytesIO(raw.read())
-                for headers, block in records(stream, wanted):
+            with contextlib.ExitStack() as held:
+                if at.get_file_info(path + INDEX).type == fs.FileType.File:
+                    found = indexed(at, path, wanted)
+                else:
+                    raw = held.enter_context(at.open_input_stream(path, compression=None))
+                    found = records(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BytesIO(raw.read()), wanted)
+                for headers, block in found:
                     payload = None if block is None else payload_of(headers, block)
                     digest = headers.get("warc-payload-digest", "")
                     if payload is not None and digest.startswith("sha1:") and b32(hashlib.sha1(payload).digest()) != digest[5:]:
@@ -173,7 +202,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         at, root = open_fs(self.path)
-        name, out = None, None
+        name, out, place, entries = None, None, 0, []
         try:
             for b in batches:
                 for row in b.to_pylist():
@@ -185,17 +214,25 @@ class WarcWriter(DataSourceArrowWriter):
                     digest = b32(hashlib.sha1(payload).digest())
                     rid = row["record_id"] or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, (row['target_uri'] or '') + digest)}>"
                     packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    out.write(packer.compress(record(rid, row["warc_type"], row["target_uri"], payload, digest, row["refers_to"])) + packer.flush())
+                    whole = record(rid, row["warc_type"], row["target_uri"], payload, digest, row["refers_to"])
+                    packed = packer.compress(whole) + packer.flush()
+                    out.write(packed)
+                    entries.append((place, len(packed), next(records(io.BytesIO(whole), lambda headers: "headers"))[0]))
+                    place += len(packed)
         finally:
             if out is not None:
                 out.close()
+        if name is not None:
+            with at.open_output_stream(f"{root}/{self.staging}/{name}{INDEX}", compression=None) as f:
+                f.write(zlib.compress(json.dumps(entries).encode(), 4))
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
         at, root = open_fs(self.path)
         for m in messages:
             if m is not None and m.name:
-                at.move(f"{root}/{self.staging}/{m.name}", f"{root}/{m.name}")
+                for end in (INDEX, ""):  # the archive last: what is there has its index
+                    at.move(f"{root}/{self.staging}/{m.name}{end}", f"{root}/{m.name}{end}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -164,3 +164,26 @@ def test_warc_predicates_reach_the_reader(spark, tmp_path):
 def test_warc_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none, path=str(tmp_path / "none")).count() == 0
+
+
+def test_warc_reads_wanted_members_alone(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"own {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(2)
+    path = tmp_path / "w"
+    warc.archive(pages, str(path))
+    archives = sorted(p for p in path.iterdir() if p.name.endswith(".warc.gz"))
+    assert all((path / (p.name + warc.INDEX)).exists() for p in archives)
+    back = {r.target_uri: bytes(r.payload) for r in warc.read_warc(spark, str(path)).collect()}
+    assert back == {f"http://h/{i}": (f"own {i} " * 50).encode() for i in range(20)}
+    for p in archives:  # what isn't asked for may even be broken
+        p.write_bytes(b"\0" * p.stat().st_size)
+    assert warc.read_warc(spark, str(path), payload=False).filter("target_uri = 'http://h/4'").count() == 1
+    assert warc.read_warc(spark, str(path)).filter("warc_type = 'revisit'").count() == 0
+
+
+def test_warc_without_an_index(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/1", "a" * 300_000), (1, "http://h/1", "b"), (None, None, "b")], "page_id long, url string, html string")
+    warc.archive(pages, str(tmp_path / "w"))
+    for p in (tmp_path / "w").glob("*.idx"):
+        p.unlink()
+    back = warc.read_warc(spark, str(tmp_path / "w"))
+    assert back.count() == 3 and back.filter("length(payload) = 300000").count() == 1
