@@ -139,7 +139,8 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, max_routes: int | None = MAX_ROUTES) -> DataFrame:
-    """(host, url, depth): pages within max_depth links of the start (host, url), at most max_routes a host, nearer ones first."""
+    """(host, url, depth): pages within max_depth links of the start (host, url), at most max_routes a host, nearer ones first.  Both caps
+    are the crawl's feature; None lifts the second."""
     found = kept(start.select("host", "url").distinct().withColumn("depth", F.lit(0)))
     frontier = found
     for depth in range(1, max_depth + 1):

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.functions import color
+from driftlake.operators import shifts
+from driftlake.sources.scratch import kept
 
 # Thresholds of detection.
 TOUCHED = 16.0  # a squared metric: the pixel differs at all
@@ -188,8 +190,10 @@ def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str =
     second for distances from the background's mean."""
     px = with_steps(with_edges(px, key), key)
     box = [name, "bx", "by", "bw", "bh"]
-    near = (F.col("x") >= F.col("bx") - 1) & (F.col("x") <= F.col("bx") + F.col("bw")) & (F.col("y") >= F.col("by") - 1) & (F.col("y") <= F.col("by") + F.col("bh"))
-    cells = px.join(regions.select(key, *box), key).filter(near).withColumn("inside", _in())
+    # boxes are cut into rows, so a pixel meets those of its own row alone
+    rows = regions.select(key, *box, F.explode(F.sequence((F.col("by") - 1).cast("int"), (F.col("by") + F.col("bh")).cast("int"))).alias("y"))
+    near = (F.col("x") >= F.col("bx") - 1) & (F.col("x") <= F.col("bx") + F.col("bw"))
+    cells = px.join(rows, [key, "y"]).filter(near).withColumn("inside", _in())
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     w, h = F.col("bw"), F.col("bh")
     band = F.greatest(F.lit(1), F.least(F.lit(12), F.floor(F.least(w, h) / 4))).cast("int")
@@ -256,6 +260,7 @@ def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str =
 
 
 def shape() -> Column:
+    """What a region's filling looks like; the limits are fixed values."""
     fill, border, inner, centre = (F.col(c) for c in ("fill", "border", "inner_fill", "centre"))
     frame = (inner < 0.20) & ((border > 0.60) | ((centre < 0.10) & (border > 0.30) & (fill < 0.50)))
     spread = (F.col("row_share") > 0.7) & (F.col("column_share") > 0.7)
@@ -269,12 +274,9 @@ def position(width: int, height: int) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("-", F.nullif(down, F.lit("")), F.nullif(across, F.lit(""))), F.lit("")), F.lit("center"))
 
 
-def severity(percentage: Column) -> Column:
-    return F.when(percentage < 1, "low").when(percentage <= 10, "medium").otherwise("high")
-
-
 def change_type(measured: DataFrame) -> DataFrame:
-    """Adds change_type and confidence by an ordered list of rules; the first that holds decides."""
+    """Adds change_type and confidence by an ordered list of rules; the first that holds decides.  The limits here are fixed values,
+    as are those above."""
     c = F.col
     faint, still1, still2 = c("mean_delta") < 0.05, c("edges1") < 0.05, c("edges2") < 0.05
     agree = (still1 & still2) | (c("edges_agree") > 0.85)
@@ -314,11 +316,15 @@ def padded(regions: DataFrame, width: int, height: int) -> DataFrame:
     return regions
 
 
-def interpret(px: DataFrame, width: int, height: int, key: str = "frame") -> DataFrame:
-    """The regions that matter: box, pixels, shape, position, change type and confidence; rendering noise is left out."""
+def interpret(px: DataFrame, width: int, height: int, key: str = "frame", moves: bool = True) -> DataFrame:
+    """The regions that matter: box, pixels, shape, position, change type and confidence; both halves of a move are shifts, and rendering
+    noise is left out."""
     px = closed(px, radius(width, height), key)
     found = detect(px, key)
     out = change_type(measures(px, found, key)).join(found.select(key, "region", "pixels"), [key, "region"])
+    if moves:
+        out = kept(out)
+        out = shifts.with_shifts(out, shifts.shift_pairs(px, out, key), key)
     out = out.withColumn("shape", shape()).withColumn("position", position(width, height)).filter("change_type <> 'rendering-noise'")
     out = padded(out, width, height).withColumn("percentage", F.col("pixels") * 100.0 / (width * height))
     return out.select(key, "region", "bx", "by", "bw", "bh", "pixels", "percentage", "shape", "position", "change_type", "confidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.operators.regions import severity
+from driftlake.operators.pixeldiff import severity
 
 # Types in the order of reports, their headings, and what they speak for.
 TYPES = {"content-change": "Content changed", "addition": "Content added", "deletion": "Content removed", "shift": "Content shifted", "color-change": "Colors changed", "rendering-noise": "Rendering noise"}
@@ -24,7 +24,8 @@ def _plural(n: Column) -> Column:
 
 
 def summaries(pairs: DataFrame, regions: DataFrame, key: str = "frame") -> DataFrame:
-    """(key, severity, summary) of pairs (key, diff_percentage): a first line, then a line for each type of change."""
+    """(key, severity, summary) of pairs (key, diff_percentage): a first line, then a line for each type of change.  The lines' wording is a
+    fixed value."""
     types = list(TYPES)
     first = regions.groupBy(key, "change_type", "position").agg(F.min("region").alias("at"), F.count("*").alias("n"))
     lines = first.groupBy(key, "change_type").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "position"))).alias("where"))

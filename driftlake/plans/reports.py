@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.operators import catalog, reports
-from driftlake.operators.regions import severity
+from driftlake.operators.pixeldiff import severity
 from driftlake.operators.verdicts import TYPES, passes
 from driftlake.plans.registry import query
 
