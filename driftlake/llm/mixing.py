@@ -132,11 +132,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cut to its first words where the source's last block ends within it.  Rows equal in id, source and text share their draws."""
     _, got = pieces(docs, id_col, text_col, source_col, weights, slots, max_epochs)
     draws = got.groupBy("_rank", "_start", "_id", "_size", "_epoch").agg(F.first("_key").alias("_key"), F.first("_source").alias("_src"), F.sum("_words").alias("_take"))
-    draws = draws.select("_id", "_src", "_key", F.col("_size").alias("_n"), "_take")
+    draws = draws.select(F.col("_id").alias("_mix_id"), F.col("_src").alias("_mix_source"), F.col("_key").alias("_mix_text"), F.col("_size").alias("_mix_size"), F.col("_take").alias("_mix_take"))
     texts = docs.withColumn("_mix_key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).dropDuplicates([id_col, source_col, "_mix_key"])
-    drawn = texts.join(draws, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_mix_key") == F.col("_key")))
-    cut = F.array_join(F.slice(words(F.col(text_col)), 1, F.col("_take").cast("int")), " ")
-    drawn = drawn.withColumn(text_col, F.when(F.col("_take") < F.col("_n"), cut).otherwise(F.col(text_col)))
+    drawn = texts.join(draws, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_key") == F.col("_mix_text")))
+    cut = F.array_join(F.slice(words(F.col(text_col)), 1, F.col("_mix_take").cast("int")), " ")
+    drawn = drawn.withColumn(text_col, F.when(F.col("_mix_take") < F.col("_mix_size"), cut).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         drawn = drawn.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return drawn.select(docs.columns)
