@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from driftlake.plans import catalog, evaluation, imaging, interpretation, quality, records, reports, scales, workflow  # noqa: E402,F401  register their queries
+from driftlake.plans import catalog, evaluation, imaging, interpretation, quality, records, reports, scales, workflow, dispatch  # noqa: E402,F401  register their queries
