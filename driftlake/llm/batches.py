@@ -75,7 +75,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, others: Sequence[str] =
         from driftlake.llm import kernels
 
         part, seq = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         waiting: list[pa.RecordBatch] = []
         size = 0
 
