@@ -1,4 +1,4 @@
-"""The ten corpus operators over their whole tables, with production parameters."""
+"""The corpus operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlake.llm import html_extract, imatch, lm_score, mixing, near_dedup, quality_rules, sentencepiece_bpe, sharding, substring_dedup, warc
+from driftlake.llm import html_extract, imatch, lm_score, merkle, mixing, near_dedup, periodic, quality_rules, sentencepiece_bpe, sharding, substring_dedup, token_files, warc
 from driftlake.llm.tables import table
 
 MODEL = "piece_bpe_32k.model"  # of the public vocabulary files
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "payload")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file or public_tokenizers.path(TOKENIZER)).drop("ids")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(table(spark, sf_dir, "documents")).drop("runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_html_extract": op2_html_extract,
@@ -65,8 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_token_files": op11_token_files,
+    "op12_merkle": op12_merkle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {
+    "op12_merkle": merkle.QUERY_SQL,
     "op7_mix_sources": mixing.QUERY_SQL,
     "op9_quality_rules": quality_rules.QUERY_SQL,
 }
