@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlake.sources.scratch import kept
+
 TYPES = ("content-change", "addition", "deletion", "shift", "color-change", "rendering-noise")
 IOU = 0.3
 
@@ -110,39 +114,106 @@ def gates(scores: DataFrame, baseline: DataFrame, floors: DataFrame, macro_floor
     return out.select((F.size("reasons") == 0).alias("passed"), F.array_join("reasons", "; ").alias("reasons"), (F.col("now") - F.col("then")).alias("macro_delta"))
 
 
+BLOCK, BLOCKS = 50_000, 1000  # rows of a range, and how many ranges there are at most: their square bounds the table of pairs of ranges
+
+
+def _ranges(n: int) -> int:
+    return max(1, min(BLOCKS, -(-n // BLOCK)))
+
+
 def ranked(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
-    """Adds ranks from 1; equal values share their mean rank.  Counts by value are ranked, so rows of one value never meet in a window."""
+    """Adds ranks from 1; equal values share their mean rank.
+
+    Counts by value are sorted over ranges: a rank is what lies in ranges before plus a running sum within the range, so neither a value's
+    rows nor a group's values meet in one task."""
     keys = [group] if group else []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys or [F.lit(0)]).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return df.join(counts, [*keys, value])
+    counts = kept(counts)
+    counts = kept(counts.repartitionByRange(_ranges(counts.count()), *keys, value).withColumn("_part", F.spark_partition_id()))
+    totals = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_t"))  # a row for each range and group in it
+    before = totals.withColumn("_t", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.join(before, [*keys, "_part"]).withColumn(name, F.col("_t") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
+    return df.join(counts.drop("_n", "_t", "_part"), [*keys, value])
+
+
+def inversions(groups: np.ndarray, values: np.ndarray, weights: np.ndarray, n_groups: int) -> np.ndarray:
+    """For each group the weight of pairs of its elements of which the earlier has the greater value.
+
+    Bit by bit of the values' ranks, the highest first: among elements that agree in the higher bits, a set bit before a clear one is such a pair."""
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    bits = int(rank.max()).bit_length() if len(rank) else 0
+    total = np.zeros(n_groups, np.int64)
+    for bit in range(bits - 1, -1, -1):
+        prefix = groups.astype(np.int64) << (bits - bit - 1) | rank >> (bit + 1)
+        order = np.argsort(prefix, kind="stable")
+        p, w, one = prefix[order], weights[order], (rank[order] >> bit & 1).astype(bool)
+        heavy = np.cumsum(w * one)
+        head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        start = np.repeat(np.concatenate(([0], heavy[head[1:] - 1])), np.diff(np.append(head, len(p))))
+        np.add.at(total, groups[order][~one], (w * (heavy - start))[~one])
+    return total
+
+
+def discordant(cells: DataFrame, group: str) -> DataFrame:
+    """(group, down): the weight of pairs of cells (group, a, b, c) of which one has the greater a and the smaller b.
+
+    Cells are cut into ranges of (a, b) and into ranges of (b, a).  Pairs in one range of the former, and those in one of the latter but in two of the
+    former, are counted within a task; pairs in different ranges of both come from the table of weights by both ranges, which
+    holds BLOCKS squared numbers a group at most."""
+    cells = kept(cells.select(group, "a", "b", "c"))
+    ranges = _ranges(cells.count())
+    dealt = kept(cells.repartitionByRange(ranges, group, "a", "b").withColumn("pa", F.spark_partition_id()))
+    dealt = kept(dealt.repartitionByRange(ranges, group, "b", "a").withColumn("pb", F.spark_partition_id()))
+    kind = f"`{group}` {cells.schema[group].dataType.simpleString()}, down decimal(38,0)"
+
+    def found(names: pa.Array, down: list[int]) -> pa.Table:
+        return pa.table({group: names, "down": pa.array(map(Decimal, down), pa.decimal128(38, 0))})
+
+    def within(order: list[str]):
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by([(c, "ascending") for c in order])
+            coded = t.column(group).combine_chunks().dictionary_encode()
+            at = np.asarray(coded.indices).astype(np.int64)
+            return found(coded.dictionary, inversions(at, t.column("b").to_numpy(), t.column("c").to_numpy(), len(coded.dictionary)).tolist())
+
+        return run
+
+    def between(t: pa.Table) -> pa.Table:
+        p, k = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("pa", "pb"))
+        table = np.zeros((p.max() + 1, k.max() + 1), np.int64)
+        table[p, k] = t.column("c").to_numpy()
+        before = np.zeros_like(table)  # of earlier ranges by a and later ones by b
+        before[1:, :-1] = table.cumsum(0)[:-1, ::-1].cumsum(1)[:, ::-1][:, 1:]
+        return found(t.column(group).slice(0, 1), [sum(int((x * y).sum()) for x, y in zip(table, before))])
+
+    one = dealt.groupBy("pa").applyInArrow(within([group, "a", "b"]), kind)
+    two = dealt.groupBy("pb").applyInArrow(within([group, "pa", "b"]), kind)
+    three = dealt.groupBy(group, "pa", "pb").agg(F.sum("c").alias("c")).groupBy(group).applyInArrow(between, kind)
+    return one.union(two).union(three).groupBy(group).agg(F.sum("down").cast("double").alias("down"))
 
 
 def correlations(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     """(group, n, pearson, spearman, kendall) over rows in which both values are finite, for groups of 3 or more; NaN where a side is constant.
 
-    Kendall's tau-b counts cells of equal value pairs, so its work goes with the square of a group's distinct pairs, which
-    ratings keep low."""
+    Kendall's tau-b is made of counts of ties and of discordant pairs; no rows are paired for it."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = df.select(group, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter(fine("a") & fine("b"))
     enough = rows.groupBy(group).agg(F.count("*").alias("n")).filter("n >= 3").select(group)
     rows = rows.join(enough, group, "left_semi")
     r = ranked(ranked(rows, "a", "ra", group), "b", "rb", group)
-    flat = (F.var_pop("a") == 0) | (F.var_pop("b") == 0)
     nan = F.lit(float("nan"))
-    base = r.groupBy(group).agg(F.count("*").alias("n"), F.when(flat, nan).otherwise(F.corr("a", "b")).alias("pearson"), F.when(flat, nan).otherwise(F.corr("ra", "rb")).alias("spearman"))
+    corr = lambda x, y: F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), nan)  # noqa: E731  corr() fails where a side is constant
+    base = r.groupBy(group).agg(F.count("*").alias("n"), corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"))
     cells = rows.groupBy(group, "a", "b").agg(F.count("*").alias("c"))
-    p, q = cells.alias("p"), cells.alias("q")
-    later = (F.col("p.a") < F.col("q.a")) | ((F.col("p.a") == F.col("q.a")) & (F.col("p.b") < F.col("q.b")))
-    pairs = p.join(q, (F.col(f"p.{group}") == F.col(f"q.{group}")) & later).select(F.col(f"p.{group}").alias(group), (F.col("p.c") * F.col("q.c")).alias("c"), F.signum(F.col("q.a") - F.col("p.a")).alias("da"), F.signum(F.col("q.b") - F.col("p.b")).alias("db"))
-    same = cells.select(group, (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("c"), F.lit(0.0).alias("da"), F.lit(0.0).alias("db"))
-    part = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0))
-    da, db = F.col("da"), F.col("db")
-    t = pairs.unionByName(same).groupBy(group).agg(part((da != 0) & (db != 0)).alias("untied"), part(da * db > 0).alias("up"), part(da * db < 0).alias("down"), part(da == 0).alias("ta"), part(db == 0).alias("tb"))
-    below = F.sqrt((F.col("untied") + F.col("ta")).cast("double") * (F.col("untied") + F.col("tb")))
-    t = t.select(group, F.when(below == 0, nan).otherwise((F.col("up") - F.col("down")) / below).alias("kendall"))
-    return base.join(t, group)
+    pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    tied = lambda c, name: rows.groupBy(group, c).agg(F.count("*").alias("c")).groupBy(group).agg(pairs("c").alias(name))
+    t = tied("a", "ta").join(tied("b", "tb"), group).join(cells.groupBy(group).agg(pairs("c").alias("tab")), group).join(discordant(cells, group), group)
+    out = base.join(t, group)
+    all_ = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    up = all_ - F.col("ta") - F.col("tb") + F.col("tab") - F.col("down")
+    below = F.sqrt((all_ - F.col("ta") + F.col("tab")) * (all_ - F.col("tb") + F.col("tab")))  # pairs tied on both sides count as ties of either
+    return out.select(group, "n", "pearson", "spearman", F.when(below == 0, nan).otherwise((up - F.col("down")) / below).alias("kendall"))
 
 
 def as_quality(value: Column, distance: bool) -> Column:

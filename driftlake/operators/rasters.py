@@ -9,7 +9,7 @@ identical without any arithmetic; an image without pixels has no difference."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,18 @@ def _dot(d: list[np.ndarray], w: tuple[float, float, float]) -> np.ndarray:
     return d[0] * w[0] + d[1] * w[1] + d[2] * w[2]
 
 
-def beyond(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
-    """Flat places of pixels whose metric exceeds the threshold."""
+def same_place(places: np.ndarray) -> np.ndarray:
+    return places
+
+
+def beyond(one: np.ndarray, two: np.ndarray, threshold: float, spot: Callable = same_place) -> np.ndarray:
+    """Flat places of pixels whose metric exceeds the threshold.  spot() turns a place of these arrays into one of the whole image, on which the
+    checkerboard depends."""
     limit, found = max_delta(threshold), []
     places = np.flatnonzero(one != two)
     for i in range(0, len(places), STEP):
         at = places[i : i + STEP]
-        d = _differences(one[at], two[at], at)
+        d = _differences(one[at], two[at], spot(at))
         y, p, q = _dot(d, Y), _dot(d, I), _dot(d, Q)
         found.append(at[WEIGHTS[0] * y * y + WEIGHTS[1] * p * p + WEIGHTS[2] * q * q > limit])
     return np.concatenate(found) if found else places
@@ -67,19 +72,19 @@ def _many(flat: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, height: in
     return equal > 2
 
 
-def _soft(flat: np.ndarray, both: tuple[np.ndarray, np.ndarray], places: np.ndarray, width: int, height: int) -> np.ndarray:
+def _soft(flat: np.ndarray, both: tuple[np.ndarray, np.ndarray], places: np.ndarray, width: int, height: int, spot: Callable = same_place) -> np.ndarray:
     """Which of the pixels look anti-aliased in this image: between a darker and a brighter neighbour, of which one has many siblings in
     both images."""
     y, x = np.divmod(places, width)
     zeroes = ((x == 0) | (x == width - 1) | (y == 0) | (y == height - 1)).astype(np.int64)
     low, high = np.zeros(len(places)), np.zeros(len(places))
     low_at, high_at = np.full(len(places), -1), np.full(len(places), -1)
-    here = flat[places]
+    here, spots = flat[places], spot(places)
     for dx, dy in AROUND:
         nx, ny = x + dx, y + dy
         inside = (nx >= 0) & (nx < width) & (ny >= 0) & (ny < height)
         to = np.where(inside, ny * width + nx, 0)
-        d = _dot(_differences(here, flat[to], places), Y)
+        d = _dot(_differences(here, flat[to], spots), Y)
         zeroes += inside & (d == 0)
         down, up = inside & (d < low), inside & (d > high)
         low, low_at = np.where(down, d, low), np.where(down, to, low_at)
@@ -92,14 +97,16 @@ def _soft(flat: np.ndarray, both: tuple[np.ndarray, np.ndarray], places: np.ndar
     return out
 
 
-def difference(one: np.ndarray, two: np.ndarray, width: int, height: int, threshold: float = 0.1, include_aa: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Flat places beyond the threshold, and which of them are put down to anti-aliasing."""
-    places = beyond(one, two, threshold)
+def difference(one: np.ndarray, two: np.ndarray, width: int, height: int, threshold: float = 0.1, include_aa: bool = False, spot: Callable = same_place, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flat places beyond the threshold, and which of them are put down to anti-aliasing; of those places alone that are true in `within`."""
+    places = beyond(one, two, threshold, spot)
+    if within is not None:
+        places = places[within[places]]
     soft = np.zeros(len(places), bool)
     if not include_aa:
         for i in range(0, len(places), STEP):
             part = places[i : i + STEP]
-            soft[i : i + STEP] = _soft(one, (one, two), part, width, height) | _soft(two, (one, two), part, width, height)
+            soft[i : i + STEP] = _soft(one, (one, two), part, width, height, spot) | _soft(two, (one, two), part, width, height, spot)
     return places, soft
 
 

@@ -20,6 +20,7 @@ frame scene object objects element elements ui screen page logo icon button larg
 center corner side above below ink company name brand create creating artistic effect design additional""".split()
 QUOTED = "[\"“”']([^\"“”']+)[\"“”']"
 LONGEST_SHOWN = 60
+TABLE = 1 << 20  # common lengths that are held at once
 DIFF = StructType([StructField("inserted", ArrayType(StringType())), StructField("removed", ArrayType(StringType()))])
 
 
@@ -39,31 +40,58 @@ def telling(words: Column) -> Column:
     return F.filter(words, lambda w: w.rlike("[0-9]") | ~w.isin(FILLER))
 
 
+def _lengths(a: np.ndarray, b: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The row of common lengths of a and every rest of b, from the row below a (edge)."""
+    m, row = len(b), edge
+    for v in a[::-1]:
+        step = np.maximum(row[:m], np.where(b == v, row[1:] + 1, 0))
+        row = np.append(np.maximum.accumulate(step[::-1])[::-1], 0).astype(np.int32)
+    return row
+
+
+def _walk(a: np.ndarray, b: np.ndarray, i: int, j: int, edge: np.ndarray, took: np.ndarray, put: np.ndarray) -> int:
+    """Goes from (i, j) down through the words of a, and returns the place in b where it leaves them; edge is the row of common lengths below a.
+
+    A table of few words is made whole.  Of a larger one the row in the middle is made, the upper half is walked with it as its edge, and
+    then the lower half from there, so memory goes with the lengths, and not with their product.  took and put mark the words removed and
+    inserted."""
+    n, m = len(a), len(b) - j
+    if n > 1 and (n + 1) * (m + 1) > TABLE:
+        half = n // 2
+        at = _walk(a[:half], b, i, j, np.append(edge[:j], _lengths(a[half:], b[j:], edge[j:])), took, put)
+        return _walk(a[half:], b, i + half, at, edge, took, put)
+    rest = b[j:]
+    best = np.empty((n + 1, m + 1), np.int32)
+    best[n] = edge[j:]
+    for k in range(n - 1, -1, -1):
+        best[k] = _lengths(a[k : k + 1], rest, best[k + 1])
+    k = l = 0
+    while k < n and l < m:
+        if a[k] == rest[l]:
+            k, l = k + 1, l + 1
+        elif best[k + 1, l] >= best[k, l + 1]:
+            took[i + k] = True
+            k += 1
+        else:
+            put[j + l] = True
+            l += 1
+    took[i + k : i + n] = True
+    return j + l
+
+
 def word_diff(base: list[str], other: list[str]) -> tuple[list[str], list[str]]:
     """(inserted, removed) along a longest common subsequence; where two are as long, words are removed first."""
-    n, m = len(base), len(other)
     number = {w: i for i, w in enumerate(dict.fromkeys([*base, *other]))}
-    a, b = np.array([number[w] for w in base], np.int64), np.array([number[w] for w in other], np.int64)
-    best = np.zeros((n + 1, m + 1), np.int32)  # best[i, j]: common words of base[i:] and other[j:]
-    for i in range(n - 1, -1, -1):
-        step = np.maximum(best[i + 1, :m], np.where(b == a[i], best[i + 1, 1:] + 1, 0))
-        best[i, :m] = np.maximum.accumulate(step[::-1])[::-1]
-    inserted, removed, i, j = [], [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            removed.append(base[i])
-            i += 1
-        else:
-            inserted.append(other[j])
-            j += 1
-    return inserted + other[j:], removed + base[i:]
+    a, b = np.array([number[w] for w in base], np.int32), np.array([number[w] for w in other], np.int32)
+    took, put = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    end = _walk(a, b, 0, 0, np.zeros(len(b) + 1, np.int32), took, put)
+    put[end:] = True
+    return [other[i] for i in np.flatnonzero(put)], [base[i] for i in np.flatnonzero(took)]
 
 
 @F.pandas_udf(DIFF)
 def token_diff(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of two arrays of words; a null counts as empty.  Memory goes with the product of a pair's lengths."""
+    """Of two arrays of words; a null counts as empty.  Memory goes with a pair's lengths, time with their product."""
     for base, other in parts:
         rows = [word_diff([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(base, other)]
         yield pd.DataFrame(rows, columns=["inserted", "removed"])

@@ -98,3 +98,15 @@ SELECT event_type, count(*) AS n, round(corr(a, b), 9) AS pearson, round(corr(ra
 def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL").select("event_type", F.hour("ts").alias("a"), F.round(F.col("value") / 5).alias("b"))
     return evaluation.correlations(e, "a", "b", "event_type").select("event_type", "n", *[F.round(c, 9).alias(c) for c in ("pearson", "spearman", "kendall")])
+
+
+EXACT_SQL = "rt AS (SELECT event_type, CAST(user_id AS DOUBLE) + value / 1000 AS a, value AS b FROM events WHERE value IS NOT NULL)"
+
+
+@query("rank_correlations_continuous", f"""WITH {EXACT_SQL}, rk AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY a) + (count(*) OVER (PARTITION BY event_type, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY event_type ORDER BY b) + (count(*) OVER (PARTITION BY event_type, b) - 1) / 2 AS rb FROM rt),
+pq AS (SELECT p.event_type, sum(sign(q.a - p.a) * sign(q.b - p.b)) AS s, count(*) FILTER (p.a = q.a) AS ta, count(*) FILTER (p.b = q.b) AS tb, count(*) FILTER (p.a <> q.a AND p.b <> q.b) AS n0 FROM (SELECT *, row_number() OVER () AS i FROM rt) p JOIN (SELECT *, row_number() OVER () AS i FROM rt) q ON p.event_type = q.event_type AND p.i < q.i GROUP BY p.event_type)
+SELECT event_type, count(*) AS n, round(corr(a, b), 9) AS pearson, round(corr(ra, rb), 9) AS spearman, round(any_value(s / sqrt(CAST(n0 + ta AS DOUBLE) * (n0 + tb))), 9) AS kendall FROM rk JOIN pq USING (event_type) GROUP BY event_type HAVING count(*) >= 3""")
+def rank_correlations_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that hardly ever repeat."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL").select("event_type", (F.col("user_id").cast("double") + F.col("value") / 1000).alias("a"), F.col("value").alias("b"))
+    return evaluation.correlations(e, "a", "b", "event_type").select("event_type", "n", *[F.round(c, 9).alias(c) for c in ("pearson", "spearman", "kendall")])

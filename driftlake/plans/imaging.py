@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.functions import color
-from driftlake.operators import pixeldiff, rasters, similarity
+from driftlake.operators import pixeldiff, rasters, similarity, tiles
 from driftlake.plans.registry import query
 from driftlake.sources.frames import FRAMES_SQL, SIDE, frame_pairs, frames, edited, pair
 
@@ -116,12 +116,21 @@ def aa_aware_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixeldiff.summary(aa_status(spark, sf_dir)).select("frame", "diff_count", "aa_count")
 
 
-@query("raster_diff", f"{DELTA_SQL}, {AROUND_SQL} SELECT frame, count(*) AS pixels, count(*) FILTER (status = 'diff') AS diff_count, count(*) FILTER (status = 'aa') AS aa_count, bool_and(r1 = r2 AND g1 = g2 AND b1 = b2 AND a1 = a2) AS identical FROM st GROUP BY frame")
+RASTER_SQL = f"{DELTA_SQL}, {AROUND_SQL} SELECT frame, count(*) AS pixels, count(*) FILTER (status = 'diff') AS diff_count, count(*) FILTER (status = 'aa') AS aa_count, bool_and(r1 = r2 AND g1 = g2 AND b1 = b2 AND a1 = a2) AS identical FROM st GROUP BY frame"
+
+
+@query("raster_diff", RASTER_SQL)
 def raster_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as aa_aware_diff, on rasters."""
     return rasters.compare(rasters.packed(frame_pairs(spark, sf_dir))).drop("reason")
 
 
+@query("tiled_diff", RASTER_SQL)
+def tiled_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same again, on tiles with borders: images of any size spread over tasks."""
+    return tiles.compare(tiles.lines_of(frame_pairs(spark, sf_dir), SIDE, SIDE), size=11)
+
+
 FADE = f"CAST(trunc(255 + (({dot_sql(('r1', 'g1', 'b1'), color.Y)}) - 255) * 0.1::DOUBLE * a1 / 255) AS INT)"
 
 
@@ -249,3 +258,8 @@ def pair_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = sizes.filter("frame % 7 <> 3").withColumn("w", F.when(F.col("frame") % 9 == 4, F.col("w") - 1).otherwise(F.col("w")))
     counts = pixeldiff.summary(pixeldiff.with_status(pair(px, edited(px)), SIDE, SIDE, include_aa=True)).filter("diff_count > 0").select("frame", "diff_count")
     return pixeldiff.outcome(sizes, other, counts)
+
+
+@query("tiled_gmsd", f"{GRAY_SQL}, {_gms_sql('gr', SIDE)} SELECT frame, round(stddev_pop(gms), 6) AS gmsd FROM gs GROUP BY frame")
+def tiled_gmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.gmsd(tiles.lines_of(frame_pairs(spark, sf_dir), SIDE, SIDE), size=9).withColumn("gmsd", F.round("gmsd", 6))

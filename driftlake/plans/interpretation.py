@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.operators import pixeldiff, regions, verdicts
+from driftlake.operators import pixeldiff, regions, tiledregions, tiles, verdicts
 from driftlake.plans.imaging import DELTA_SQL, LIMIT, plain_status
 from driftlake.plans.registry import query
-from driftlake.sources.frames import SIDE
+from driftlake.sources.frames import SIDE, frame_pairs
 
 REACH = regions.radius(SIDE, SIDE)
 
@@ -50,6 +50,12 @@ def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.component_boxes(closed(spark, sf_dir))
 
 
+@query("tiled_components", f"{COMPONENTS_SQL} SELECT * FROM boxes")
+def tiled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, labelled in tiles and joined along their edges."""
+    return tiledregions.component_boxes(tiles.lines_of(frame_pairs(spark, sf_dir), SIDE, SIDE), size=10)
+
+
 @query("noise_census", f"{COMPONENTS_SQL} SELECT frame, count(*) AS components, count(*) FILTER (pixels < 64) AS small, greatest(3 * count(*) FILTER (pixels < 64), 12) AS floor FROM boxes GROUP BY frame")
 def noise_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.noise_census(component_boxes(spark, sf_dir))

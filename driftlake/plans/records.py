@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlake.operators import structdiff, textdiff
+from driftlake.operators import structdiff, textdiff, typeddiff
 from driftlake.plans.registry import query
 
 # The documents of orders, before and after an edit that goes by the order's number; the same text in both dialects.
@@ -53,12 +53,67 @@ def _text_paths(diff: DataFrame) -> DataFrame:
     return diff.select("key", "type", structdiff.path_text().alias("path"), "value", "old_value")
 
 
-@query("object_diff_deep", f"WITH {DOCS_SQL}, {DIFF_SQL} SELECT key, type, path, value, old_value FROM df")
+# Every difference that the edits of NEW make, without comparing documents.
+EDITS_SQL = f"""
+ls AS (SELECT l_orderkey AS o_orderkey, list({LINE} ORDER BY l_linenumber, l_partkey, l_suppkey, {LINE}) AS ol, list(l_linenumber = 1 ORDER BY l_linenumber, l_partkey, l_suppkey, {LINE}) AS one,
+       list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, {LINE}) AS qty FROM lineitem GROUP BY l_orderkey),
+oe AS (SELECT *, o_orderkey % 6 AS m, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN ls USING (o_orderkey)),
+oi AS (SELECT *, unnest(generate_series(0, len(ol) - 2)) AS i FROM oe WHERE m = 4),
+ed(key, type, path, value, old_value) AS (
+  SELECT o_orderkey, 2, '$.status', '"X"', '"' || o_orderstatus || '"' FROM oe WHERE m = 1
+  UNION ALL SELECT o_orderkey, 1, '$.priority', NULL, '"' || o_orderpriority || '"' FROM oe WHERE m = 2
+  UNION ALL SELECT o_orderkey, 2, '$.cents', CAST(cents + 1 AS VARCHAR), CAST(cents AS VARCHAR) FROM oe WHERE m = 3
+  UNION ALL SELECT o_orderkey, 0, '$.note', '{{"by":"desk","n":[1,2]}}', NULL FROM oe WHERE m = 3
+  UNION ALL SELECT o_orderkey, 1, '$.lines[' || (len(ol) - 1) || ']', NULL, ol[len(ol)] FROM oe WHERE m = 4
+  UNION ALL SELECT o_orderkey, 2, '$.lines[' || i || '].qty', CAST(qty[i + 1] + 1 AS VARCHAR), CAST(qty[i + 1] AS VARCHAR) FROM oi WHERE one[i + 1]"""
+
+
+@query("object_diff_deep", f"""WITH {EDITS_SQL}
+  UNION ALL SELECT o_orderkey, 2, '$.lines', '{{"n":1}}', '[' || array_to_string(ol, ',') || ']' FROM oe WHERE m = 5
+  UNION ALL SELECT o_orderkey, 2, '$.status', 'null', '"' || o_orderstatus || '"' FROM oe WHERE m = 5)
+SELECT * FROM ed""")
 def object_diff_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = order_documents(spark, sf_dir)
     return _text_paths(structdiff.deep_diff(docs.select("key", F.col("old").alias("doc")), docs.select("key", F.col("new").alias("doc"))))
 
 
+ORDER = "struct<cents:bigint,lines:array<struct<flag:string,no:int,qty:bigint>>,note:struct<by:string,n:array<int>>,priority:string,status:string,marks:map<string,int>>"
+
+
+def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, old, new): one typed record for each order on either side, with the edits of the documents that keep to a type."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    each = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(LINE).alias("text"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").cast("int").alias("no"), F.col("l_quantity").cast("long").alias("qty"))
+    of = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(each)).alias("l"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(of, "o_orderkey").withColumn("m", F.col("o_orderkey") % 6)
+    m, cents = F.col("m"), F.round(F.col("o_totalprice") * 100).cast("long")
+    old = F.transform("l", lambda v: F.struct(v["flag"].alias("flag"), v["no"].alias("no"), v["qty"].alias("qty")))
+    more = F.transform("l", lambda v: F.struct(v["flag"].alias("flag"), v["no"].alias("no"), F.when(v["no"] == 1, v["qty"] + 1).otherwise(v["qty"]).alias("qty")))
+    note = F.when(m == 3, F.struct(F.lit("desk").alias("by"), F.array(F.lit(1), F.lit(2)).alias("n")))
+    marks = F.create_map(F.lit("m"), m.cast("int"), F.lit("kept"), F.lit(1))
+    before = F.struct(cents.alias("cents"), old.alias("lines"), F.lit(None).alias("note"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), marks.alias("marks"))
+    after = F.struct(
+        F.when(m == 3, cents + 1).otherwise(cents).alias("cents"),
+        F.when(m == 4, F.slice(more, 1, F.size("l") - 1)).otherwise(old).alias("lines"),
+        note.alias("note"),
+        F.when(m != 2, F.col("o_orderpriority")).alias("priority"),
+        F.when(m == 1, "X").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(m == 5, F.create_map(F.lit("new"), F.lit(None).cast("int"), F.lit("kept"), F.lit(2))).otherwise(marks).alias("marks"),
+    )
+    return o.select(F.col("o_orderkey").alias("key"), before.cast(ORDER).alias("old"), after.cast(ORDER).alias("new"))
+
+
+@query("object_diff_typed", f"""WITH {EDITS_SQL}
+  UNION ALL SELECT o_orderkey, 1, '$.marks.m', NULL, '5' FROM oe WHERE m = 5
+  UNION ALL SELECT o_orderkey, 0, '$.marks.new', 'null', NULL FROM oe WHERE m = 5
+  UNION ALL SELECT o_orderkey, 2, '$.marks.kept', '2', '1' FROM oe WHERE m = 5)
+SELECT * FROM ed""")
+def object_diff_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed records, compared in one pass."""
+    docs = typed_orders(spark, sf_dir)
+    return _text_paths(typeddiff.typed_diff(docs.select("key", F.col("old").alias("doc")), docs.select("key", F.col("new").alias("doc"))))
+
+
 @query("object_diff_counts", f"WITH {DOCS_SQL}, {DIFF_SQL} SELECT type, regexp_replace(path, '[0-9]+', '*', 'g') AS place, count(*) AS n FROM df GROUP BY ALL")
 def object_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each place in a document was created, removed or changed."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.operators import planes, similarity
+from driftlake.operators import planes, similarity, tiles
 from driftlake.plans.imaging import GRAY_SQL
 from driftlake.plans.registry import query
 from driftlake.sources.frames import FRAMES_SQL, SIDE, frame_pairs
@@ -81,9 +81,37 @@ def _spread(name: str, value: str) -> str:
     return f"{name} AS (SELECT k // 3 AS k, sum((m - d) * CASE WHEN k % 3 = 0 THEN 1 ELSE 0.5 END) / 2 AS v FROM (SELECT k, any_value(m) AS m, avg(abs(v - m)) AS d FROM (SELECT k, {value} AS v, avg({value}) OVER (PARTITION BY k) AS m FROM {name[0]}m) GROUP BY k) GROUP BY k // 3)"
 
 
-@query("perceptual_ssim", f"""WITH {FRAMES_SQL}, tap(i, w) AS (VALUES {TAPS}), n0 AS (SELECT frame AS k, x, y, {_LINEAR} FROM px), {_half('n1', 'n0', SIDE, ' '.join(CHANNELS))},
+PERCEPTUAL_SQL = f"""WITH {FRAMES_SQL}, tap(i, w) AS (VALUES {TAPS}), n0 AS (SELECT frame AS k, x, y, {_LINEAR} FROM px), {_half('n1', 'n0', SIDE, ' '.join(CHANNELS))},
 {lab_sql('l0', 'n0')}, {lab_sql('l1', 'n1')},{maps_sql('f', 'l0', SIDE)},{maps_sql('c', 'l1', HALF)}, {_spread('f0', 'cs')}, {_spread('c1', 'ssim')}
-SELECT k AS frame, round(CASE WHEN f0.v < 0 OR c1.v < 0 THEN 'nan'::DOUBLE ELSE pow(f0.v, {TWO[0]}) * pow(c1.v, {TWO[1]}) END, 6) AS score FROM f0 JOIN c1 USING (k)""")
+SELECT k AS frame, round(CASE WHEN f0.v < 0 OR c1.v < 0 THEN 'nan'::DOUBLE ELSE pow(f0.v, {TWO[0]}) * pow(c1.v, {TWO[1]}) END, 6) AS score FROM f0 JOIN c1 USING (k)"""
+
+
+@query("perceptual_ssim", PERCEPTUAL_SQL)
 def perceptual_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour similarity over two scales, each map's mean less its mean absolute deviation."""
     return _rounded(planes.perceptual_ssim(frame_pairs(spark, sf_dir), planes.Perceptual(TWO, chroma_weight=0.5, deviation_weight=1.0)))
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame pair as scan lines; the queries below cut them into tiles of a few pixels, so that borders matter."""
+    return tiles.lines_of(frame_pairs(spark, sf_dir), SIDE, SIDE)
+
+
+@query("tiled_ms_ssim", f"{SCALES_SQL} SELECT k AS frame, round(CASE WHEN cs < 0 OR ssim < 0 THEN 'nan'::DOUBLE ELSE pow(cs, {TWO[0]}) * pow(ssim, {TWO[1]}) END, 6) AS score FROM mean0 JOIN mean1 USING (k)")
+def tiled_ms_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tiles.ms_ssim(bands(spark, sf_dir), TWO, size=12))
+
+
+@query("tiled_scale_statistics", f"{SCALES_SQL} SELECT k AS frame, 0 AS scale, round(avg(ssim), 6) AS ssim, round(avg(cs), 6) AS structure FROM fm GROUP BY k UNION ALL SELECT k, 1, round(avg(ssim), 6), round(avg(cs), 6) FROM cm GROUP BY k")
+def tiled_scale_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.scale_statistics(bands(spark, sf_dir), 2, size=10).select("frame", "scale", F.round("ssim", 6).alias("ssim"), F.round("structure", 6).alias("structure"))
+
+
+@query("tiled_ssim", f"{SCALES_SQL} SELECT k AS frame, round(avg(ssim), 6) AS score FROM cm WHERE x BETWEEN 5 AND {HALF - 6} AND y BETWEEN 5 AND {HALF - 6} GROUP BY k")
+def tiled_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tiles.ssim(bands(spark, sf_dir), factor=2, size=14))
+
+
+@query("tiled_perceptual_ssim", PERCEPTUAL_SQL)
+def tiled_perceptual_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tiles.perceptual_ssim(bands(spark, sf_dir), planes.Perceptual(TWO, chroma_weight=0.5, deviation_weight=1.0), size=16))

@@ -32,3 +32,14 @@ def kept(df: DataFrame) -> DataFrame:
     path = new_path(spark, "kept")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what kept() wrote for these, when nothing reads it any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            if "/kept-" not in folder:
+                raise ValueError(f"{folder} isn't a scratch table")
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
