@@ -17,41 +17,53 @@ BLOCK = 512  # integers
 _LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
 _COUNTS = np.array([*[60 // w for w in WIDTHS], 0, 1], np.int64)
 _LOW = np.uint64((1 << 60) - 1)
+_PAD = 60  # places beyond a block's end, where nothing needs any bits
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "left").astype(np.uint8)
 
 
-def _selectors(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each place the selector that takes most integers from there on, its block's end in sight."""
-    at = np.arange(len(values))
-    size = np.searchsorted(_LIMITS, values, "left")  # the least selector that can hold the integer
-    best = np.full(len(values), ESCAPE, np.int64)
-    for s in range(int(size.max()), -1, -1) if len(values) else ():
-        if s == len(WIDTHS):
-            continue
-        wide = np.concatenate(([0], np.cumsum(size > s)))
-        best[wide[np.minimum(at + _COUNTS[s], ends)] == wide[:-1]] = s
+def _selectors(size: np.ndarray) -> np.ndarray:
+    """For each place the selector that takes most integers from there on; size has the least selector that can hold each integer, a block a
+    row, with places beyond its end."""
+    best = np.full(size.shape, ESCAPE, np.uint8)
+    flat = size.ravel()
+    for s in range(min(int(flat.max()), len(WIDTHS) - 1), -1, -1):
+        fits, held, step, need = flat <= s, None, 1, int(_COUNTS[s])
+        at = 0
+        while True:  # runs of 1, 2, 4, ... places that fit are put together to as many as the selector takes
+            if need & step:
+                held = fits.copy() if held is None else held[: len(held) - step] & fits[at : at + len(held) - step]
+                at += step
+            if 2 * step > need:
+                break
+            fits = fits[:-step] & fits[step:]
+            step *= 2
+        np.copyto(best.ravel()[: len(held)], np.uint8(s), where=held)
     return best
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, how many words each block takes) of unsigned integers."""
-    values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
-    begin = np.arange(0, n, BLOCK)
-    end = np.minimum(begin + BLOCK, n)
-    ends = np.repeat(end, end - begin)
-    best = _selectors(values, ends)
-    taken, block, pos = [], np.arange(len(begin)), begin
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocks, wide = -(-n // BLOCK), BLOCK + _PAD
+    padded = np.zeros((blocks, wide), np.uint64)
+    padded[: n // BLOCK, :BLOCK] = values[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    if n % BLOCK:
+        padded[-1, : n % BLOCK] = values[n // BLOCK * BLOCK :]
+    small = int(padded.max()) < len(_SMALL)
+    best = _selectors(_SMALL[padded] if small else np.searchsorted(_LIMITS, padded.ravel(), "left").astype(np.uint8).reshape(padded.shape)).ravel()
+    begin = np.arange(blocks) * wide
+    end = begin + BLOCK
+    end[-1] = begin[-1] + (n - 1) % BLOCK + 1
+    taken, pos = [], begin
     while len(pos):  # all blocks' next words at a time
-        taken.append(np.stack((block, pos)))
+        taken.append(pos)
         pos = pos + _COUNTS[best[pos]]
-        live = pos < end[block]
-        block, pos = block[live], pos[live]
-    if not taken:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    block, pos = np.concatenate(taken, axis=1)
-    order = np.argsort(pos)
-    block, pos = block[order], pos[order]
-    chosen = best[pos]
+        live = pos < end
+        pos, end = pos[live], end[live]
+    pos = np.sort(np.concatenate(taken))
+    chosen, flat = best[pos], padded.ravel()
     width = 1 + (chosen == ESCAPE)
     place = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
@@ -59,15 +71,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of = np.flatnonzero(chosen == s)
         p, at = pos[of], place[of]
         if s == ESCAPE:
-            words[at] = values[p] & _LOW | np.uint64(ESCAPE << 60)
-            words[at + 1] = values[p] >> np.uint64(60) | np.uint64(ESCAPE << 60)
+            words[at] = flat[p] & _LOW | np.uint64(ESCAPE << 60)
+            words[at + 1] = flat[p] >> np.uint64(60) | np.uint64(ESCAPE << 60)
             continue
         word = np.full(len(of), s << 60, np.uint64)
         for j in range(int(_COUNTS[s])):
-            inside = p + j < ends[p]
-            word |= np.where(inside, values[np.minimum(p + j, n - 1)], np.uint64(0)) << np.uint64(j * WIDTHS[s])
+            word |= flat[p + j] << np.uint64(j * WIDTHS[s])
         words[at] = word
-    return words, np.bincount(block, width, len(begin)).astype(np.int64)
+    return words, np.bincount(pos // wide, width, blocks).astype(np.int64)
 
 
 def decode(words: np.ndarray, per_block: np.ndarray, n: int) -> np.ndarray:

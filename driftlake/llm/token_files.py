@@ -41,10 +41,10 @@ from driftlake.llm.warc import open_fs
 MAGIC = b"TOKIDS01"
 MANIFEST = "_manifest.json"
 END = 2  # the id after each document
-TEXT_BYTES = 4 << 20  # of text that is encoded at a time
+TEXT_BYTES = 2 << 20  # of text that is encoded at a time
 FILE_CHARS = 256 << 20  # of text for a file
-CHUNK = 2048 * simple8b.BLOCK  # ids that are packed or unpacked at a time
-REMEMBERED = 800_000  # pieces of words; a worker then starts anew, so memory is bounded
+CHUNK = 512 * simple8b.BLOCK  # ids that are packed or unpacked at a time
+REMEMBERED = 1_000_000  # pieces of words; a worker then starts anew, so memory is bounded
 TRAILING = ",.;:!?"  # after letters these are a piece of their own
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -69,32 +69,34 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # the piece's place in:
+        self.known = pa.array([""], pa.large_string())  # pieces, and where each one's ids are:
         self.begin, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, some: list[str], size: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+    def _add(self, some: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, some])
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
         self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
 
     def places(self, found: pa.Array) -> np.ndarray:
         """Where each of these distinct pieces is known."""
-        asked = found.to_pylist()
-        new = pa.array([p for p in asked if p not in self.known], found.type)
-        if len(self.known) + len(new) > REMEMBERED:
+        at = pc.index_in(found, value_set=self.known)
+        if not at.null_count:
+            return np.asarray(at)
+        if len(self.known) + at.null_count > REMEMBERED:
             self.forget()
-            new = found.filter(pc.not_equal(found, ""))
+            at = pc.index_in(found, value_set=self.known)
+        new = found.filter(pc.is_null(at))
         letters = pc.match_substring_regex(new, "^[a-z]+$")
-        plain, others = new.filter(letters).to_pylist(), new.filter(pc.invert(letters)).to_pylist()
-        if plain:
-            runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        plain, others = new.filter(letters), new.filter(pc.invert(letters))
+        if len(plain):
+            words = plain.to_pylist()
+            runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)])
-            last = np.flatnonzero(self.closes[ids])
-            self._add(plain, np.diff(last, prepend=-1), ids)
-        if others:
-            got = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(others, add_special_tokens=False)]
-            self._add(others, np.array([len(x) for x in got], np.int64), np.concatenate(got))
-        return np.array([self.known[p] for p in asked], np.int64)
+            self._add(plain, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1), ids)
+        if len(others):
+            got = [e.ids for e in self.whole.encode_batch_fast(others.to_pylist(), add_special_tokens=False)]
+            self._add(others, np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32))
+        return np.asarray(pc.index_in(found, value_set=self.known))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, END after each; how many each has)."""
@@ -121,22 +123,6 @@ def encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
-def encoded(rows: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text), in the same order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = encoder(tokenizer_file)
-        for b in batches:
-            _, offsets = kernels.column(b.column(1))
-            for i, j in kernels.spans(offsets, TEXT_BYTES):
-                ids, n = mine.encode(b.column(1).slice(i, j - i))
-                cut = np.concatenate(([0], np.cumsum(4 * n)))
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), raw.cast(pa.binary())], names=["doc_id", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, ids binary")
-
-
 @dataclass
 class Written(WriterCommitMessage):
     number: int
@@ -146,14 +132,15 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Input columns: doc_id, ids (little-endian 32-bit integers).  Partitions follow each other as their numbers do."""
+    """Input columns: doc_id, text.  Partitions follow each other as their numbers do."""
 
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.tokenizer = options["path"], options["tokenizer"]
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         at, root = open_fs(self.path)
+        mine = encoder(self.tokenizer)
         number, name, out = TaskContext.get().partitionId(), None, None
         docs: list[pa.RecordBatch] = []
         sizes: list[np.ndarray] = []
@@ -167,7 +154,7 @@ class TokenWriter(DataSourceArrowWriter):
             for i in range(0, cut, CHUNK):
                 words, per_block = simple8b.encode(ids[i : min(i + CHUNK, cut)])
                 out.write(words.astype("<u8").tobytes())
-                sizes.append(per_block)
+                sizes.append(per_block.astype("<u2"))
                 n_bytes += 8 * len(words)
             waiting, held = [ids[cut:]], len(ids) - cut
 
@@ -180,14 +167,15 @@ class TokenWriter(DataSourceArrowWriter):
                     at.create_dir(f"{root}/{self.staging}", recursive=True)
                     out = at.open_output_stream(f"{root}/{self.staging}/{name}", compression=None)
                     out.write(MAGIC)
-                data, offsets = kernels.column(b.column(1))
-                ids = data[offsets[0] : offsets[-1]].view("<u4")
-                n_ids += len(ids)
-                waiting.append(ids)
-                held += len(ids)
-                docs.append(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(offsets) // 4)], names=["doc_id", "n_tokens"]))
-                if held >= CHUNK:
-                    flush(False)
+                _, offsets = kernels.column(b.column(1))
+                for i, j in kernels.spans(offsets, TEXT_BYTES):
+                    ids, n = mine.encode(b.column(1).slice(i, j - i))
+                    n_ids += len(ids)
+                    waiting.append(ids)
+                    held += len(ids)
+                    docs.append(pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n)], names=["doc_id", "n_tokens"]))
+                    if held >= CHUNK:
+                        flush(False)
             if out is not None:
                 flush(True)
                 sink = pa.BufferOutputStream()
@@ -195,7 +183,7 @@ class TokenWriter(DataSourceArrowWriter):
                     for d in docs:
                         w.write_batch(d)
                 stream = sink.getvalue()
-                out.write(np.concatenate(sizes).astype("<u2").tobytes())
+                out.write(np.concatenate(sizes).tobytes())
                 out.write(stream)
                 out.write(_TAIL.pack(n_ids, sum(d.num_rows for d in docs), n_bytes, stream.size, MAGIC))
         finally:
@@ -292,7 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id
     chars = rows.select(F.sum(F.length("text").cast("long"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(max(parts(spark), -(-chars // FILE_CHARS)), *order).sortWithinPartitions(*order)
-    encoded(dealt, tokenizer_file).write.format("token_ids").option("path", path).mode("append").save()
+    dealt.write.format("token_ids").option("path", path).option("tokenizer", tokenizer_file).mode("append").save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
