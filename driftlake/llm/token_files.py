@@ -41,11 +41,12 @@ from driftlake.llm.warc import open_fs
 MAGIC = b"TOKIDS01"
 MANIFEST = "_manifest.json"
 END = 2  # the id after each document
-TEXT_BYTES = 2 << 20  # of text that is encoded at a time
+TEXT_BYTES = 8 << 20  # of text that is encoded at a time
 FILE_CHARS = 256 << 20  # of text for a file
 CHUNK = 512 * simple8b.BLOCK  # ids that are packed or unpacked at a time
 REMEMBERED = 1_000_000  # pieces of words; a worker then starts anew, so memory is bounded
-TRAILING = ",.;:!?"  # after letters these are a piece of their own
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # each has one lower-case letter, and none joins another into a third
+TRAILING = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe: after letters it is a piece of its own
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 _TAIL = struct.Struct("<4Q8s")  # ids, documents, bytes of words, bytes of the documents' stream, MAGIC
@@ -54,15 +55,16 @@ _TAIL = struct.Struct("<4Q8s")  # ids, documents, bytes of words, bytes of the d
 class Encoder:
     """Texts to ids, by the library's encoding of each distinct piece of their words.
 
-    A piece is a run of ASCII letters in lower case, the punctuation after it, or else a whole word.  Letters need neither the
+    A piece is a run of letters of Latin 1 in lower case, the ASCII punctuation after it, or else a whole word.  Letters need neither the
     normaliser nor the splitting of the tokenizer, so they go to it as words that are already split."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole, self.plain = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
-        self.plain.normalizer = self.plain.pre_tokenizer = None
+        self.plain.normalizer, self.plain.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
         vocabulary = self.plain.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith(self.plain.model.end_of_word_suffix)]] = True
@@ -80,23 +82,27 @@ class Encoder:
     def places(self, found: pa.Array) -> np.ndarray:
         """Where each of these distinct pieces is known."""
         at = pc.index_in(found, value_set=self.known)
-        if not at.null_count:
-            return np.asarray(at)
         if len(self.known) + at.null_count > REMEMBERED:
             self.forget()
             at = pc.index_in(found, value_set=self.known)
-        new = found.filter(pc.is_null(at))
-        letters = pc.match_substring_regex(new, "^[a-z]+$")
-        plain, others = new.filter(letters), new.filter(pc.invert(letters))
-        if len(plain):
-            words = plain.to_pylist()
-            runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)])
-            self._add(plain, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1), ids)
-        if len(others):
-            got = [e.ids for e in self.whole.encode_batch_fast(others.to_pylist(), add_special_tokens=False)]
-            self._add(others, np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32))
-        return np.asarray(pc.index_in(found, value_set=self.known))
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        letters = np.asarray(pc.match_substring_regex(found.take(pa.array(new)), "^[a-zß-öø-ÿ]+$"))
+        for where, learn in ((new[letters], self._learn_plain), (new[~letters], self._learn_whole)):
+            if len(where):
+                some = found.take(pa.array(where))
+                place[where] = len(self.known) + np.arange(len(where))
+                self._add(some, *learn(some.to_pylist()))
+        return place
+
+    def _learn_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)])
+        return np.diff(np.flatnonzero(self.closes[ids]), prepend=-1), ids
+
+    def _learn_whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, END after each; how many each has)."""
@@ -104,8 +110,8 @@ class Encoder:
         first = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
-        cut = pc.extract_regex(words, f"^(?P<letters>[A-Za-z]+)(?P<after>[{TRAILING}]*)$")
-        halves = [pc.coalesce(pc.ascii_lower(pc.struct_field(cut, "letters")), words), pc.fill_null(pc.struct_field(cut, "after"), "")]
+        cut = pc.extract_regex(words, f"^(?P<letters>[{LETTERS}]+)(?P<after>[{TRAILING}]*)$")
+        halves = [pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "letters")), words), pc.fill_null(pc.struct_field(cut, "after"), "")]
         at = np.empty((len(words), 2), np.int64)
         both = pa.concat_arrays(halves).dictionary_encode()
         at[:] = self.places(both.dictionary)[np.asarray(both.indices)].reshape(2, -1).T

@@ -31,7 +31,7 @@ def test_words_take_as_many_as_fit():
 
 def texts():
     rng = random.Random(5)
-    yield from ["", " ", "Hello, World!!", "don't 'STOP' they'RE it'd,' x'", "<|endoftext|> <|ENDOFTEXT|>,a<|startoftext|>b", "\x1c\x85a b c\x0b\x0cd", "É́ é, ẞ İ ı", "𝄞é‍漢字かな٣", "a\x00b", "x" * 700, "1234,5.6", "...!?,;:", "A.B.C.,"]
+    yield from ["", " ", "Hello, World!!", "don't 'STOP' they'RE it'd,' x'", "<|endoftext|> <|ENDOFTEXT|>,a<|startoftext|>b", "\x1c\x85a b c\x0b\x0cd", "É́ é, ẞ İ ı", "𝄞é‍漢字かな٣", "a\x00b", "x" * 700, "1234,5.6", "...!?,;:", "A.B.C.,", "Größe%%% ÀÉ×÷ß ÿ$$$ Ĳ ſ µª º ABC<|endoftext|> abc<| abc|> x~^_` ÅÅ ÅA"]
     for alphabet in ("ab ,.", "'sStTdDrReE ll", "<|endoftext|> ", "éÈç ́ ß.", "0123456789., ab", "漢字 かなカナ,"):
         for _ in range(60):
             yield "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
