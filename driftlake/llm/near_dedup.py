@@ -11,9 +11,9 @@ No group is ever expanded into its pairs, and links are linear in the number of
 1. A vertex is compared by registers with the lead (least member) of each of its bands.  Its best lead is verified.
 2. Vertices whose estimates to leads are high enough are one family.  Bands that still hold several families are
    compared by registers, block by block, and give links between families alone.
-3. Within a family, what is verified already is a part.  Members of other parts than the family's largest meet all
-   members of other parts on their full sets, block by block; the largest part isn't compared with itself.  Blocks give as few links
-   as join what is similar.
+3. Within a family, what is verified already is a part.  Members whose sets share too few shingles with the rest of the family to be similar
+   to any of it go first.  Of those that stay, members of other parts than the family's largest meet all members of other parts on
+   their full sets, block by block; the largest part isn't compared with itself.  Blocks give as few links as join what is similar.
 
 So similar pairs are found whichever lead they have, and no task holds more than two blocks.  A pair at similarity 0.75 shares
 no band with probability (1 - 0.75**4)**32, about 5e-6; at 0.8 it is 5e-8.
@@ -247,6 +247,53 @@ def _weak_links(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFr
     return kept(rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct())
 
 
+def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """labels (vid, comp) after some of them were joined: (vid, comp) of these."""
+    return labels.join(joined.select(F.col("vid").alias("comp"), F.col("comp").alias("under")), "comp", "left").select("vid", F.coalesce("under", "comp").alias("comp"))
+
+
+def _families(near: DataFrame) -> DataFrame:
+    """(vid, comp): components of the pairs (vid, lead).  Links of every vertex with its least lead come first; of the other pairs only those count
+    that these leave apart, as pairs of components."""
+    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")))
+    of_lead = families.select(F.col("vid").alias("lead"), F.col("comp").alias("b"))
+    apart = near.join(families, "vid").join(of_lead, "lead", "left").select(F.col("comp").alias("a"), F.coalesce("b", "lead").alias("b"))
+    apart = kept(apart.filter("a <> b").distinct())
+    if apart.isEmpty():
+        return families
+    joined = components(apart)
+    alone = joined.join(families.select("vid"), "vid", "left_anti")  # leads that are nobody's least
+    return _relabelled(families, joined).union(alone.select("vid", "comp"))
+
+
+def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Of members (family, vid, part) those that may be similar enough to another one, for all that is known of each alone.
+
+    A shingle that no other member has is in no intersection.  So a set of n shingles, c of them shared, meets p per cent with a set of m only if
+    (100 + p) c >= p (n + m): it goes unless the family has a set of such a size.  Those that go may leave others' shingles
+    unshared, so this is done twice.  Work is a row for each shingle, whatever the family's size."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                flat = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+                to = np.repeat(np.arange(b.num_rows), [len(f) for f in flat])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(to)), b.column(1).take(pa.array(to)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["family", "vid", "shingle"])
+
+    for _ in range(2):
+        full = rows.join(sets, "vid").select("family", "vid", "part", "set")
+        each = full.select("family", "vid", "set").mapInArrow(shingles, "family long, vid long, shingle long")
+        alone = each.groupBy("family", "shingle").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).filter("k = 1").groupBy("vid").agg(F.count("*").alias("alone"))
+        sized = full.select("family", "vid", "part", F.expr("octet_length(set) div 8").alias("n")).join(alone, "vid", "left")
+        sizes = sized.groupBy("family").agg(F.collect_set("n").alias("sizes"))  # distinct sizes, not members
+        n, p = F.col("n"), per_cent
+        most = F.lit(100 + p) * (n - F.coalesce("alone", F.lit(0))) - n * p
+        meets = F.exists("sizes", lambda m: (m * 100 >= n * p) & (m * p <= n * 100) & (m * p <= most))
+        rows = kept(sized.join(sizes, "family").filter(meets).select("family", "vid", "part"))
+    return rows
+
+
 def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Links (a, b) that join the members of a family (family, vid, part) whose full sets are similar enough, again as
     few as join the same parts.  Sets meet as rows of a 0/1 matrix, whose products are the sizes of intersections."""
@@ -298,9 +345,7 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> Da
     sure = _verified(kept(best), docs, verts, id_col, text_col, per_cent)
     links = sure.select(F.col("lead").alias("a"), F.col("vid").alias("b"))
     near = scored.filter(F.col("est") >= least)
-    near = near.join(near.groupBy("vid").agg(F.min("lead").alias("first")), "vid")
-    # a vertex is linked with its first lead, and that lead with its other ones: one link for a vertex, and few among leads
-    families = components(near.select(F.col("first").alias("a"), F.when(F.col("lead") == F.col("first"), F.col("vid")).otherwise(F.col("lead")).alias("b")).distinct())
+    families = _families(near.select("vid", "lead"))
 
     part = families.withColumnRenamed("comp", "part")
     of_lead = part.select(F.col("vid").alias("lead"), F.col("part").alias("lead_part"))
@@ -316,7 +361,7 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> Da
             ends = more.join(of.withColumnsRenamed({"vid": "a", "family": "x"}), "a").join(of.withColumnsRenamed({"vid": "b", "family": "y"}), "b")
             joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
             families = families.union(rows.select("vid", "part").distinct().join(families.select("vid"), "vid", "left_anti").select("vid", F.col("part").alias("comp")))
-            families = families.join(joined.select(F.col("vid").alias("comp"), F.col("comp").alias("under")), "comp", "left").select("vid", F.coalesce("under", "comp").alias("comp"))
+            families = _relabelled(families, joined)
 
     # parts of families: a vertex goes to its verified lead, and with it to the lead's
     up = sure.select("vid", "lead")
@@ -325,7 +370,8 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> Da
     mixed = rows.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("family")
     rows = kept(rows.join(mixed, "family", "left_semi").join(verts.select("vid", "id", "h1", "h2"), "vid"))
     if not rows.isEmpty():
-        links = links.union(_exact_links(rows.select("family", "vid", "part"), _sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col), per_cent))
+        sets = kept(_sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col))
+        links = links.union(_exact_links(_hopeful(rows.select("family", "vid", "part"), sets, per_cent), sets, per_cent))
 
     found = components(links).join(verts.select("vid", "id"), "vid")
     least_id = found.groupBy("comp").agg(F.min("id").alias("least"))
