@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import numpy as np
@@ -291,16 +291,92 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float
     return (found if np.isfinite(found) else pearson(x)), float(np.sqrt(((best - y) ** 2).mean()))
 
 
+GRID, ROUNDS, ZOOM = (19, 121), 9, 2.2  # steepnesses and centres tried at a time, how often, and by how much finer each time
+STEEP, FAR = (-3.0, 4.2), (-6.0, 6.0)  # logarithms of steepness, and centres, in standard deviations
+
+
+def _sums(rows: DataFrame, tried: DataFrame, group: str, grid: list[np.ndarray]) -> DataFrame:
+    """(group, at, s, ss, sx, sy): sums over a group's rows of what is tried at place `at` of the grid about the group's best (u, c), the logistic with
+    a steepness and a centre, of its square, and of its products with both sides.  Each batch of rows gives one row for each group
+    and place."""
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coded = b.column(0).dictionary_encode()
+            code = np.asarray(coded.indices)
+            x, y = b.column(1).to_numpy(), b.column(2).to_numpy()
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            owner: list[int] = []
+            for g in range(len(coded.dictionary)):
+                mine = np.flatnonzero(code == g)
+                steep, centre = (b.column(c)[int(mine[0])].as_py() + d for c, d in zip((3, 4), grid))
+                steep = np.exp(steep)
+                for lo in range(0, len(mine), 4096):
+                    u, v = x[mine[lo : lo + 4096], None], y[mine[lo : lo + 4096], None]
+                    e = 0.5 - 1 / (1 + np.exp(np.clip(steep * (u - centre), -500, 500)))
+                    for column, part in zip(out, (e, e * e, e * u, e * v)):
+                        column.append(part.sum(0))
+                    owner.append(g)
+            places = len(out[0][0])
+            at = np.tile(np.arange(places, dtype=np.int32), len(owner))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(np.repeat(owner, places))), pa.array(at), *[pa.array(np.concatenate(c)) for c in out]], names=[group, "at", "s", "ss", "sx", "sy"])
+
+    joined = rows.join(tried, group).select(group, "x", "y", "u", "c")
+    made = joined.mapInArrow(run, f"`{group}` {kind}, at int, s double, ss double, sx double, sy double")
+    return made.groupBy(group, "at").agg(*[F.sum(c).alias(c) for c in ("s", "ss", "sx", "sy")])
+
+
+def _solved(n: float, xy: float, s: np.ndarray) -> tuple[float, float]:
+    """(share of y's variance that is left, correlation) of the best a e + b x + c, from sums over n rows of e (s) where x and y have mean 0 and variance 1."""
+    e, ee, ex, ey = s / n
+    spread = max(ee - e * e, 0.0)
+    m, v = np.array([[spread, ex], [ex, 1.0]]), np.array([ey, xy])
+    best = np.linalg.lstsq(m, v, rcond=1e-12)[0]
+    seen = float(min(1.0, max(0.0, best @ v)))  # the fit's share of the variance is its correlation squared
+    return 1 - seen, float(np.sqrt(seen))
+
+
 def fitted(ratings: DataFrame, group: str) -> DataFrame:
-    """(group, n, plcc, rmse) of ratings (group, predicted, rated): the subjective scale is met through a fitted logistic.  A group holds one
-    metric's ratings of one data set."""
+    """(group, n, plcc, rmse) of ratings (group, predicted, rated): the subjective scale is met through a fitted logistic with a linear part.  A group holds one
+    metric's ratings of one data set; one whose sides don't both vary has no correlation.
+
+    For a steepness and a centre the rest of the curve is linear, so sums over rows give its best form and how much that leaves.  Many of
+    them are tried in one pass, and finer ones about the best in the next; a pass sends sums alone, so a group may have any number of rows."""
+    fine = "predicted IS NOT NULL AND rated IS NOT NULL AND NOT isnan(predicted) AND NOT isnan(rated)"
+    rows = ratings.select(group, F.col("predicted").cast("double").alias("x"), F.col("rated").cast("double").alias("y")).filter(fine)
+    base = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("dx"), F.stddev_pop("y").alias("dy"))
+    base = kept(base)
+    scaled = rows.join(base, group).select(group, F.try_divide(F.col("x") - F.col("mx"), F.col("dx")).alias("x"), F.try_divide(F.col("y") - F.col("my"), F.col("dy")).alias("y"))
+    scaled = kept(scaled.filter("x IS NOT NULL AND y IS NOT NULL"))
+    with_xy = kept(scaled.groupBy(group).agg(F.sum(F.col("x") * F.col("y")).alias("xy")).join(base.select(group, "n"), group))
+    kind = ratings.schema[group].dataType.simpleString()
+    grid = [m.ravel() for m in np.meshgrid(*[np.linspace(lo, hi, n) for n, (lo, hi) in zip(GRID, (STEEP, FAR))])]
+    tried = with_xy.select(group, F.lit(0.0).alias("u"), F.lit(0.0).alias("c"), F.lit(1.0).alias("left"), F.lit(0.0).alias("plcc"))
+
+    def best(grid: list[np.ndarray]):
+        def run(t: pa.Table) -> pa.Table:
+            row = {n: t.column(n)[0].as_py() for n in t.column_names}
+            scores = [_solved(row["n"], row["xy"] / row["n"], s) for s in np.stack([t.column(k).to_numpy() for k in ("s", "ss", "sx", "sy")], 1)]
+            k = int(np.argmin([left for left, _ in scores]))
+            at = int(t.column("at")[k].as_py())
+            left, plcc = min(scores[k], (row["left"], row["plcc"]))
+            values = row["u"] + float(grid[0][at]), row["c"] + float(grid[1][at]), left, plcc
+            return pa.table({group: t.column(group).slice(0, 1), **{n: pa.array([v], pa.float64()) for n, v in zip(("u", "c", "left", "plcc"), values)}})
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        plcc, rmse = logistic_fit(t["predicted"].to_numpy(float), t["rated"].to_numpy(float))
-        return pd.DataFrame({group: [t[group].iloc[0]], "n": [len(t)], "plcc": [plcc], "rmse": [rmse]})
+        return run
 
-    rows = ratings.select(group, "predicted", "rated").filter("predicted IS NOT NULL AND rated IS NOT NULL AND NOT isnan(predicted) AND NOT isnan(rated)")
-    return rows.groupBy(group).applyInPandas(run, f"{group} {ratings.schema[group].dataType.simpleString()}, n long, plcc double, rmse double")
+    width = 1.0
+    for _ in range(ROUNDS):
+        sums = _sums(scaled, tried, group, grid).join(tried, group).join(with_xy, group)
+        tried = kept(sums.groupBy(group).applyInArrow(best(grid), f"`{group}` {kind}, u double, c double, left double, plcc double"))
+        grid = [m.ravel() for m in np.meshgrid(*[np.linspace(-1, 1, 7) * width * (hi - lo) / (n - 1) for n, (lo, hi) in zip(GRID, (STEEP, FAR))])]
+        width /= ZOOM
+    nan = F.lit(float("nan"))
+    out = base.join(tried.select(group, "left", "plcc"), group, "left")
+    return out.select(group, "n", F.coalesce("plcc", nan).alias("plcc"), (F.col("dy") * F.sqrt(F.coalesce("left", F.when(F.col("dy") > 0, 1.0).otherwise(0.0)))).alias("rmse"))
 
 
 def rated_pairs(names: DataFrame, folds: int = 5, path: str = "path") -> DataFrame:

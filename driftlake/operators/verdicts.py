@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlake.operators.pixeldiff import severity
+from driftlake.operators.reports import percent_text
 
 # Types in the order of reports, their headings, and what they speak for.
 TYPES = {"content-change": "Content changed", "addition": "Content added", "deletion": "Content removed", "shift": "Content shifted", "color-change": "Colors changed", "rendering-noise": "Rendering noise"}
@@ -39,10 +40,11 @@ def summaries(pairs: DataFrame, regions: DataFrame, key: str = "frame") -> DataF
 
 
 def verdicts(pairs: DataFrame, regions: DataFrame, key: str = "frame") -> DataFrame:
-    """(key, regions, dominant, top_position, mean_confidence, label, action) of pairs (key, reason, diff_percentage).
+    """(key, regions, dominant, top_position, mean_confidence, label, action, reasons) of pairs (key, reason, diff_percentage).
 
     `reason` is 'pixel-diff', 'layout-diff', 'file-not-exists' or null.  The dominant type is the most frequent, the one found
-    first among equals; the top position is that of the largest region."""
+    first among equals; the top position is that of the largest region.  Label and reasons come from the first rule that holds; the reasons'
+    wording is a fixed value."""
     kind = F.col("change_type")
     stats = regions.groupBy(key).agg(
         F.count("*").alias("regions"),
@@ -54,21 +56,31 @@ def verdicts(pairs: DataFrame, regions: DataFrame, key: str = "frame") -> DataFr
         F.bool_or(kind.isin(*REGRESSIVE)).alias("any_regressive"),
     )
     each = regions.groupBy(key, "change_type").agg(F.count("*").alias("n"), F.min("region").alias("at"))
-    most = each.groupBy(key).agg(F.max_by("change_type", F.struct("n", -F.col("at"))).alias("dominant"))
-    j = pairs.join(stats, key, "left").join(most, key, "left").withColumn("severity", severity(F.col("diff_percentage")))
-    label = (
-        F.when(F.col("reason") == "layout-diff", "ambiguous")
-        .when(F.col("reason") == "file-not-exists", "regression-likely")
-        .when(F.col("regions").isNull(), "ambiguous")
-        .when(F.col("all_noise"), "noise-likely")
-        .when((F.col("diff_percentage") < SLIGHT) & (F.col("severity") == "low"), "noise-likely")
-        .when(F.col("any_regressive") & F.col("severity").isin("medium", "high"), "regression-likely")
-        .when(F.col("all_color") & (F.col("mean_confidence") > 0.7), "intentional-likely")
-        .when(F.col("all_moved") & ~F.col("all_color"), "intentional-likely")
-        .otherwise("ambiguous")
+    counted = F.format_string("%d %s", "n", "change_type")
+    found = F.struct("at", counted.alias("t"))
+    most = each.groupBy(key).agg(
+        F.max_by("change_type", F.struct("n", -F.col("at"))).alias("dominant"),
+        F.array_join(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "at", counted.alias("t"))))["t"], ", ").alias("_all"),  # a type each
+        F.array_join(F.array_sort(F.collect_list(F.when(kind.isin(*REGRESSIVE), found)))["t"], ", ").alias("_regressive"),
     )
-    out = j.withColumn("label", label)
-    return out.select(key, F.coalesce("regions", F.lit(0)).alias("regions"), "dominant", "top_position", F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"), "label", _choice(ACTIONS, F.col("label")).alias("action"))
+    j = pairs.join(stats, key, "left").join(most, key, "left").withColumn("severity", severity(F.col("diff_percentage")))
+    pct, say, n = percent_text(F.col("diff_percentage")), F.format_string, F.col("regions")
+    shown = F.coalesce("severity", F.lit("?"))
+    rules = [
+        (F.col("reason") == "layout-diff", "ambiguous", ["baseline and actual image dimensions differ — page height likely shifted", "could be intentional (content added/removed) or regression (broken layout)"]),
+        (F.col("reason") == "file-not-exists", "regression-likely", ["baseline or actual capture is missing from disk"]),
+        (n.isNull(), "ambiguous", ["pixels differ but interpret returned no regions"]),
+        (F.col("all_noise"), "noise-likely", ["all regions classified as rendering-noise"]),
+        ((F.col("diff_percentage") < SLIGHT) & (F.col("severity") == "low"), "noise-likely", [say(f'delta < {SLIGHT}%% (got %s) at "low" severity', pct), "sub-perceptual change - review optional"]),
+        (F.col("any_regressive") & F.col("severity").isin("medium", "high"), "regression-likely", [say("severity %s with structural changes (%s)", "severity", "_regressive"), "likely affects content or layout, not just styling"]),
+        (F.col("all_color") & (F.col("mean_confidence") > 0.7), "intentional-likely", [say("%d color-change %s with mean confidence > 0.7", n, _plural(n)), "edge structure preserved - looks like a theming / palette change"]),
+        (F.col("all_moved") & ~F.col("all_color"), "intentional-likely", ["all regions are shift/color-change - content moved or restyled, structure preserved"]),
+        (F.lit(True), "ambiguous", [say('mix of change types (%s) at "%s" severity', "_all", shown), F.concat(pct, F.lit(" of image differs"))]),
+    ]
+    lines = lambda some: F.array(*[F.lit(r) if isinstance(r, str) else r for r in some])
+    j = j.withColumn("_rule", F.coalesce(*[F.when(test, F.struct(F.lit(label).alias("label"), lines(some).alias("reasons"))) for test, label, some in rules]))
+    label = F.col("_rule.label")
+    return j.select(key, F.coalesce("regions", F.lit(0)).alias("regions"), "dominant", "top_position", F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"), label.alias("label"), _choice(ACTIONS, label).alias("action"), F.col("_rule.reasons").alias("reasons"))
 
 
 def passes(method: str, threshold: float = 0.0, kind: str = "pixel") -> Column:

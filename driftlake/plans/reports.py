@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlake.operators import catalog, reports
 from driftlake.operators.pixeldiff import severity
-from driftlake.operators.verdicts import TYPES, passes
+from driftlake.operators.verdicts import TYPES, passes, verdicts
 from driftlake.plans.registry import query
 
 KINDS = list(TYPES)
@@ -71,6 +71,24 @@ hl AS (SELECT run.id, CASE WHEN reason = 'layout-diff' THEN 'image dimensions ch
   ELSE n || ' regions: ' || listed || ' @ ' || position || ' (' || {PCT_SQL} || ', ' || severity || ')' END AS headline FROM run LEFT JOIN tl USING (id) LEFT JOIN tp USING (id))"""
 
 
+@query("verdict_reasons", f"""WITH {RUN_SQL}, cf AS (SELECT *, CAST(pixels % 11 AS DOUBLE) / 10 AS confidence FROM rg),
+ct AS (SELECT id, change_type, count(*) AS n, min(region) AS pos FROM rg GROUP BY ALL),
+cl AS (SELECT id, string_agg(n || ' ' || change_type, ', ' ORDER BY n DESC, pos) AS listed, string_agg(CASE WHEN change_type IN ('content-change', 'addition', 'deletion') THEN n || ' ' || change_type END, ', ' ORDER BY pos) AS hard FROM ct GROUP BY id),
+st AS (SELECT id, count(*) AS n, avg(confidence) AS sure, bool_and(change_type = 'rendering-noise') AS noise, bool_and(change_type = 'color-change') AS color, bool_and(change_type IN ('color-change', 'shift')) AS moved, bool_or(change_type IN ('content-change', 'addition', 'deletion')) AS regr FROM cf GROUP BY id),
+al AS (SELECT run.*, n, sure, noise, color, moved, regr, listed, hard, {PCT_SQL} AS pct FROM run LEFT JOIN st USING (id) LEFT JOIN cl USING (id)),
+lb AS (SELECT *, CASE WHEN reason = 'layout-diff' THEN 1 WHEN reason = 'file-not-exists' THEN 2 WHEN n IS NULL THEN 3 WHEN noise THEN 4 WHEN diff_percentage < 0.01 AND severity = 'low' THEN 5 WHEN regr AND severity IN ('medium', 'high') THEN 6 WHEN color AND sure > 0.7 THEN 7 WHEN moved AND NOT color THEN 8 ELSE 9 END AS rule FROM al WHERE status <> 'pass')
+SELECT id, ['ambiguous', 'regression-likely', 'ambiguous', 'noise-likely', 'noise-likely', 'regression-likely', 'intentional-likely', 'intentional-likely', 'ambiguous'][rule] AS label,
+CASE rule WHEN 1 THEN 'baseline and actual image dimensions differ — page height likely shifted; could be intentional (content added/removed) or regression (broken layout)' WHEN 2 THEN 'baseline or actual capture is missing from disk' WHEN 3 THEN 'pixels differ but interpret returned no regions'
+ WHEN 4 THEN 'all regions classified as rendering-noise' WHEN 5 THEN 'delta < 0.01% (got ' || pct || ') at "low" severity; sub-perceptual change - review optional' WHEN 6 THEN 'severity ' || severity || ' with structural changes (' || hard || '); likely affects content or layout, not just styling'
+ WHEN 7 THEN n || ' color-change region' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' with mean confidence > 0.7; edge structure preserved - looks like a theming / palette change' WHEN 8 THEN 'all regions are shift/color-change - content moved or restyled, structure preserved'
+ ELSE 'mix of change types (' || listed || ') at "' || severity || '" severity; ' || pct || ' of image differs' END AS reasons FROM lb""")
+def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failed page's verdict, and why."""
+    found = regions(spark, sf_dir).withColumn("confidence", (F.col("pixels") % 11).cast("double") / 10)
+    failed = results(spark, sf_dir).filter("status <> 'pass'").select("id", "reason", "diff_percentage")
+    return verdicts(failed, found, "id").select("id", "label", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("verdict_headlines", f"WITH {RUN_SQL}, {HEADLINE_SQL} SELECT * FROM hl")
 def verdict_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.headlines(results(spark, sf_dir), regions(spark, sf_dir))

@@ -76,7 +76,26 @@ def test_logistic_fit_finds_a_planted_curve(spark):
     assert math.isnan(plcc) and rmse < 1e-6
     rows = [("a", float(a), float(b)) for a, b in zip(x, y)] + [("a", None, 1.0), ("b", float("nan"), 1.0)]
     got = evaluation.fitted(spark.createDataFrame(rows, "g string, predicted double, rated double"), "g").collect()
-    assert [(r.g, r.n) for r in got] == [("a", 200)]
+    assert [(r.g, r.n) for r in got] == [("a", 200)] and got[0].plcc > 0.999999 and got[0].rmse < 1e-3
+
+
+def test_fits_from_sums_equal_those_of_whole_groups(spark, monkeypatch):
+    """Curves with noise, rising and falling, steep and flat; one constant side has no correlation."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for g, (steep, sign, noise) in enumerate([(0.5, 1, 0.1), (3.0, -1, 0.4), (12.0, 1, 0.2), (1.0, 1, 2.0)]):
+        x = rng.normal(50, 20, 300)
+        y = sign * 5 / (1 + np.exp(-steep * (x - 55) / 20)) + rng.normal(0, noise, 300)
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y)]
+        want[g] = evaluation.logistic_fit(x, y)
+    rows += [(8, float(i), 1.0) for i in range(5)] + [(9, 1.0, float(i)) for i in range(5)] + [(10, None, 2.0)]
+    df = spark.createDataFrame(rows, "g int, predicted double, rated double").repartition(7)
+    got = {r.g: r for r in evaluation.fitted(df, "g").collect()}
+    assert set(got) == {*want, 8, 9}
+    for g, (plcc, rmse) in want.items():
+        some = 5e-3 if g == 3 else 1e-4  # of mere noise there are many fits, and a steep one may lie between two of those tried
+        assert got[g].n == 300 and got[g].plcc >= plcc - some and got[g].rmse <= rmse * (1 + some), (g, got[g], plcc, rmse)
+    assert math.isnan(got[8].plcc) and got[8].rmse == 0 and math.isnan(got[9].plcc) and abs(got[9].rmse - 2**0.5) < 1e-9
 
 
 def slow_same(plane, kernel):
