@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.functions import color
-from driftlake.operators import shifts
-from driftlake.sources.scratch import kept
 
 # Thresholds of detection.
 TOUCHED = 16.0  # a squared metric: the pixel differs at all
@@ -316,20 +314,6 @@ def padded(regions: DataFrame, width: int, height: int) -> DataFrame:
     return regions
 
 
-def interpret(px: DataFrame, width: int, height: int, key: str = "frame", moves: bool = True) -> DataFrame:
-    """The regions that matter: box, pixels, shape, position, change type and confidence; both halves of a move are shifts, and rendering
-    noise is left out."""
-    px = closed(px, radius(width, height), key)
-    found = detect(px, key)
-    out = change_type(measures(px, found, key)).join(found.select(key, "region", "pixels"), [key, "region"])
-    if moves:
-        out = kept(out)
-        out = shifts.with_shifts(out, shifts.shift_pairs(px, out, key), key)
-    out = out.withColumn("shape", shape()).withColumn("position", position(width, height)).filter("change_type <> 'rendering-noise'")
-    out = padded(out, width, height).withColumn("percentage", F.col("pixels") * 100.0 / (width * height))
-    return out.select(key, "region", "bx", "by", "bw", "bh", "pixels", "percentage", "shape", "position", "change_type", "confidence")
-
-
 REFINE = 100.0  # a squared metric: pixels below it are no change that a coarse mask claims
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.operators import pixeldiff, regions, tiledregions, tiles, verdicts
+from driftlake.functions import color
+from driftlake.operators import interpreting, pixeldiff, regions, similarity, tiledregions, tiles, verdicts
 from driftlake.plans.imaging import DELTA_SQL, LIMIT, plain_status
 from driftlake.plans.registry import query
 from driftlake.sources.frames import SIDE, frame_pairs
@@ -120,16 +121,108 @@ def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.measures(px, known_boxes(px)).select("frame", "region", *[F.round(c, 6).alias(c) for c in ("edges1", "edges2", "edges_agree")])
 
 
-@query("known_region_types")
+def _side(k: int) -> str:
+    dot = lambda w: " + ".join(f"{c}{k} * {v!r}::DOUBLE" for c, v in zip("rgb", w))
+    return f"{dot(color.Y)} AS y{k}, {dot(color.I)} AS i{k}, {dot(color.Q)} AS q{k}, {dot(color.BT601)} AS l{k}"
+
+
+def _slope(k: int, part: str, along: str) -> str:
+    w = f"(PARTITION BY frame, {part} ORDER BY {along})"
+    ahead, back = f"lead(l{k}) OVER {w}", f"lag(l{k}) OVER {w}"
+    return f"power(CASE WHEN {back} IS NULL THEN {ahead} - l{k} WHEN {ahead} IS NULL THEN l{k} - {back} ELSE ({ahead} - {back}) * 0.5 END, 2)"
+
+
+def _step(part: str, along: str) -> str:
+    w = f"(PARTITION BY frame, {part} ORDER BY {along})"
+    return f"CASE WHEN ch AND lag(ch) OVER {w} THEN abs(dc - lag(dc) OVER {w}) END"
+
+
+def _near_ground(k: int) -> str:
+    far = " + ".join(f"power({c}{k} - g_{c}{k}, 2)" for c in "rgb")
+    return f"least(1.0::DOUBLE, coalesce(avg(sqrt({far})) FILTER (m) / (255 * sqrt(3.0::DOUBLE)), 1)) AS ground{k}"
+
+
+def types_sql(boxes: str, mask: str = f"abs(delta) > {LIMIT}") -> str:
+    """CTEs over d that end in typed(frame, region, bx, by, bw, bh, n, change_type, confidence): every measure of the boxes `boxes`, and the rules in order.  `mask` says what has
+    changed."""
+    grounds = ", ".join(f"coalesce(avg({c}{k}) FILTER (inside AND NOT ch), avg({c}{k}) FILTER (NOT inside)) AS g_{c}{k}" for k in (1, 2) for c in "rgb")
+    rules = [
+        ("bw * bh <= 25 AND faint", "rendering-noise", "1.0"),
+        ("fill < 0.35 AND faint AND edges1 < 0.05 AND NOT ((b1 AND NOT b2 AND fresh) OR (b2 AND NOT b1 AND gone))", "rendering-noise", "1.0"),
+        ("b1 AND NOT b2 AND (fresh OR edges2 - edges1 > 0.04 OR NOT (ncc > 0.55))", "addition", "CASE WHEN edges1 < 0.05 AND NOT (edges2 < 0.05) THEN 1.0 ELSE 0.9 END"),
+        ("b2 AND NOT b1 AND (gone OR edges2 - edges1 < -0.04 OR NOT (ncc > 0.55))", "deletion", "CASE WHEN edges2 < 0.05 AND NOT (edges1 < 0.05) THEN 1.0 ELSE 0.9 END"),
+        ("(NOT faint OR (ncc > 0.88 AND ((edges1 < 0.05 AND edges2 < 0.05) OR agree > 0.85) AND mean_delta > 0.00005)) AND NOT (ncc < 0.05 AND spread > mean_delta * 2 + 0.1) AND ncc > 0.55", "color-change", "least(1.0, least(mean_delta * 5, 1.0) * 0.5 + greatest(ncc, 0.0) * 0.5)"),
+        ("moved AND NOT (hue > 0.235 AND mean_dq <= 0.071 AND sat1 > 0.072)", "color-change", "least(mean_dc * 3, 1.0) * 0.5 + 0.25"),
+        ("NOT moved AND (mean_dy > 0.268 OR (mean_dy <= -0.150 AND edges2 <= 0.101))", "color-change", "0.6"),
+        ("true", "content-change", "0.5"),
+    ]
+    pick = lambda at: "CASE " + " ".join(f"WHEN {r[0]} THEN {at(r)}" for r in rules) + " END"
+    return f"""
+yq AS (SELECT *, {mask} AS ch, abs(delta) / 35215.0::DOUBLE AS nd, {_side(1)}, {_side(2)} FROM d),
+dc AS (SELECT *, sqrt(power(i2 - i1, 2) + power(q2 - q1, 2)) AS dc, {_slope(1, 'y', 'x')} + {_slope(1, 'x', 'y')} >= 900 AS e1, {_slope(2, 'y', 'x')} + {_slope(2, 'x', 'y')} >= 900 AS e2 FROM yq),
+sp AS (SELECT *, {_step('y', 'x')} AS sx, {_step('x', 'y')} AS sy FROM dc),
+cg AS (SELECT sp.*, b.region, bx, "by", bw, bh, sp.x - bx AS ex, sp.y - "by" AS ey, sp.x >= bx AND sp.x < bx + bw AND sp.y >= "by" AND sp.y < "by" + bh AS inside FROM sp JOIN {boxes} b ON b.frame = sp.frame AND sp.x BETWEEN bx - 1 AND bx + bw AND sp.y BETWEEN "by" - 1 AND "by" + bh),
+gd AS (SELECT frame, region, {grounds} FROM cg GROUP BY ALL),
+cm2 AS (SELECT cg.*, inside AND ch AS m, sqrt(i1 * i1 + q1 * q1) AS s1, sqrt(i2 * i2 + q2 * q2) AS s2, {', '.join(f'g_{c}{k}' for k in (1, 2) for c in 'rgb')} FROM cg JOIN gd USING (frame, region)),
+ms AS (SELECT frame, region, bx, "by", bw, bh, count(*) FILTER (m) AS n, count(*) FILTER (m) / (bw * bh)::DOUBLE AS fill, avg(nd) FILTER (m) AS mean_delta, stddev_pop(nd) FILTER (m) AS spread,
+  avg(CAST(e1 AS INT)) FILTER (m) AS edges1, avg(CAST(e2 AS INT)) FILTER (m) AS edges2, avg(CAST(e1 = e2 AS INT)) FILTER (m) AS agree, avg(y2 - y1) FILTER (m) / 255 AS mean_dy, avg(abs(q2 - q1)) FILTER (m) / 255 AS mean_dq, avg(dc) FILTER (m) / 255 AS mean_dc, avg(s1) FILTER (m) / 255 AS sat1,
+  CASE WHEN sum(s1 * s2) FILTER (m) > 1e-6 THEN greatest(-1, least(1, sum(i1 * i2 + q1 * q2) FILTER (m) / sum(s1 * s2) FILTER (m))) ELSE 1 END AS hue,
+  CASE WHEN count(*) FILTER (m) < 2 OR (var_pop(l1) FILTER (m) * count(*) FILTER (m) <= 1e-6 AND var_pop(l2) FILTER (m) * count(*) FILTER (m) <= 1e-6) THEN 1 WHEN var_pop(l1) FILTER (m) * count(*) FILTER (m) <= 1e-6 OR var_pop(l2) FILTER (m) * count(*) FILTER (m) <= 1e-6 THEN 0
+       ELSE greatest(-1, least(1, covar_pop(l1, l2) FILTER (m) / sqrt(var_pop(l1) FILTER (m) * var_pop(l2) FILTER (m)))) END AS ncc,
+  count(sx) FILTER (m AND ex > 0) + count(sy) FILTER (m AND ey > 0) AS steps, coalesce(sum(sx) FILTER (m AND ex > 0), 0) + coalesce(sum(sy) FILTER (m AND ey > 0), 0) AS jumps, stddev_pop(dc) FILTER (m) AS sdc, {_near_ground(1)}, {_near_ground(2)}
+  FROM cm2 GROUP BY frame, region, bx, "by", bw, bh HAVING count(*) FILTER (m) > 0),
+fl AS (SELECT *, mean_delta < 0.05 AS faint, ground1 < 0.08 OR (ground2 > 0.08 AND ground1 < ground2 * 0.5) AS b1, ground2 < 0.08 OR (ground1 > 0.08 AND ground2 < ground1 * 0.5) AS b2, ground2 > ground1 * 2 AS fresh, ground1 > ground2 * 2 AS gone,
+  mean_dc > 0.131 AND CASE WHEN steps > 0 THEN jumps / steps / (sdc + 1e-6) ELSE 0 END < 0.75 AS moved FROM ms),
+typed AS (SELECT frame, region, bx, "by", bw, bh, n, {pick(lambda r: f"'{r[1]}'")} AS change_type, CAST({pick(lambda r: r[2])} AS DOUBLE) AS confidence FROM fl)"""
+
+
+@query("known_region_types", f'{DELTA_SQL}, {KNOWN_SQL}, {types_sql("kb")} SELECT frame, region, bx, "by", bw, bh, n, change_type, round(confidence, 6) AS confidence FROM typed')
 def known_region_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes given by the caller, measured and classified."""
     px = changed(spark, sf_dir)
     return regions.change_type(regions.measures(px, known_boxes(px))).select("frame", "region", "bx", "by", "bw", "bh", "n", "change_type", F.round("confidence", 6).alias("confidence"))
 
 
+# The mask of a coarse source: of the pixels in its boxes those of a metric of 100 or more; a box with none of these keeps all that differ at all.
+COARSE_SQL = f"""ins AS (SELECT d.frame, kb.region, d.x, d.y, abs(delta) AS size FROM d JOIN kb ON d.frame = kb.frame AND d.x >= bx AND d.x < bx + bw AND d.y >= "by" AND d.y < "by" + bh),
+ft AS (SELECT frame, region FROM ins GROUP BY ALL HAVING max(size) < 100 AND max(size) > 0), rf AS (SELECT frame, x, y FROM ins WHERE size >= 100 UNION SELECT frame, x, y FROM ins SEMI JOIN ft USING (frame, region))"""
+PLACE_SQL = """CASE WHEN "by" + bh / 2 < 32 / 3.0 THEN CASE WHEN bx + bw / 2 < 32 / 3.0 THEN 'top-left' WHEN bx + bw / 2 < 64 / 3.0 THEN 'top' ELSE 'top-right' END
+  WHEN "by" + bh / 2 < 64 / 3.0 THEN CASE WHEN bx + bw / 2 < 32 / 3.0 THEN 'left' WHEN bx + bw / 2 < 64 / 3.0 THEN 'center' ELSE 'right' END
+  ELSE CASE WHEN bx + bw / 2 < 32 / 3.0 THEN 'bottom-left' WHEN bx + bw / 2 < 64 / 3.0 THEN 'bottom' ELSE 'bottom-right' END END"""
+
+
+@query("interpreted_boxes", f"""{DELTA_SQL}, {KNOWN_SQL}, {COARSE_SQL}, {types_sql("kb", "(frame, x, y) IN (SELECT (frame, x, y) FROM rf)")}
+SELECT frame, region, bx, "by", bw, bh, n AS pixels, round(100.0::DOUBLE * n / {SIDE * SIDE}, 6) AS percentage, {PLACE_SQL} AS position, change_type FROM typed WHERE change_type <> 'rendering-noise'""")
+def interpreted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller's boxes as the source of regions.  Moves are left to `interpreted_moves`."""
+    px = changed(spark, sf_dir)
+    found = interpreting.interpret(interpreting.from_boxes(px, known_boxes(px)), SIDE, SIDE, moves=False)
+    return found.select("frame", "region", "bx", "by", "bw", "bh", "pixels", F.round("percentage", 6).alias("percentage"), "position", "change_type")
+
+
+@query("interpreted_totals", f"""{DELTA_SQL}, {KNOWN_SQL}, {COARSE_SQL}, {types_sql("kb", "(frame, x, y) IN (SELECT (frame, x, y) FROM rf)")}, lf AS (SELECT * FROM typed WHERE change_type <> 'rendering-noise'),
+un AS (SELECT DISTINCT rf.frame, rf.x, rf.y FROM rf JOIN lf ON lf.frame = rf.frame AND rf.x >= bx AND rf.x < bx + bw AND rf.y >= "by" AND rf.y < "by" + bh),
+ct AS (SELECT frame, count(*) AS diff_count FROM un GROUP BY frame), rg AS (SELECT frame, count(*) AS regions FROM lf GROUP BY frame)
+SELECT frame, coalesce(regions, 0) AS regions, coalesce(diff_count, 0) AS diff_count, round(100.0::DOUBLE * coalesce(diff_count, 0) / {SIDE * SIDE}, 6) AS diff_percentage, CASE WHEN 100.0 * coalesce(diff_count, 0) / {SIDE * SIDE} < 1 THEN 'low' WHEN 100.0 * coalesce(diff_count, 0) / {SIDE * SIDE} <= 10 THEN 'medium' ELSE 'high' END AS severity
+FROM (SELECT DISTINCT frame FROM px) LEFT JOIN ct USING (frame) LEFT JOIN rg USING (frame)""")
+def interpreted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the caller's boxes come to for each image; a pixel under two boxes counts once."""
+    px = changed(spark, sf_dir)
+    source = interpreting.from_boxes(px, known_boxes(px))
+    return interpreting.totals(source, interpreting.interpret(source, SIDE, SIDE, moves=False), SIDE, SIDE).select("frame", "regions", "diff_count", F.round("diff_percentage", 6).alias("diff_percentage"), "severity")
+
+
+@query("interpreted_scores")
+def interpreted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the gradient similarity is low, as the source of regions."""
+    px = changed(spark, sf_dir)
+    cells = similarity.gms(similarity.gradients(frame_pairs(spark, sf_dir), SIDE, SIDE)).select("frame", (F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), F.col("gms").alias("score"))
+    return interpreting.interpret(interpreting.from_scores(px, cells, SIDE - 2, SIDE - 2, SIDE, SIDE, 0.9), SIDE, SIDE)
+
+
 @query("interpreted_regions")
 def interpreted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.interpret(changed(spark, sf_dir), SIDE, SIDE)
+    return interpreting.interpret(interpreting.from_differences(changed(spark, sf_dir), SIDE, SIDE), SIDE, SIDE)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Components, merging and morphology against brute force; rules on rows made by hand."""
 
 import numpy as np
-from driftlake.operators import regions, verdicts
+from driftlake.operators import interpreting, regions, verdicts
 from pyspark.sql import functions as F
 
 
@@ -57,4 +57,4 @@ def test_positions_and_verdicts(spark):
 
 def test_nothing_changed_gives_no_regions(spark):
     px = spark.range(64).select(F.lit(0).alias("frame"), (F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"), *[F.lit(9).alias(f"{c}{k}") for k in "12" for c in "rgba"], F.lit(0.0).alias("delta"), F.lit(False).alias("changed"))
-    assert regions.interpret(px, 8, 8).count() == 0
+    assert interpreting.interpret(interpreting.from_differences(px, 8, 8), 8, 8).count() == 0
