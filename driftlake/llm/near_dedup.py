@@ -252,10 +252,22 @@ def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
     return labels.join(joined.select(F.col("vid").alias("comp"), F.col("comp").alias("under")), "comp", "left").select("vid", F.coalesce("under", "comp").alias("comp"))
 
 
+def _tops(up: DataFrame) -> DataFrame:
+    """(vid, comp): where the steps (vid, lead) from each vertex end; leads are less than their vertices, so steps double until none goes on."""
+    now = kept(up.select("vid", F.col("lead").alias("comp")))
+    while True:
+        above = now.select(F.col("vid").alias("comp"), F.col("comp").alias("above"))
+        new = kept(now.join(above, "comp", "left").select("vid", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")))
+        if new.filter("moved").isEmpty():
+            break
+        now = new.select("vid", "comp")
+    return now.union(now.select(F.col("comp").alias("vid"), "comp").distinct())
+
+
 def _families(near: DataFrame) -> DataFrame:
     """(vid, comp): components of the pairs (vid, lead).  Links of every vertex with its least lead come first; of the other pairs only those count
     that these leave apart, as pairs of components."""
-    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")))
+    families = _tops(near.groupBy("vid").agg(F.min("lead").alias("lead")))
     of_lead = families.select(F.col("vid").alias("lead"), F.col("comp").alias("b"))
     apart = near.join(families, "vid").join(of_lead, "lead", "left").select(F.col("comp").alias("a"), F.coalesce("b", "lead").alias("b"))
     apart = kept(apart.filter("a <> b").distinct())
@@ -270,8 +282,8 @@ def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Of members (family, vid, part) those that may be similar enough to another one, for all that is known of each alone.
 
     A shingle that no other member has is in no intersection.  So a set of n shingles, c of them shared, meets p per cent with a set of m only if
-    (100 + p) c >= p (n + m): it goes unless the family has a set of such a size.  Those that go may leave others' shingles
-    unshared, so this is done twice.  Work is a row for each shingle, whatever the family's size."""
+    (100 + p) c >= p (n + m): it goes unless the family has a set of such a size.  Work is a row for each shingle, whatever the
+    family's size."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -281,17 +293,15 @@ def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 to = np.repeat(np.arange(b.num_rows), [len(f) for f in flat])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(to)), b.column(1).take(pa.array(to)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["family", "vid", "shingle"])
 
-    for _ in range(2):
-        full = rows.join(sets, "vid").select("family", "vid", "part", "set")
-        each = full.select("family", "vid", "set").mapInArrow(shingles, "family long, vid long, shingle long")
-        alone = each.groupBy("family", "shingle").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).filter("k = 1").groupBy("vid").agg(F.count("*").alias("alone"))
-        sized = full.select("family", "vid", "part", F.expr("octet_length(set) div 8").alias("n")).join(alone, "vid", "left")
-        sizes = sized.groupBy("family").agg(F.collect_set("n").alias("sizes"))  # distinct sizes, not members
-        n, p = F.col("n"), per_cent
-        most = F.lit(100 + p) * (n - F.coalesce("alone", F.lit(0))) - n * p
-        meets = F.exists("sizes", lambda m: (m * 100 >= n * p) & (m * p <= n * 100) & (m * p <= most))
-        rows = kept(sized.join(sizes, "family").filter(meets).select("family", "vid", "part"))
-    return rows
+    full = rows.join(sets, "vid").select("family", "vid", "part", "set")
+    each = full.select("family", "vid", "set").mapInArrow(shingles, "family long, vid long, shingle long")
+    alone = each.groupBy("family", "shingle").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).filter("k = 1").groupBy("vid").agg(F.count("*").alias("alone"))
+    sized = kept(full.select("family", "vid", "part", F.expr("octet_length(set) div 8").alias("n")).join(alone, "vid", "left"))
+    sizes = sized.groupBy("family").agg(F.collect_set("n").alias("sizes"))  # distinct sizes, not members
+    n, p = F.col("n"), per_cent
+    most = F.lit(100 + p) * (n - F.coalesce("alone", F.lit(0))) - n * p
+    meets = F.exists("sizes", lambda m: (m * 100 >= n * p) & (m * p <= n * 100) & (m * p <= most))
+    return sized.join(sizes, "family").filter(meets).select("family", "vid", "part")
 
 
 def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
