@@ -103,7 +103,7 @@ class Trie:
             code = np.where(p > 0, np.minimum(np.rint(-np.log10(p) * STEP), ZERO - 1), ZERO).astype(np.uint16)
         back = np.minimum(np.rint(-np.log10(rest) * STEP), ZERO - 1).astype(np.uint16)
         level = of.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
-        parts = [eliasfano.encode(words), eliasfano.encode(pointer.astype(np.uint64)), word_count.astype(np.uint32).tobytes(), back.tobytes(), eliasfano.encode(level), code.tobytes()]
+        parts = [eliasfano.encode(words), eliasfano.encode(pointer.astype(np.uint64)), word_count.astype(np.uint64).tobytes(), back.tobytes(), eliasfano.encode(level), code.tobytes()]
         return np.array([len(x) for x in parts], np.uint64).tobytes() + b"".join(parts)
 
     def __init__(self, buffer):
@@ -111,7 +111,7 @@ class Trie:
         at = 48 + np.concatenate(([0], np.cumsum(sizes)))
         view = memoryview(buffer)
         self.words, self.pointer, self.level = (eliasfano.Sequence(view[at[i] : at[i + 1]]) for i in (0, 1, 4))
-        self.word_count = np.frombuffer(view, np.uint32, len(self.words), at[2])
+        self.word_count = np.frombuffer(view, np.uint64, len(self.words), at[2])  # of the whole corpus, so it may pass 2**32
         self.back = np.frombuffer(view, np.uint16, len(self.words), at[3])
         self.code = np.frombuffer(view, np.uint16, len(self.level), at[5])
 
@@ -176,7 +176,7 @@ def answer(discount: float, prior: float):
 def finish(total: int, distinct: int):
     def run(number: int, docs: pa.Table, replies: list) -> pa.Table:
         g = Ngrams(docs)
-        got = [batches.unpack(m, np.uint32, np.uint16, np.uint16) for m in replies]
+        got = [batches.unpack(m, np.uint64, np.uint16, np.uint16) for m in replies]
         count, back, code = (np.concatenate([x[i] for x in got]).astype(np.float64) for i in range(3))
         base = np.log10(count + 0.5) - np.log10(total + 0.5 * (distinct + 1))
         seen = np.where(code < ZERO, 10 ** (-code / STEP), 0.0)

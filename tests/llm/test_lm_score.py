@@ -67,3 +67,12 @@ def test_probabilities_sum_to_one():
     seen = t.follow(np.zeros(6, int), np.array([1, 2, 3, 4, 5, 6], np.uint64))
     p = np.where(seen < lm_score.ZERO, 10 ** (-seen.astype(float) / lm_score.STEP), 0) + 10 ** (-float(t.back[0]) / lm_score.STEP) * p1
     assert p.sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_counts_beyond_32_bits():
+    """The commonest words' counts of a large corpus come back as they are, from the trie and from a reply."""
+    words, counts = np.array([5, 9, 1 << 63], np.uint64), np.array([2**32 + 7, 3, 2**40], np.int64)
+    trie = lm_score.Trie(lm_score.Trie.build(words, counts, np.array([0, 1, 1, 2]), np.array([4, 6], np.uint64), np.array([2**33, 1]), 0.5, 1.0))
+    at = trie.find(words)
+    assert trie.word_count[at].tolist() == counts.tolist()
+    assert batches.unpack(batches.pack(trie.word_count[at]), np.uint64)[0].tolist() == counts.tolist()
