@@ -44,15 +44,17 @@ def distinct_routes(routes: DataFrame, url: str = "url", pos: str = "pos") -> Da
     return first_by(routes.withColumn(url, normal_path(F.col(url))), url, pos)
 
 
-def collapse_templates(routes: DataFrame, threshold: int = THRESHOLD, samples: int = SAMPLES, url: str = "url", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+def collapse_templates(routes: DataFrame, threshold: int = THRESHOLD, samples: int = SAMPLES, url: str = "url", pos: str = "pos", by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(routes, notes): of `threshold` or more routes under one parent that is not the root the first `samples` stay, with a
-    note for each such parent (parent, size, note)."""
+    note for each such parent (parent, size, note).  With `by`, parents count apart for each value of these columns."""
+    group = [*by, "_parent"]
     named = routes.withColumn("_parent", parent_path(F.col(url)))
-    large = named.filter("_parent <> '/'").groupBy("_parent").agg(F.count("*").alias("size")).filter(F.col("size") >= threshold)
-    small = named.join(large, "_parent", "left_anti")
-    sampled = first_by(named.filter("_parent <> '/'"), "_parent", pos, samples).join(large.select("_parent"), "_parent", "left_semi")
+    large = named.filter("_parent <> '/'").groupBy(*group).agg(F.count("*").alias("size")).filter(F.col("size") >= threshold)
+    small = named.join(large, group, "left_anti")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(pos))
+    sampled = named.filter("_parent <> '/'").withColumn("_nth", nth).filter(F.col("_nth") <= samples).drop("_nth").join(large.select(*group), group, "left_semi")
     note = F.concat("_parent", F.lit("/* ("), F.col("size").cast("string"), F.lit(f" → {samples})"))
-    return small.unionByName(sampled).select(routes.columns), large.select(F.col("_parent").alias("parent"), "size", note.alias("note"))
+    return small.unionByName(sampled).select(routes.columns), large.select(*by, F.col("_parent").alias("parent"), "size", note.alias("note"))
 
 
 def upsert(entries: DataFrame, incoming: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
@@ -164,3 +166,13 @@ def discovered(pages: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH,
     found = reachable(links(pages), starts, max_depth, max_routes)
     w = Window.partitionBy("host", "url").orderBy("depth")
     return found.withColumn("url", normal_path(F.col("url"))).withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
+def discover(pages: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_routes: int | None = MAX_ROUTES, threshold: int | None = THRESHOLD, samples: int = SAMPLES) -> DataFrame:
+    """(host, nth, url, depth): discovered() routes with large groups under one parent cut to the first few (the nearest, then by URL; with no
+    threshold all stay), numbered as people list them: by the root collation, in which case and accents come last."""
+    routes = discovered(pages, starts, max_depth, max_routes)
+    if threshold is not None:
+        routes = collapse_templates(routes.withColumn("_pos", F.struct("depth", "url")), threshold, samples, pos="_pos", by=("host",))[0].drop("_pos")
+    listed = F.row_number().over(Window.partitionBy("host").orderBy(F.collate("url", "UNICODE"), "url"))
+    return routes.select("host", listed.alias("nth"), "url", "depth")

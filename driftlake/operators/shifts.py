@@ -5,11 +5,15 @@ region matches the second image's crop at the other; pairs are taken best first,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlake.sources.scratch import kept
+
 # Thresholds of the match.
 NCC_LEAST, NCC_RETRY, REACH = 0.80, 0.45, 3
 MAD_MOST, FLAT_MAD_MOST = 0.15, 0.05
@@ -66,16 +70,29 @@ def score(one: np.ndarray, two: np.ndarray, source: tuple[int, int, int, int], t
     return max(found, default=None)
 
 
-def pairs_of(one: np.ndarray, two: np.ndarray, regions: list[tuple[int, str, tuple[int, int, int, int]]]) -> list[tuple[int, int, float]]:
-    """(region, region, score) of matched halves among regions (number, change type, box)."""
+def candidates(regions: DataFrame, key: str = "frame") -> DataFrame:
+    """(key, region, partner), region < partner: pairs of regions of an image whose sizes fit each other.
+
+    A region is filed under the logarithms of its width and height, cut to steps of the largest ratio that fits, and looked up in its own and the
+    neighbouring steps; so regions of other sizes never meet."""
+    step = lambda c: F.floor(F.ln(F.greatest(F.lit(1), F.col(c)).cast("double")) / math.log(RATIOS[1]))
+    filed = regions.select(key, "region", "change_type", "bw", "bh", step("bw").alias("_w"), step("bh").alias("_h"))
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    asked = filed.withColumn("_dw", F.explode(near)).withColumn("_dh", F.explode(near)).withColumn("_w", F.col("_w") + F.col("_dw")).withColumn("_h", F.col("_h") + F.col("_dh")).drop("_dw", "_dh")
+    names = {"region": "partner", "change_type": "_type", "bw": "_pw", "bh": "_ph"}
+    both = asked.join(filed.withColumnsRenamed(names), [key, "_w", "_h"]).filter("region < partner")
+    fits = lambda a, b: (F.col(a) / F.greatest(F.lit(1), F.col(b))).between(*RATIOS)
+    same = (F.col("change_type") == "color-change") & (F.col("_type") == "color-change")
+    return both.filter(fits("bw", "_pw") & fits("bh", "_ph") & ~same).select(key, "region", "partner")
+
+
+def pairs_of(one: np.ndarray, two: np.ndarray, boxes: dict[int, tuple[int, int, int, int]], pairs: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """(region, region, score) of matched halves among pairs of the boxes."""
     scored = []
-    for i, (a, kind, box) in enumerate(regions):
-        for b, other, there in regions[i + 1 :]:
-            fits = all(RATIOS[0] <= box[k] / max(1, there[k]) <= RATIOS[1] for k in (2, 3))
-            if fits and not kind == other == "color-change":
-                both = [s for s in (score(one, two, box, there), score(one, two, there, box)) if s is not None]
-                if both:
-                    scored.append((max(both), a, b))
+    for a, b in pairs:
+        both = [s for s in (score(one, two, boxes[a], boxes[b]), score(one, two, boxes[b], boxes[a])) if s is not None]
+        if both:
+            scored.append((max(both), a, b))
     taken: set[int] = set()
     out = []
     for s, a, b in sorted(scored, key=lambda t: -t[0]):
@@ -87,26 +104,34 @@ def pairs_of(one: np.ndarray, two: np.ndarray, regions: list[tuple[int, str, tup
 
 def shift_pairs(px: DataFrame, regions: DataFrame, key: str = "frame") -> DataFrame:
     """(key, region, partner, score): matched halves among regions (key, region, change_type, bx, by, bw, bh) of pixels
-    (key, x, y, r1..b1, r2..b2).  Only images with two regions or more are looked at."""
-    several = regions.groupBy(key).count().filter("count > 1").select(key)
+    (key, x, y, r1..b1, r2..b2).  Only images with candidates are looked at."""
+    pairs = kept(candidates(regions, key))
+    several = pairs.select(key).distinct()
     luma = lambda k: sum((F.col(f"{c}{k}") * F.lit(w) for c, w in zip("gb", BT601[1:])), F.col(f"r{k}") * F.lit(BT601[0])).alias(f"l{k}")
     image = px.join(F.broadcast(several) if several.count() <= 200_000 else several, key, "left_semi").select(key, "x", "y", luma(1), luma(2))
     kind = px.schema[key].dataType.simpleString()
+    box = lambda n: F.struct(*[F.col(c).cast("int").alias(c) for c in ("bx", "by", "bw", "bh")]).alias(n)
+    ends = regions.select(key, "region", box("a"))
+    few = pairs.join(ends, [key, "region"]).join(ends.withColumnsRenamed({"region": "partner", "a": "b"}), [key, "partner"])
+    few = few.select(F.col(key).alias("_image"), "region", "partner", "a", "b")  # a name of its own, as regions may come from px
 
-    def run(pixels: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def run(pixels: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        if len(pixels) and len(found) > 1:
+        if pixels.num_rows and found.num_rows:
+            x, y = pixels.column("x").to_numpy(), pixels.column("y").to_numpy()
             planes = []
             for c in ("l1", "l2"):
-                p = np.zeros((int(pixels.y.max()) + 1, int(pixels.x.max()) + 1))
-                p[pixels.y, pixels.x] = pixels[c]
+                p = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+                p[y, x] = pixels.column(c).to_numpy()
                 planes.append(p)
-            rows = [(r.region, r.change_type, (r.bx, r.by, r.bw, r.bh)) for r in found.sort_values("region").itertuples()]
-            out = [(pixels[key].iloc[0], a, b, s) for a, b, s in pairs_of(*planes, rows)]
-        return pd.DataFrame(out, columns=[key, "region", "partner", "score"])
-
-    few = regions.select(F.col(key).alias("_image"), "region", "change_type", "bx", "by", "bw", "bh")  # a name of its own, as regions may come from px
-    return image.groupBy(key).cogroup(few.groupBy("_image")).applyInPandas(run, f"{key} {kind}, region int, partner int, score double")
+            rows = sorted(found.select(["region", "partner", "a", "b"]).to_pylist(), key=lambda r: (r["region"], r["partner"]))
+            boxes = {r[n]: tuple(r[b].values()) for r in rows for n, b in (("region", "a"), ("partner", "b"))}
+            out = pairs_of(*planes, boxes, [(r["region"], r["partner"]) for r in rows])
+        columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.float64()))]
+        image = found.column("_image").slice(0, 1).to_pylist() * len(out)
+        return pa.table({key: pa.array(image, found.schema.field("_image").type), **dict(zip(("region", "partner", "score"), columns))})
+
+    return image.groupBy(key).cogroup(few.groupBy("_image")).applyInArrow(run, f"`{key}` {kind}, region int, partner int, score double")
 
 
 def with_shifts(regions: DataFrame, found: DataFrame, key: str = "frame") -> DataFrame:

@@ -83,17 +83,10 @@ def gaussian_windows(pairs: DataFrame, width: int, height: int, size: int = 11,
 
 
 def gaussian_ssim(pairs: DataFrame, width: int, height: int, key: str = "frame") -> DataFrame:
-    """Mean SSIM, for images under 384 pixels a side (larger ones are box-filtered down first by `shrunk`)."""
+    """Mean SSIM, for images under 384 pixels a side (larger ones are shrunk first, see planes.ssim)."""
     return gaussian_windows(pairs, width, height, key=key).groupBy(key).agg(F.avg("ssim").alias("score"))
 
 
-def shrunk(pairs: DataFrame, factor: int, key: str = "frame") -> DataFrame:
-    """Every factor-th pixel of the image averaged over factor x factor blocks, as opaque grays r1=g1=b1, r2=g2=b2."""
-    g = with_gray(pairs).withColumn("x", F.expr(f"x div {factor}").cast("int")).withColumn("y", F.expr(f"y div {factor}").cast("int"))
-    out = g.groupBy(key, "x", "y").agg(F.avg("l1").alias("v1"), F.avg("l2").alias("v2"))
-    return out.select(key, "x", "y", *[F.col(f"v{k}").alias(f"{c}{k}") for k in (1, 2) for c in "rgb"], F.lit(255).alias("a1"), F.lit(255).alias("a2"))
-
-
 def gradients(pairs: DataFrame, width: int, height: int, key: str = "frame") -> DataFrame:
     """Prewitt magnitudes of interior pixels: (key, x, y, g1, g2).  One window pass along rows, one along columns."""
     g = with_gray(pairs)

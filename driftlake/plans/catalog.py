@@ -65,12 +65,15 @@ def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.reachable(catalog.links(pages), start)
 
 
-@query("discovered_routes", f"""WITH {HREFS}, st AS (SELECT DISTINCT host, src AS url, 0 AS depth FROM (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, min(CASE WHEN s1 = '' THEN '/' ELSE s1 END) AS src
+DISCOVERED_SQL = f"""WITH {HREFS}, st AS (SELECT DISTINCT host, src AS url, 0 AS depth FROM (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, min(CASE WHEN s1 = '' THEN '/' ELSE s1 END) AS src
   FROM (SELECT url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS s1 FROM pages) GROUP BY 1)),
 one AS (SELECT DISTINCT host, dst AS url, 1 AS depth FROM lk JOIN st USING (host) WHERE src = st.url AND (host, dst) NOT IN (SELECT (host, url) FROM st)),
 al AS (SELECT * FROM st UNION ALL SELECT * FROM one),
 nm AS (SELECT host, depth, regexp_replace(regexp_extract(url, '^[^?]*'), '/+$', '') AS p0, regexp_extract(url, '^[^?]*\\?([^?]*)', 1) AS q FROM al)
-SELECT host, CASE WHEN p0 = '' THEN '/' ELSE p0 END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url, min(depth) AS depth FROM nm GROUP BY ALL""")
+SELECT host, CASE WHEN p0 = '' THEN '/' ELSE p0 END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url, min(depth) AS depth FROM nm GROUP BY ALL"""
+
+
+@query("discovered_routes", DISCOVERED_SQL)
 def discovered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every normal path that a host's first page leads to, without a cap."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -79,6 +82,24 @@ def discovered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.discovered(pages, start, max_depth=1, max_routes=None)
 
 
+# The root collation by hand, for the signs that URLs hold: letters and signs first, then accents, then case.
+SIGNS = "_-,;:!?.@*/&#%+=~$0123456789abcdefghijklmnopqrstuvwxyz"
+PRIMARY = f"translate(replace(lower(strip_accents(url)), 'ß', 'ss'), '{SIGNS}', '{''.join(chr(40 + i) for i in range(len(SIGNS)))}')"
+ACCENTS = "regexp_replace(translate(lower(url), 'áéíóúàèìòùâêîôûäëïöüñç', '1111122222333334444456'), '[^1-6]', '0', 'g')"
+CASE = "regexp_replace(regexp_replace(url, '[^A-ZÀ-Þ]', '0', 'g'), '[A-ZÀ-Þ]', '1', 'g')"
+
+
+@query("discover", f"""WITH dc AS ({DISCOVERED_SQL}), pt AS (SELECT *, regexp_extract(regexp_extract(url, '^[^?]*'), '^(.*)/[^/]*$', 1) AS parent FROM dc),
+rn AS (SELECT *, count(*) OVER (PARTITION BY host, parent) AS size, row_number() OVER (PARTITION BY host, parent ORDER BY depth, url) AS k FROM pt)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY {PRIMARY}, {ACCENTS}, {CASE}, url) AS nth, url, depth FROM rn WHERE parent = '' OR size < 2 OR k <= 1""")
+def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes one link from each host's first page, one for each parent, in collated order."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    here = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "#.*$", "")
+    start = pages.groupBy(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("host")).agg(F.min(F.when(here == "", "/").otherwise(here)).alias("url"))
+    return catalog.discover(pages, start, max_depth=1, max_routes=None, threshold=2, samples=1)
+
+
 # A manifest: three entries of four are base entries, the fourth is derived from the one before it, or, every fifth time, from one that is gone.
 ENTRIES = """CASE WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING), '__menu') ELSE concat('p', CAST(page_id AS STRING)) END AS id,
 regexp_replace(url, '^[a-z]+://[^/]*', '') AS url, CASE WHEN page_id % 20 = 3 THEN concat('gone', CAST(page_id AS STRING)) WHEN page_id % 4 = 3 THEN concat('p', CAST(page_id - 1 AS STRING)) END AS parent, page_id % 8 = 3 AS derived"""

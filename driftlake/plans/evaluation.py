@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftlake.operators import evaluation
 from driftlake.plans.registry import query
+from driftlake.sources import cases
+from driftlake.sources.scratch import new_path
 
 NAMES = "[" + ", ".join(f"'{t}'" for t in evaluation.TYPES) + "]"
 # Actual and predicted types from the embeddings' labels: one in five is off by one, some are missed, some are false alarms.
@@ -110,3 +112,48 @@ def rank_correlations_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of values that hardly ever repeat."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL").select("event_type", (F.col("user_id").cast("double") + F.col("value") / 1000).alias("a"), F.col("value").alias("b"))
     return evaluation.correlations(e, "a", "b", "event_type").select("event_type", "n", *[F.round(c, 9).alias(c) for c in ("pearson", "spearman", "kendall")])
+
+
+# A manifest: an order is a case, its line items are regions.  Some lines are cut off, some tiers and types unknown, some masks missing.
+DECLARED = ("Addition", "Deletion", "Shift", "ColorChange", "ContentChange", "RenderingNoise", "Redesign")
+CASES_SQL = f"""rg AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_partkey % 61 = 0) AS odd_type, bool_or(l_suppkey % 37 = 0 AND l_partkey % 61 <> 0 AND l_partkey % 5 <> 0) AS flat, bool_or(l_partkey % 5 = 0 AND l_partkey % 61 <> 0 AND l_linenumber > 3) AS lost FROM lineitem GROUP BY 1),
+ca AS (SELECT o_orderkey AS k, coalesce(n, 0) AS n, CASE WHEN o_orderkey % 50 = 7 THEN 'not a case' WHEN o_orderkey % 31 = 0 THEN 'no image' WHEN o_orderkey % 40 = 3 THEN 'unknown tier odd' WHEN odd_type OR flat OR lost THEN 'region' END AS error,
+  CASE WHEN o_orderkey % 50 = 7 OR o_orderkey % 40 = 3 THEN 'stress' WHEN o_orderkey % 4 = 0 THEN 'regression' WHEN o_orderkey % 4 = 1 THEN 'gate' ELSE 'stress' END AS tier FROM orders LEFT JOIN rg ON k = o_orderkey)"""
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cases of a manifest written beforehand, and their regions."""
+    li, k = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.col("o_orderkey")
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    named = F.when(p % 61 == 0, "Mystery").otherwise(F.get(F.array(*[F.lit(n) for n in DECLARED]), (p % len(DECLARED)).cast("int")))
+    box = F.when(p % 5 != 0, F.struct((p % 50).cast("int").alias("x"), (s % 50).cast("int").alias("y"), F.when(s % 37 == 0, 0).otherwise(7).alias("width"), F.lit(9).alias("height")))
+    mask = F.when(p % 5 == 0, F.concat(F.lit("m"), F.when(F.col("l_linenumber") <= 3, F.col("l_linenumber").cast("string")).otherwise("x")))
+    region = F.struct(named.alias("change_type"), box.alias("bbox"), mask.alias("mask_path"))
+    of = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(region).alias("regions"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(of, "o_orderkey", "left")
+    tier = F.when(k % 40 == 3, "odd").when(k % 4 == 0, "regression").when(k % 4 == 1, "gate")
+    case = F.to_json(F.struct(F.concat(F.lit("o"), k.cast("string")).alias("name"), F.lit("a.png").alias("img1"), F.when(k % 31 != 0, "b.png").alias("img2"), tier.alias("tier"), "regions"))
+    path = new_path(spark, "cases")
+    o.select(F.when(k % 50 == 7, F.substring(case, F.lit(1), F.floor(F.length(case) / 2).cast("int"))).otherwise(case).alias("value")).write.text(path)
+    masks = spark.createDataFrame([(f"m{n}", 0, 0, 4, 5) for n in (1, 2, 3)], "mask string, bx int, by int, bw int, bh int")
+    return cases.read(spark, path, {"Redesign": "ContentChange"}, "stress", masks)
+
+
+@query("verification_totals", f"WITH {CASES_SQL} SELECT tier, count(*) AS cases, count(error) AS errors, CAST(coalesce(sum(n) FILTER (error IS NULL), 0) AS BIGINT) AS regions FROM ca GROUP BY tier")
+def verification_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.totals(manifest(spark, sf_dir)[0])
+
+
+@query("verification_errors", f"WITH {CASES_SQL} SELECT error AS error, count(*) AS n FROM ca WHERE error IS NOT NULL GROUP BY error")
+def verification_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by kind; those of regions together."""
+    found = manifest(spark, sf_dir)[0].filter("error IS NOT NULL")
+    known = F.col("error").isin("not a case", "no image", "unknown tier odd")
+    return found.groupBy(F.when(known, F.col("error")).otherwise("region").alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("verification_regions", f"""WITH {CASES_SQL}, ok AS (SELECT k FROM ca WHERE error IS NULL) SELECT ['addition', 'deletion', 'shift', 'color-change', 'content-change', 'rendering-noise', 'content-change'][l_partkey % 7 + 1] AS type, count(*) AS n,
+CAST(sum(CASE WHEN l_partkey % 5 = 0 THEN 20 ELSE 63 END) AS BIGINT) AS area FROM lineitem JOIN ok ON k = l_orderkey GROUP BY 1""")
+def verification_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cases without errors ask for, by type."""
+    return manifest(spark, sf_dir)[1].groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("box.width") * F.col("box.height")).alias("area"))

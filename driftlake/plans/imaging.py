@@ -67,7 +67,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("blocked_diff_count", f"{DELTA_SQL} SELECT frame, count(*) AS diff_count FROM d WHERE abs(delta) > {LIMIT} GROUP BY frame")
 def blocked_diff_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixeldiff.blocked_count(frame_pairs(spark, sf_dir), 8, SIDE)
+    return pixeldiff.blocked_count(frame_pairs(spark, sf_dir), pixeldiff.block_size(SIDE, SIDE), SIDE)
 
 
 @query("changed_blocks", f"{DELTA_SQL} SELECT DISTINCT frame, CAST(x // 8 AS BIGINT) AS bx, CAST(y // 8 AS BIGINT) AS by FROM d WHERE abs(delta) > {LIMIT}")

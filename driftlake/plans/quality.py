@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.functions import color
-from driftlake.operators import evaluation, pixeldiff, planes, regions, shifts, similarity, structdiff
+from driftlake.operators import evaluation, interpreting, pixeldiff, planes, regions, shifts, similarity, structdiff
 from driftlake.plans import evaluation as boxes_of
 from driftlake.plans.imaging import GRAY_SQL, _curve, _gms_sql, _linear, plain_status
 from driftlake.plans.interpretation import CLOSED_SQL, KNOWN_SQL, changed, known_boxes
@@ -49,11 +49,49 @@ def refined_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.refined(px, known_boxes(px)).groupBy("frame").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * SIDE + F.col("x")).cast("long").alias("places"))
 
 
-@query("shift_pairs")
+# A tile of each embedding stands at one place of a gray image and at another of the next; of every third the second one is negated, which is no move.
+MOVED = 40
+
+
+def moved_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pixels, boxes): an image pair for each embedding of 64 values or more, of which the first 64 make a tile of 8 x 8."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("size(embedding) >= 64").select(F.col("vec_id").alias("frame"), F.slice("embedding", 1, 64).alias("v"))
+    f, x, y = F.col("frame"), F.col("x"), F.col("y")
+    grid = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(MOVED * MOVED - 1)))).withColumn("x", F.col("i") % MOVED).withColumn("y", F.expr(f"i div {MOVED}"))
+    ax, ay, bx, by = (f % 9).cast("int"), (f % 7).cast("int"), (20 + f % 11).cast("int"), (22 + f % 8).cast("int")
+    level = lambda dx, dy: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.get("v", (dy * 8 + dx).cast("int")).cast("double") + 0.5) * 255))).cast("int")
+    within = lambda dx, dy: (dx >= 0) & (dx < 8) & (dy >= 0) & (dy < 8)
+    one = F.when(within(x - ax, y - ay), level(x - ax, y - ay)).otherwise(128)
+    there = level(x - bx, y - by)
+    two = F.when(within(x - bx, y - by), F.when(f % 3 == 0, 255 - there).otherwise(there)).otherwise(128)
+    px = grid.select("frame", "x", "y", *[one.alias(f"{c}1") for c in "rgb"], F.lit(255).alias("a1"), *[two.alias(f"{c}2") for c in "rgb"], F.lit(255).alias("a2"))
+    boxes = e.select("frame", F.explode(F.array(*[F.struct(F.lit(n).alias("region"), a.alias("bx"), b.alias("by"), F.lit(w).alias("bw"), F.lit(8).alias("bh")) for n, a, b, w in ((0, ax, ay, 8), (1, bx, by, 8), (2, bx, ay, 3))])).alias("b")).select("frame", "b.*")
+    return px, boxes.withColumn("change_type", F.when(F.col("region") == 2, "color-change").otherwise("content-change"))
+
+
+MOVED_SQL = """tl AS (SELECT vec_id AS frame, list_transform(embedding[1:64], lambda v: CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT)) AS t FROM embeddings WHERE len(embedding) >= 64)"""
+
+
+@query("shift_pairs", f"WITH {MOVED_SQL} SELECT frame, 0 AS region, 1 AS partner, 1.0::DOUBLE AS score FROM tl WHERE frame % 3 <> 0 AND list_var_pop(t) >= 4")
 def shift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched halves of moves among the boxes known beforehand."""
-    px = changed(spark, sf_dir)
-    return shifts.shift_pairs(px, known_boxes(px).withColumn("change_type", F.lit("content-change")))
+    """Matched halves of moves."""
+    px, boxes = moved_tiles(spark, sf_dir)
+    return shifts.shift_pairs(px, boxes).withColumn("score", F.round("score", 9))
+
+
+@query("shift_candidates", f"""WITH {MOVED_SQL}, bx(region, bw, bh, kind) AS (VALUES (0, 8, 8, 0), (1, 8, 8, 0), (2, 3, 8, 1))
+SELECT frame, a.region, b.region AS partner FROM tl, bx a JOIN bx b ON a.region < b.region AND a.bw / b.bw BETWEEN 0.55 AND 1.82 AND a.bh / b.bh BETWEEN 0.55 AND 1.82 AND NOT (a.kind = 1 AND b.kind = 1)""")
+def shift_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shifts.candidates(moved_tiles(spark, sf_dir)[1])
+
+
+@query("interpreted_moves", f"WITH {MOVED_SQL} SELECT frame, count(*) FILTER (frame % 3 <> 0) AS shifts FROM tl, (VALUES (0), (1)) v(i) WHERE list_var_pop(t) >= 4 GROUP BY frame")
+def interpreted_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the regions of each image are halves of a move."""
+    px, boxes = moved_tiles(spark, sf_dir)
+    px = color.with_delta(px, color.channels("1"), color.channels("2"), color.offset(MOVED))
+    found = interpreting.interpret(interpreting.from_boxes(px, boxes.filter("region < 2")), MOVED, MOVED)
+    return px.select("frame").distinct().join(found.filter("change_type = 'shift'").groupBy("frame").count(), "frame", "left").select("frame", F.coalesce("count", F.lit(0)).alias("shifts"))
 
 
 @query("chroma_share", f"""WITH {FRAMES_SQL}, yy AS (SELECT *, r1 * 0.299::DOUBLE + g1 * 0.587::DOUBLE + b1 * 0.114::DOUBLE AS y1, r2 * 0.299::DOUBLE + g2 * 0.587::DOUBLE + b2 * 0.114::DOUBLE AS y2 FROM px),
@@ -136,6 +174,13 @@ def rated_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rated(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("reference").alias("references_"), F.round(F.corr("predicted", "rated"), 9).alias("correlation"))
 
 
+@query("quality_correlations", f"WITH {RATED_SQL} SELECT distortion, round(corr(CASE WHEN distortion % 2 = 0 THEN -predicted ELSE predicted END, rated), 9) AS correlation FROM rt GROUP BY distortion")
+def quality_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations after distances were turned, so that more is better for every metric."""
+    q = F.when(F.col("distortion") % 2 == 0, evaluation.as_quality(F.col("predicted"), True)).otherwise(evaluation.as_quality(F.col("predicted"), False))
+    return _rated(spark, sf_dir).withColumn("q", q).groupBy("distortion").agg(F.round(F.corr("q", "rated"), 9).alias("correlation"))
+
+
 @query("distortion_polarity", f"WITH {RATED_SQL} SELECT distortion, round(corr(predicted, rated), 9) AS correlation, distortion % 2 = 0 AS declared, CASE WHEN distortion % 2 = 0 THEN corr(predicted, rated) < 0 ELSE corr(predicted, rated) > 0 END AS holds FROM rt GROUP BY distortion")
 def distortion_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does each distortion's metric turn the way it declares?"""

@@ -17,15 +17,33 @@ def picture(seed=1, size=64):
     return base, patch
 
 
-def test_a_moved_patch_is_found():
+def matched(spark, one, two, rows):
+    """Candidates among (region, change type, box), and which of them are moves."""
+    df = spark.createDataFrame([(0, n, kind, *box) for n, kind, box in rows], "frame int, region int, change_type string, bx int, by int, bw int, bh int")
+    pairs = sorted((r.region, r.partner) for r in shifts.candidates(df).collect())
+    return shifts.pairs_of(one, two, {n: box for n, _, box in rows}, pairs)
+
+
+def test_a_moved_patch_is_found(spark):
     base, patch = picture()
     one, two = base.copy(), base.copy()
     one[5:15, 4:16] = patch
     two[40:50, 30:42] = patch
     regions = [(0, "deletion", (4, 5, 12, 10)), (1, "addition", (30, 40, 12, 10)), (2, "addition", (50, 2, 40, 3))]
-    found = shifts.pairs_of(one, two, regions)
+    found = matched(spark, one, two, regions)
     assert [(a, b) for a, b, _ in found] == [(0, 1)] and found[0][2] == pytest.approx(1)
-    assert shifts.pairs_of(one, two, [(0, "color-change", (4, 5, 12, 10)), (1, "color-change", (30, 40, 12, 10))]) == []
+    assert matched(spark, one, two, [(0, "color-change", (4, 5, 12, 10)), (1, "color-change", (30, 40, 12, 10))]) == []
+
+
+def test_candidates_equal_all_pairs_that_fit(spark):
+    rng = random.Random(4)
+    kinds = ["addition", "color-change"]
+    rows = [(f, n, rng.choice(kinds), 0, 0, rng.randint(0, 40), rng.choice([0, 1, 2, 10, 18, 19, 100])) for f in range(3) for n in range(40)]
+    df = spark.createDataFrame(rows, "frame int, region int, change_type string, bx int, by int, bw int, bh int")
+    fits = lambda p, q: all(0.55 <= p[k] / max(1, q[k]) <= 1.82 for k in (5, 6))
+    want = {(p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and fits(p, q) and not p[2] == q[2] == "color-change"}
+    got = [tuple(r) for r in shifts.candidates(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
 
 
 def test_boxes_that_trail_by_a_few_pixels():

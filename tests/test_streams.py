@@ -1,8 +1,9 @@
 """A stream goes on where it stopped; catalogues as files; boxes of masks."""
 
 import json
+from xml.etree import ElementTree
 
-from driftlake.operators import catalog
+from driftlake.operators import catalog, reports
 from driftlake.sources import manifests
 from driftlake.streaming import checks
 
@@ -20,6 +21,22 @@ def test_resumes(spark, tmp_path):
     assert state() == {1: (2, "b"), 2: (2, "d"), 3: (1, "e")}
 
 
+def test_compacted_state_is_the_newest(spark, tmp_path):
+    for number, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")], [(3, None), (1, "d")]]):
+        spark.createDataFrame(rows, "k int, v string").write.parquet(str(tmp_path / "state" / f"batch={number}"))
+    checks.compact(spark, str(tmp_path / "state"), "k", str(tmp_path / "one"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "one")).collect())) == [(1, "d"), (2, "c"), (3, None)]
+
+
+def test_junit_report(spark, tmp_path):
+    rows = [("b", "fail", '<5% & "off"'), ("a", "pass", None), ("c", "stale-baseline", None)]
+    reports.write_junit(spark.createDataFrame(rows, "id string, status string, message string"), str(tmp_path / "junit"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "junit").glob("part-*")))
+    suite = ElementTree.fromstring(text.encode()).find("testsuite")
+    assert (suite.get("tests"), suite.get("failures")) == ("3", "2") and [c.get("name") for c in suite] == ["a", "b", "c"]
+    assert [None if c.find("failure") is None else c.find("failure").get("message") for c in suite] == [None, '<5% & "off"', "stale-baseline"]
+
+
 def test_manifest_round_trip(spark, tmp_path):
     entries = spark.createDataFrame([("p1", "/a", [".ad"], True), ("p2", "/b?x=1", [], None)], "id string, url string, mask array<string>, full_page boolean")
     path = str(tmp_path / "manifest")
