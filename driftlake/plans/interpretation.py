@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import color
 from driftlake.operators import interpreting, pixeldiff, regions, similarity, tiledregions, tiles, verdicts
-from driftlake.plans.imaging import DELTA_SQL, LIMIT, plain_status
+from driftlake.plans.imaging import DELTA_SQL, GRAY_SQL, LIMIT, _gms_sql, plain_status
 from driftlake.plans.registry import query
 from driftlake.sources.frames import SIDE, frame_pairs
 
@@ -212,12 +212,25 @@ def interpreted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpreting.totals(source, interpreting.interpret(source, SIDE, SIDE, moves=False), SIDE, SIDE).select("frame", "regions", "diff_count", F.round("diff_percentage", 6).alias("diff_percentage"), "severity")
 
 
-@query("interpreted_scores")
+MAP, LOW = SIDE - 2, 0.9
+# Boxes of connected cells of the gradient similarity under LOW, scaled to the image and numbered by their first cell.
+SCORES_SQL = f"""gr AS {GRAY_SQL.split("gr AS ", 1)[1]}, {_gms_sql('gr', SIDE)},
+lc AS MATERIALIZED (SELECT frame, x - 1 AS x, y - 1 AS y, (y - 1) * {MAP} + x - 1 AS i FROM gs WHERE gms < {LOW}),
+nc AS MATERIALIZED (SELECT a.frame, a.i, b.i AS j FROM lc a, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dx, dy), lc b WHERE b.frame = a.frame AND b.x = a.x + dx AND b.y = a.y + dy),
+rc AS (SELECT frame, i, i AS l FROM lc UNION SELECT n.frame, n.j, r.l FROM rc r JOIN nc n ON n.frame = r.frame AND n.i = r.i WHERE r.l < n.j),
+ll AS (SELECT frame, i, min(l) AS l FROM rc GROUP BY frame, i),
+sb AS (SELECT frame, l, min(x) * {SIDE} // {MAP} AS x0, min(y) * {SIDE} // {MAP} AS y0, (max(x) + 1) * {SIDE} // {MAP} AS x1, (max(y) + 1) * {SIDE} // {MAP} AS y1 FROM lc JOIN ll USING (frame, i) GROUP BY frame, l),
+kb AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY l) - 1 AS region, x0 AS bx, y0 AS "by", x1 - x0 AS bw, y1 - y0 AS bh FROM sb WHERE x1 > x0 AND y1 > y0)"""
+
+
+@query("interpreted_scores", f"""{DELTA_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {SCORES_SQL}, {COARSE_SQL}, {types_sql("kb", "(frame, x, y) IN (SELECT (frame, x, y) FROM rf)")}
+SELECT frame, region, bx, "by", bw, bh, n AS pixels, round(100.0::DOUBLE * n / {SIDE * SIDE}, 6) AS percentage, {PLACE_SQL} AS position, change_type FROM typed WHERE change_type <> 'rendering-noise'""")
 def interpreted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the gradient similarity is low, as the source of regions."""
     px = changed(spark, sf_dir)
     cells = similarity.gms(similarity.gradients(frame_pairs(spark, sf_dir), SIDE, SIDE)).select("frame", (F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), F.col("gms").alias("score"))
-    return interpreting.interpret(interpreting.from_scores(px, cells, SIDE - 2, SIDE - 2, SIDE, SIDE, 0.9), SIDE, SIDE)
+    found = interpreting.interpret(interpreting.from_scores(px, cells, MAP, MAP, SIDE, SIDE, LOW), SIDE, SIDE, moves=False)
+    return found.select("frame", "region", "bx", "by", "bw", "bh", "pixels", F.round("percentage", 6).alias("percentage"), "position", "change_type")
 
 
 @query("interpreted_regions")
