@@ -22,7 +22,7 @@ from driftlake.sources.scratch import kept
 
 @dataclass(frozen=True)
 class Source:
-    px: DataFrame  # (key, x, y, r1..a1, r2..a2, delta, changed)
+    px: DataFrame  # (key, x, y, r1..a1, r2..a2, delta, changed), as a table, since several steps read it
     found: DataFrame  # (key, region, bx, by, bw, bh), and pixels where the source knows better than the mask
     exact: bool  # does the mask come from differences?
     key: str = "frame"
@@ -30,7 +30,7 @@ class Source:
 
 def from_differences(px: DataFrame, width: int, height: int, key: str = "frame") -> Source:
     """Components of the changed pixels."""
-    px = regions.closed(px, regions.radius(width, height), key)
+    px = kept(regions.closed(px, regions.radius(width, height), key))
     return Source(px, regions.detect(px, key), True, key)
 
 
@@ -38,7 +38,7 @@ def from_boxes(px: DataFrame, boxes: DataFrame, key: str = "frame") -> Source:
     """Boxes (key, region, bx, by, bw, bh) that the caller knows; they may overlap."""
     mask = regions.refined(px, boxes, key).withColumn("_hit", F.lit(True))
     px = px.drop("changed").join(mask, [key, "x", "y"], "left").withColumn("changed", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return Source(px, boxes.select(key, "region", "bx", "by", "bw", "bh"), False, key)
+    return Source(kept(px), boxes.select(key, "region", "bx", "by", "bw", "bh"), False, key)
 
 
 def from_scores(px: DataFrame, cells: DataFrame, across: int, down: int, width: int, height: int, least: float, key: str = "frame") -> Source:

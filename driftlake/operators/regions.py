@@ -149,9 +149,9 @@ def detect(px: DataFrame, key: str = "frame") -> DataFrame:
     return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, region int, bx int, by int, bw int, bh int, pixels long")
 
 
-def with_edges(px: DataFrame, key: str = "frame") -> DataFrame:
+def with_edges(px: DataFrame, *keys: str) -> DataFrame:
     """Adds e1, e2: is the luminance's central difference, one-sided at the image's edge, an edge in each image?"""
-    row, column = Window.partitionBy(key, "y").orderBy("x"), Window.partitionBy(key, "x").orderBy("y")
+    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     for k in "12":
         px = px.withColumn(f"l{k}", color.luminance(color.channels(k)))
     for k in "12":
@@ -168,9 +168,9 @@ def _chroma_distance() -> Column:
     return F.sqrt((i2 - i1) * (i2 - i1) + (q2 - q1) * (q2 - q1))
 
 
-def with_steps(px: DataFrame, key: str = "frame") -> DataFrame:
+def with_steps(px: DataFrame, *keys: str) -> DataFrame:
     """Adds dc, the move of chroma, and sx, sy: how it differs from the changed pixel to the left and above (null if unchanged)."""
-    row, column = Window.partitionBy(key, "y").orderBy("x"), Window.partitionBy(key, "x").orderBy("y")
+    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     px = px.withColumn("dc", _chroma_distance())
     moved = F.when(F.col("changed"), F.col("dc"))
     return px.withColumn("sx", F.abs(moved - F.lag(moved).over(row))).withColumn("sy", F.abs(moved - F.lag(moved).over(column)))
@@ -184,14 +184,15 @@ def _in() -> Column:
 def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str = "region") -> DataFrame:
     """Shape, colour, edge, correlation, chroma and background measures of every region.
 
-    Pixels meet the boxes of their image once, with a ring of one pixel around; two groupings over (image, region) follow, the
-    second for distances from the background's mean."""
-    px = with_steps(with_edges(px, key), key)
+    Pixels meet the boxes of their image once, with a ring of one pixel around.  The ring holds all neighbours of the pixels inside, so slopes, steps,
+    the background's mean and the grouping all lie in one dealing out by (image, region)."""
     box = [name, "bx", "by", "bw", "bh"]
+    px = px.select(key, "x", "y", *[f"{c}{k}" for k in "12" for c in "rgb"], "delta", "changed")
     # boxes are cut into rows, so a pixel meets those of its own row alone
     rows = regions.select(key, *box, F.explode(F.sequence((F.col("by") - 1).cast("int"), (F.col("by") + F.col("bh")).cast("int"))).alias("y"))
     near = (F.col("x") >= F.col("bx") - 1) & (F.col("x") <= F.col("bx") + F.col("bw"))
-    cells = px.join(rows, [key, "y"]).filter(near).withColumn("inside", _in())
+    cells = px.join(rows, [key, "y"]).filter(near).withColumn("inside", _in()).repartition(key, name)
+    cells = with_steps(with_edges(cells, key, name), key, name)
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     w, h = F.col("bw"), F.col("bh")
     band = F.greatest(F.lit(1), F.least(F.lit(12), F.floor(F.least(w, h) / 4))).cast("int")
@@ -211,6 +212,9 @@ def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str =
     cells = cells.withColumns({n: F.when(m, c) for n, c in named.items()})
     cells = cells.withColumns({"_s1": F.sqrt(F.col("_i1") * F.col("_i1") + F.col("_q1") * F.col("_q1")), "_s2": F.sqrt(F.col("_i2") * F.col("_i2") + F.col("_q2") * F.col("_q2"))})
     backs = {f"{where}_{c}{k}": F.avg(F.when(test, F.col(f"{c}{k}"))) for where, test in (("in", F.col("inside") & ~F.col("changed")), ("ring", ~F.col("inside"))) for k in "12" for c in "rgb"}
+    whole = Window.partitionBy(key, name)
+    cells = cells.withColumns({f"_{c}{k}": F.coalesce(backs[f"in_{c}{k}"].over(whole), backs[f"ring_{c}{k}"].over(whole)) for k in "12" for c in "rgb"})
+    off = lambda k: F.sqrt(sum(((F.col(f"{c}{k}") - F.col(f"_{c}{k}")) * (F.col(f"{c}{k}") - F.col(f"_{c}{k}")) for c in "rgb"), F.lit(0.0)))
     g = cells.groupBy(key, *box).agg(
         F.count_if("m").alias("n"),
         F.count_if(m & F.col("_border")).alias("n_border"),
@@ -237,8 +241,8 @@ def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str =
         (F.avg("_s1") / 255).alias("sat1"),
         (F.coalesce(F.sum("_sx"), F.lit(0.0)) + F.coalesce(F.sum("_sy"), F.lit(0.0))).alias("_rough"),
         (F.count("_sx") + F.count("_sy")).alias("_steps"),
-        *[c.alias(f"_{n}") for n, c in backs.items()],
-    )
+        *[F.least(F.lit(1.0), F.coalesce(F.avg(F.when(m, off(k))) / (255 * 3**0.5), F.lit(1.0))).alias(f"ground{k}") for k in "12"],
+    ).filter("n > 0")
     area = w * h
     g = g.withColumn("fill", F.col("n") / area).withColumn("border", F.when(F.col("n") > 0, F.col("n_border") / F.col("n")).otherwise(0.0))
     g = g.withColumn("inner_fill", F.when(F.col("inner_area") > 0, (F.col("n") - F.col("n_border")) / F.col("inner_area")).otherwise(F.col("fill")))
@@ -250,11 +254,7 @@ def measures(px: DataFrame, regions: DataFrame, key: str = "frame", name: str =
     g = g.withColumn("hue_cos", F.when(F.col("_mag") > 1e-6, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_dot") / F.col("_mag")))).otherwise(1.0))
     g = g.withColumn("rough", F.when(F.col("_steps") > 0, F.col("_rough") / F.col("_steps") / (F.col("_sdc") + 1e-6)).otherwise(0.0))
 
-    ground = g.select(key, name, *[F.coalesce(f"_in_{c}{k}", f"_ring_{c}{k}").alias(f"_{c}{k}") for k in "12" for c in "rgb"])
-    far = lambda k: F.avg(F.sqrt(sum(((F.col(f"{c}{k}") - F.col(f"_{c}{k}")) * (F.col(f"{c}{k}") - F.col(f"_{c}{k}")) for c in "rgb"), F.lit(0.0))))
-    away = cells.filter("m").select(key, name, *[f"{c}{k}" for k in "12" for c in "rgb"]).join(ground, [key, name]).groupBy(key, name).agg(*[F.least(F.lit(1.0), F.coalesce(far(k) / (255 * 3**0.5), F.lit(1.0))).alias(f"ground{k}") for k in "12"])
-    kept = [c for c in g.columns if not c.startswith("_")]
-    return g.select(*kept).join(away, [key, name])
+    return g.select(*[c for c in g.columns if not c.startswith("_")])
 
 
 def shape() -> Column:
@@ -344,5 +344,5 @@ def refined(px: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:
     """(key, x, y): of the pixels that boxes claim as changed, those whose metric reaches REFINE; a box in which none does keeps all its
     pixels if any differs.  Boxes are judged apart, whatever their order."""
     inside = within(px.select(key, "x", "y", F.abs("delta").alias("size")), boxes, key)
-    faint = inside.groupBy(key, "region").agg(F.max("size").alias("most")).filter((F.col("most") < REFINE) & (F.col("most") > 0)).select(key, "region")
-    return inside.filter(F.col("size") >= REFINE).select(key, "x", "y").union(inside.join(faint, [key, "region"], "left_semi").select(key, "x", "y")).distinct()
+    inside = inside.withColumn("_most", F.max("size").over(Window.partitionBy(key, "region")))
+    return inside.filter((F.col("size") >= REFINE) | ((F.col("_most") < REFINE) & (F.col("_most") > 0))).select(key, "x", "y").distinct()

@@ -91,7 +91,7 @@ def interpreted_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, boxes = moved_tiles(spark, sf_dir)
     px = color.with_delta(px, color.channels("1"), color.channels("2"), color.offset(MOVED))
     found = interpreting.interpret(interpreting.from_boxes(px, boxes.filter("region < 2")), MOVED, MOVED)
-    return px.select("frame").distinct().join(found.filter("change_type = 'shift'").groupBy("frame").count(), "frame", "left").select("frame", F.coalesce("count", F.lit(0)).alias("shifts"))
+    return boxes.select("frame").distinct().join(found.filter("change_type = 'shift'").groupBy("frame").count(), "frame", "left").select("frame", F.coalesce("count", F.lit(0)).alias("shifts"))
 
 
 @query("chroma_share", f"""WITH {FRAMES_SQL}, yy AS (SELECT *, r1 * 0.299::DOUBLE + g1 * 0.587::DOUBLE + b1 * 0.114::DOUBLE AS y1, r2 * 0.299::DOUBLE + g2 * 0.587::DOUBLE + b2 * 0.114::DOUBLE AS y2 FROM px),
