@@ -43,13 +43,15 @@ def verdicts(pairs: DataFrame, regions: DataFrame, key: str = "frame") -> DataFr
     """(key, regions, dominant, top_position, mean_confidence, label, action, reasons) of pairs (key, reason, diff_percentage).
 
     `reason` is 'pixel-diff', 'layout-diff', 'file-not-exists' or null.  The dominant type is the most frequent, the one found
-    first among equals; the top position is that of the largest region.  Label and reasons come from the first rule that holds; the reasons'
+    first among equals; the top position is that of the largest region; confidences are added in the regions' order, so that a mean at a rule's limit doesn't
+    depend on the run.  Label and reasons come from the first rule that holds; the reasons'
     wording is a fixed value."""
     kind = F.col("change_type")
+    sure = F.array_sort(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct("region", F.col("confidence").cast("double").alias("c")))))
     stats = regions.groupBy(key).agg(
         F.count("*").alias("regions"),
         F.max_by("position", F.struct("pixels", -F.col("region"))).alias("top_position"),
-        F.avg("confidence").alias("mean_confidence"),
+        (F.aggregate(sure, F.lit(0.0), lambda total, r: total + r["c"]) / F.count("confidence")).alias("mean_confidence"),
         F.bool_and(kind.isin(*NOISE)).alias("all_noise"),
         F.bool_and(kind == "color-change").alias("all_color"),
         F.bool_and(kind.isin(*INTENTIONAL)).alias("all_moved"),
