@@ -22,6 +22,7 @@ from driftlake.sources.scratch import kept
 TIERS = ("gate", "regression", "stress")
 # Names of the types in manifests.
 NAMES = {"Addition": "addition", "Deletion": "deletion", "Shift": "shift", "ColorChange": "color-change", "ContentChange": "content-change", "RenderingNoise": "rendering-noise"}
+MASKS, SALTS = 100_000, 32  # so many masks are broadcast; of more, each is held so often
 BOX = "struct<x:int,y:int,width:int,height:int>"
 REGION = f"struct<id:string,change_type:string,expected_change_type:string,bbox:{BOX},mask_path:string,pair_id:string,tags:array<string>,expect_in_output:boolean>"
 SCHEMA = f"name string, img1 string, img2 string, tier string, tags array<string>, regions array<{REGION}>, corrupt string"
@@ -31,6 +32,18 @@ def _lookup(names: dict[str, str], c):
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c]
 
 
+def _with_masks(each: DataFrame, masks: DataFrame) -> DataFrame:
+    """Adds `_mask` to regions.  Most name no mask and many may name one: few masks go to all tasks, and of more each goes to SALTS partitions; what names
+    none is dealt out by its case."""
+    if masks.count() <= MASKS:
+        return each.join(F.broadcast(masks), "mask_path", "left")
+    salt = F.pmod(F.xxhash64("case", "nth"), F.lit(SALTS)).cast("int")
+    each = each.withColumn("_salt", salt).withColumn("_none", F.when(F.col("mask_path").isNull(), F.col("case")))
+    masks = masks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).filter("mask_path IS NOT NULL").withColumn("_none", F.lit(None).cast("long"))
+    same = each["mask_path"].eqNullSafe(masks["mask_path"]) & (each["_salt"] == masks["_salt"]) & each["_none"].eqNullSafe(masks["_none"])
+    return each.join(masks, same, "left").drop(masks["mask_path"], masks["_salt"], masks["_none"], each["_salt"], each["_none"])
+
+
 def read(spark: SparkSession, path: str, type_mapping: dict[str, str] | None = None, default_tier: str = "gate", masks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(cases, regions): (case, name, img1, img2, tier, n_regions, error), and of cases without an error (case, id, type, box, expected, pair_id).
 
@@ -44,7 +57,7 @@ def read(spark: SparkSession, path: str, type_mapping: dict[str, str] | None = N
     each = each.withColumn("type", _lookup(known, F.coalesce("expected_change_type", "change_type"))).withColumn("declared", _lookup(known, F.col("change_type")))
     if masks is not None:
         box = F.struct(*[F.col(a).cast("int").alias(b) for a, b in (("bx", "x"), ("by", "y"), ("bw", "width"), ("bh", "height"))])
-        each = each.join(masks.select(F.col("mask").alias("mask_path"), box.alias("_mask")), "mask_path", "left")
+        each = _with_masks(each, masks.select(F.col("mask").alias("mask_path"), box.alias("_mask")))
     else:
         each = each.withColumn("_mask", F.lit(None).cast(BOX))
     each = each.withColumn("box", F.coalesce("bbox", "_mask"))
