@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -21,6 +21,7 @@ center corner side above below ink company name brand create creating artistic e
 QUOTED = "[\"“”']([^\"“”']+)[\"“”']"
 LONGEST_SHOWN = 60
 TABLE = 1 << 20  # common lengths that are held at once
+PAIRS = 64  # pairs of texts that are taken apart at once
 DIFF = StructType([StructField("inserted", ArrayType(StringType())), StructField("removed", ArrayType(StringType()))])
 
 
@@ -89,12 +90,17 @@ def word_diff(base: list[str], other: list[str]) -> tuple[list[str], list[str]]:
     return [other[i] for i in np.flatnonzero(put)], [base[i] for i in np.flatnonzero(took)]
 
 
-@F.pandas_udf(DIFF)
-def token_diff(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of two arrays of words; a null counts as empty.  Memory goes with a pair's lengths, time with their product."""
+@F.arrow_udf(DIFF)
+def token_diff(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of two arrays of words; a null counts as empty.  Memory goes with a pair's lengths, time with their product: of a batch only PAIRS
+    pairs are Python objects at a time."""
+    words = pa.list_(pa.string())
     for base, other in parts:
-        rows = [word_diff([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(base, other)]
-        yield pd.DataFrame(rows, columns=["inserted", "removed"])
+        out = []
+        for at in range(0, len(base), PAIRS):
+            rows = [word_diff(x or [], y or []) for x, y in zip(base.slice(at, PAIRS).to_pylist(), other.slice(at, PAIRS).to_pylist())]
+            out.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], words) for k in (0, 1)], names=["inserted", "removed"]))
+        yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("inserted", words), ("removed", words)]))
 
 
 def describe(df: DataFrame, base: str, other: str, change: str) -> DataFrame:
