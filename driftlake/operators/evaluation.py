@@ -115,26 +115,77 @@ def gates(scores: DataFrame, baseline: DataFrame, floors: DataFrame, macro_floor
 
 
 BLOCK, BLOCKS = 50_000, 1000  # rows of a range, and how many ranges there are at most: their square bounds the table of pairs of ranges
+TASK_ROWS = 250_000  # that one task counts by value
 
 
 def _ranges(n: int) -> int:
     return max(1, min(BLOCKS, -(-n // BLOCK)))
 
 
+def _dealt(cells: DataFrame, group: str, order: list[str], ranges: int, part: str, turned: list[str] | None = None) -> DataFrame:
+    """Cells (group, order, c, ...) in `ranges` ranges of (group, order), numbered by `part`, one to a task.  Adds of the range's cells of the same group
+    the weight of those with a smaller order[0] (below) and with the same (same); and, if `turned` names columns to sort by and then one of values, on
+    one cell of each group in the range, the weight of pairs of which the earlier has the greater value (down).
+
+    A task sorts its own range, so its memory goes with BLOCK until there are BLOCKS ranges."""
+    added = pa.schema([("below", pa.int64()), ("same", pa.int64()), ("down", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in [group, *order]])
+
+        def coded(t: pa.Table) -> tuple[np.ndarray, int]:
+            names = t.column(group).combine_chunks().dictionary_encode()
+            return np.asarray(names.indices).astype(np.int64), len(names.dictionary)
+
+        (at, n), v, w = coded(t), t.column(order[0]).to_numpy(), t.column("c").to_numpy()
+        new = np.append(True, at[1:] != at[:-1])
+        heads = np.flatnonzero(new | np.append(True, v[1:] != v[:-1]))
+        sizes = np.diff(np.append(heads, len(v)))
+        before = np.cumsum(w) - w
+        below = np.repeat(before[heads], sizes) - before[np.flatnonzero(new)][np.cumsum(new) - 1]
+        down = np.zeros(len(v), np.int64)
+        if turned:
+            other = t.sort_by([(c, "ascending") for c in [group, *turned]])  # groups in the same order
+            down[new] = inversions(coded(other)[0], other.column(turned[-1]).to_numpy(), other.column("c").to_numpy(), n)
+        columns = [*t.columns, *map(pa.array, (below, np.repeat(np.add.reduceat(w, heads), sizes), down))]
+        yield from pa.table(columns, names=[*t.column_names, *added.names]).combine_chunks().to_batches()
+
+    ranged = cells.repartitionByRange(ranges, group, *order).withColumn(part, F.spark_partition_id())
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema] + [f"{n} long" for n in added.names])
+    return kept(ranged.mapInArrow(run, kinds))
+
+
+def _placed(dealt: DataFrame, group: str, value: str, part: str, name: str) -> DataFrame:
+    """Adds to cells that are dealt by (group, value) the rank of their value (name) and the weight of all cells with it (name_n).
+
+    Only the least and the greatest value of a range may lie in other ranges too; their places come from a table of ranges."""
+    per = dealt.groupBy(group, part).agg(F.sum("c").alias("t"), *[f(value).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))], F.min_by("same", value).alias("lo_n"), F.max_by("same", value).alias("hi_n"))
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    per = kept(per.withColumn("start", F.coalesce(F.sum("t").over(earlier), F.lit(0))))
+    low = per.select(group, F.col("lo").alias("v"), F.col("start").alias("s"), F.col("lo_n").alias("n"))
+    high = per.filter("lo <> hi").select(group, F.col("hi").alias("v"), (F.col("start") + F.col("t") - F.col("hi_n")).alias("s"), F.col("hi_n").alias("n"))
+    ends = low.union(high).groupBy(group, "v").agg(F.min("s").alias("s"), F.sum("n").alias("n"))
+    for end in ("lo", "hi"):
+        per = per.drop(f"{end}_n").join(ends.select(group, F.col("v").alias(end), F.col("s").alias(f"{end}_s"), F.col("n").alias(f"{end}_n")), [group, end])
+    per = kept(per.drop("t"))
+    of = lambda end, inside: F.when(F.col(value) == F.col("lo"), F.col(f"lo_{end}")).when(F.col(value) == F.col("hi"), F.col(f"hi_{end}")).otherwise(inside)
+    out = dealt.join(per, [group, part]).withColumn(f"{name}_n", of("n", F.col("same"))).withColumn(name, of("s", F.col("start") + F.col("below")) + (F.col(f"{name}_n") + 1) / 2)
+    return out.select(*dealt.columns, name, f"{name}_n")
+
+
 def ranked(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
     """Adds ranks from 1; equal values share their mean rank.
 
     Counts by value are sorted over ranges: a rank is what lies in ranges before plus a running sum within the range, so neither a value's
     rows nor a group's values meet in one task."""
     keys = [group] if group else []
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    counts = kept(counts)
-    counts = kept(counts.repartitionByRange(_ranges(counts.count()), *keys, value).withColumn("_part", F.spark_partition_id()))
-    totals = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_t"))  # a row for each range and group in it
-    before = totals.withColumn("_t", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.join(before, [*keys, "_part"]).withColumn(name, F.col("_t") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(counts.drop("_n", "_t", "_part"), [*keys, value])
+    by = group or "_all"
+    counts = kept(df.groupBy(*keys or [F.lit(0).alias(by)], value).agg(F.count("*").alias("c")))
+    places = _placed(_dealt(counts, by, [value], _ranges(counts.count()), "_part"), by, value, "_part", "_rank")
+    return df.join(places.select(*keys, value, F.col("_rank").alias(name)), [*keys, value])
 
 
 def inversions(groups: np.ndarray, values: np.ndarray, weights: np.ndarray, n_groups: int) -> np.ndarray:
@@ -155,65 +206,68 @@ def inversions(groups: np.ndarray, values: np.ndarray, weights: np.ndarray, n_gr
     return total
 
 
-def discordant(cells: DataFrame, group: str) -> DataFrame:
-    """(group, down): the weight of pairs of cells (group, a, b, c) of which one has the greater a and the smaller b.
-
-    Cells are cut into ranges of (a, b) and into ranges of (b, a).  Pairs in one range of the former, and those in one of the latter but in two of the
-    former, are counted within a task; pairs in different ranges of both come from the table of weights by both ranges, which
-    holds BLOCKS squared numbers a group at most."""
-    cells = kept(cells.select(group, "a", "b", "c"))
-    ranges = _ranges(cells.count())
-    dealt = kept(cells.repartitionByRange(ranges, group, "a", "b").withColumn("pa", F.spark_partition_id()))
-    dealt = kept(dealt.repartitionByRange(ranges, group, "b", "a").withColumn("pb", F.spark_partition_id()))
-    kind = f"`{group}` {cells.schema[group].dataType.simpleString()}, down decimal(38,0)"
-
-    def found(names: pa.Array, down: list[int]) -> pa.Table:
-        return pa.table({group: names, "down": pa.array(map(Decimal, down), pa.decimal128(38, 0))})
-
-    def within(order: list[str]):
-        def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by([(c, "ascending") for c in order])
-            coded = t.column(group).combine_chunks().dictionary_encode()
-            at = np.asarray(coded.indices).astype(np.int64)
-            return found(coded.dictionary, inversions(at, t.column("b").to_numpy(), t.column("c").to_numpy(), len(coded.dictionary)).tolist())
+def _between(group: str):
+    """For one group's weights by two kinds of ranges (pa, pb), the weight of pairs of cells in an earlier range of one and a later of the other."""
 
-        return run
-
-    def between(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         p, k = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("pa", "pb"))
         table = np.zeros((p.max() + 1, k.max() + 1), np.int64)
         table[p, k] = t.column("c").to_numpy()
         before = np.zeros_like(table)  # of earlier ranges by a and later ones by b
         before[1:, :-1] = table.cumsum(0)[:-1, ::-1].cumsum(1)[:, ::-1][:, 1:]
-        return found(t.column(group).slice(0, 1), [sum(int((x * y).sum()) for x, y in zip(table, before))])
+        down = Decimal(sum(int((x * y).sum()) for x, y in zip(table, before)))
+        return pa.table({group: t.column(group).slice(0, 1), "apart": pa.array([down], pa.decimal128(38, 0))})
+
+    return run
 
-    one = dealt.groupBy("pa").applyInArrow(within([group, "a", "b"]), kind)
-    two = dealt.groupBy("pb").applyInArrow(within([group, "pa", "b"]), kind)
-    three = dealt.groupBy(group, "pa", "pb").agg(F.sum("c").alias("c")).groupBy(group).applyInArrow(between, kind)
-    return one.union(two).union(three).groupBy(group).agg(F.sum("down").cast("double").alias("down"))
+
+def _counted(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, a, b, c): how often each pair of values occurs among n rows.  Batches are counted first, so a frequent pair isn't sent row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                got = pa.Table.from_batches([b]).group_by([group, "a", "b"]).aggregate([([], "count_all")])
+                yield from got.select([group, "a", "b", "count_all"]).rename_columns([group, "a", "b", "c"]).combine_chunks().to_batches()
+
+    kind = f"`{group}` {rows.schema[group].dataType.simpleString()}"
+    parts = rows.select(group, "a", "b").mapInArrow(run, f"{kind}, a double, b double, c long")
+    return kept(parts.repartition(max(1, -(-n // TASK_ROWS)), group, "a", "b").groupBy(group, "a", "b").agg(F.sum("c").alias("c")))
 
 
 def correlations(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     """(group, n, pearson, spearman, kendall) over rows in which both values are finite, for groups of 3 or more; NaN where a side is constant.
 
-    Kendall's tau-b is made of counts of ties and of discordant pairs; no rows are paired for it."""
+    Rows become cells (a, b) with counts, which are cut into ranges of (a, b) and then into ranges of (b, a), with as many ranges as their number asks for.
+    Ranks, ties and Kendall's discordant pairs come from them, and no rows are paired: pairs in one range of the former, and those in one of
+    the latter but in two of the former, are counted within a task; pairs in different ranges of both come from the table of
+    weights by both ranges, which holds BLOCKS squared numbers a group at most."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    rows = df.select(group, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter(fine("a") & fine("b"))
-    enough = rows.groupBy(group).agg(F.count("*").alias("n")).filter("n >= 3").select(group)
-    rows = rows.join(enough, group, "left_semi")
-    r = ranked(ranked(rows, "a", "ra", group), "b", "rb", group)
+    zero = lambda c: F.col(c).cast("double") + 0.0  # noqa: E731  not -0
+    rows = df.select(group, zero(a).alias("a"), zero(b).alias("b")).filter(fine("a") & fine("b") & F.col(group).isNotNull())
+    varies = F.least(*[F.max(c) > F.min(c) for c in ("a", "b")]).alias("varies")
+    sizes = kept(rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), varies).filter("n >= 3"))
+    cells = _counted(rows.join(sizes.select(group), group, "left_semi"), group, sizes.agg(F.sum("n")).first()[0] or 0)
+    ranges = _ranges(cells.count())
+    one = _placed(_dealt(cells, group, ["a", "b"], ranges, "pa", ["a", "b"]), group, "a", "pa", "ra").drop("below", "same").withColumnRenamed("down", "down_a")
+    two = kept(_placed(_dealt(one, group, ["b", "a"], ranges, "pb", ["pa", "b"]), group, "b", "pb", "rb"))
+    mean = (F.col("n") + 1) / 2
+    sides = {"p": (F.col("a") - F.col("ma"), F.col("b") - F.col("mb")), "s": (F.col("ra") - mean, F.col("rb") - mean)}
+    sums = [F.sum(F.col("c") * x * y).alias(k + m) for k, (v, w) in sides.items() for m, x, y in (("xy", v, w), ("xx", v, v), ("yy", w, w))]
+    whole = lambda c, name: F.sum(c.cast("decimal(38,0)")).alias(name)
+    tied = lambda n, name: whole(F.col("c") * (F.col(n) - 1), name)  # noqa: E731  twice the pairs
+    per = two.join(sizes, group).groupBy(group).agg(F.first("n").alias("n"), F.first("varies").alias("varies"), *sums, tied("ra_n", "ta"), tied("rb_n", "tb"), tied("c", "tab"), whole(F.col("down_a") + F.col("down"), "near"))
+    kind = f"`{group}` {df.schema[group].dataType.simpleString()}, apart decimal(38,0)"
+    apart = two.groupBy(group, "pa", "pb").agg(F.sum("c").alias("c")).groupBy(group).applyInArrow(_between(group), kind)
+    out = per.join(apart, group)
     nan = F.lit(float("nan"))
-    corr = lambda x, y: F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), nan)  # noqa: E731  corr() fails where a side is constant
-    base = r.groupBy(group).agg(F.count("*").alias("n"), corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"))
-    cells = rows.groupBy(group, "a", "b").agg(F.count("*").alias("c"))
-    pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    tied = lambda c, name: rows.groupBy(group, c).agg(F.count("*").alias("c")).groupBy(group).agg(pairs("c").alias(name))
-    t = tied("a", "ta").join(tied("b", "tb"), group).join(cells.groupBy(group).agg(pairs("c").alias("tab")), group).join(discordant(cells, group), group)
-    out = base.join(t, group)
+    corr = lambda k: F.when(F.col("varies"), F.coalesce(F.try_divide(F.col(f"{k}xy"), F.sqrt(f"{k}xx") * F.sqrt(f"{k}yy")), nan)).otherwise(nan)
     all_ = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    up = all_ - F.col("ta") - F.col("tb") + F.col("tab") - F.col("down")
-    below = F.sqrt((all_ - F.col("ta") + F.col("tab")) * (all_ - F.col("tb") + F.col("tab")))  # pairs tied on both sides count as ties of either
-    return out.select(group, "n", "pearson", "spearman", F.when(below == 0, nan).otherwise((up - F.col("down")) / below).alias("kendall"))
+    down = F.col("near").cast("double") + F.col("apart").cast("double")
+    ta, tb, tab = (F.col(c).cast("double") / 2 for c in ("ta", "tb", "tab"))
+    up = all_ - ta - tb + tab - down
+    below = F.sqrt((all_ - ta + tab) * (all_ - tb + tab))  # pairs tied on both sides count as ties of either
+    return out.select(group, "n", corr("p").alias("pearson"), corr("s").alias("spearman"), F.when(below == 0, nan).otherwise((up - down) / below).alias("kendall"))
 
 
 def as_quality(value: Column, distance: bool) -> Column:
