@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 32
+TASK_TILES = 4000  # embeddings whose pixels, 64 each, one task holds
+
+
+def parts(spark: SparkSession, n: int) -> int:
+    """How many parts n embeddings are dealt into: as many as their number asks for, so that no task's rows grow with the table, and enough for all cores."""
+    return max(-(-n // TASK_TILES), min(spark.sparkContext.defaultParallelism, -(-n // 16)), 1)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         level.alias("r"),
     )
     px = px.withColumn("g", 255 - F.col("r")).withColumn("b", (F.col("r") + 85) % 256)
-    px = px.repartition("frame")  # once: what follows groups by the frame, or by the frame and a row or column
+    px = px.repartition(parts(spark, n), "frame")  # once: what follows groups by the frame, or by the frame and a row or column
     return px.withColumn("a", F.when((F.col("x") + F.col("y") + F.col("frame")) % 13 == 0, 128 + F.expr("r div 2")).otherwise(255).cast("int"))
 
 
