@@ -31,6 +31,7 @@ SIZE = 512  # pixels of a tile's side, rounded up to a multiple of what the oper
 Plan = Callable[[int, int], tuple[int, int]]  # of width and height: what tiles begin at multiples of, and their border
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 BATCH = 4 << 20  # bytes of an Arrow batch
+TILES = 1000  # tiles of an Arrow batch at most
 BAND = "width int, height int, y int, lines int, one binary, two binary"
 TILE = "width int, height int, x0 int, y0 int, x1 int, y1 int, left int, top int, right int, bottom int, one binary, two binary"
 
@@ -130,22 +131,50 @@ def cut(bands: DataFrame, plan: Plan, size: int = SIZE, key: str = "frame") -> D
             if held:
                 yield one_batch()
 
-    def put(t: pa.Table) -> pa.Table:
-        w, h, tx, ty = (t.column(c)[0].as_py() for c in ("width", "height", "tx", "ty"))
+    fields = ["width", "height", "x0", "y0", "x1", "y1", "left", "top", "right", "bottom"]
+
+    def made(of: tuple, names: pa.Array, sides: list[list[bytes]]) -> tuple[pa.Array, list[int], list[bytes]]:
+        w, h, tx, ty = of
         multiple, border = plan(w, h)
         step, border = _up(size, multiple), _up(border, multiple)
-        order = np.argsort(t.column("y").to_numpy(), kind="stable")
-        sides = [b"".join(t.column(c)[int(i)].as_buffer() for i in order) for c in ("one", "two")]
         edges = [tx * step, ty * step, min(w, (tx + 1) * step), min(h, (ty + 1) * step)]
         seen = [max(0, tx * step - border), max(0, ty * step - border), min(w, (tx + 1) * step + border), min(h, (ty + 1) * step + border)]
-        fields = ["width", "height", "x0", "y0", "x1", "y1", "left", "top", "right", "bottom"]
-        if len(sides[0]) != 4 * (seen[2] - seen[0]) * (seen[3] - seen[1]):
-            raise ValueError(f"the bands of {key} {t.column(key)[0].as_py()} don't make up its {h} lines")
-        return pa.table({key: t.column(key).slice(0, 1), **{n: pa.array([v], pa.int32()) for n, v in zip(fields, (w, h, *edges, *seen))}, **{n: pa.array([v], pa.binary()) for n, v in zip(("one", "two"), sides)}})
+        both = [b"".join(v) for v in sides]
+        if len(both[0]) != 4 * (seen[2] - seen[0]) * (seen[3] - seen[1]):
+            raise ValueError(f"the bands of {key} {names[0].as_py()} don't make up its {h} lines")
+        return names, [w, h, *edges, *seen], both
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces come in the order of tiles and lines: a tile's are held until the next one begins."""
+        done: list[tuple] = []
+        large, of, names, sides, last = 0, None, None, [[], []], None
+
+        def one_batch() -> pa.RecordBatch:
+            numbers = zip(*[n for _, n, _ in done])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([k for k, _, _ in done]), *[pa.array(n, pa.int32()) for n in numbers], *[pa.array([v[i] for _, _, v in done], pa.binary()) for i in (0, 1)]], names=[key, *fields, "one", "two"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, (ws, hs, txs, tys) = b.column(0).to_pylist(), (b.column(i).to_pylist() for i in range(1, 5))
+            for i, at in enumerate(zip(keys, txs, tys)):
+                if at != last or of is None:
+                    if of is not None:
+                        done.append(made(of, names, sides))
+                        large += sum(map(len, done[-1][2]))
+                        if large > BATCH or len(done) >= TILES:
+                            yield one_batch()
+                            done, large = [], 0
+                    last, of, names, sides = at, (ws[i], hs[i], txs[i], tys[i]), b.column(0).slice(i, 1).take(pa.array([0])), [[], []]
+                for held, c in zip(sides, (6, 7)):
+                    held.append(b.column(c)[i].as_py())
+        if of is not None:
+            done.append(made(of, names, sides))
+            yield one_batch()
 
     kind = _kind(bands, key)
     pieces = bands.select(key, "width", "height", "y", "lines", "one", "two").mapInArrow(parts, f"{kind}, width int, height int, tx int, ty int, y int, one binary, two binary")
-    return pieces.groupBy(key, "tx", "ty").applyInArrow(put, f"{kind}, {TILE}")
+    return pieces.repartition(key, "tx", "ty").sortWithinPartitions(key, "tx", "ty", "y").mapInArrow(put, f"{kind}, {TILE}")
 
 
 def measured(tiles: DataFrame, measure: Callable[..., list[tuple]], fields: str, key: str = "frame") -> DataFrame:
@@ -154,12 +183,17 @@ def measured(tiles: DataFrame, measure: Callable[..., list[tuple]], fields: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                numbers = [b.column(c)[i].as_py() for c in range(1, 11)]
-                left, top, right, bottom = numbers[6:]
-                sides = [np.frombuffer(b.column(c)[i].as_buffer(), "<u4").reshape(bottom - top, right - left) for c in (11, 12)]
-                if rows := measure(Tile(*numbers, *sides), *[b.column(c)[i].as_py() for c in range(13, b.num_columns)]):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows))), *[pa.array(c, ARROW[k]) for c, k in zip(zip(*rows), kinds)]], names=[key, *names])
+            for at in range(0, b.num_rows, TILES):
+                some, owner, found = b.slice(at, TILES), [], []
+                for i in range(some.num_rows):
+                    numbers = [some.column(c)[i].as_py() for c in range(1, 11)]
+                    left, top, right, bottom = numbers[6:]
+                    sides = [np.frombuffer(some.column(c)[i].as_buffer(), "<u4").reshape(bottom - top, right - left) for c in (11, 12)]
+                    rows = measure(Tile(*numbers, *sides), *[some.column(c)[i].as_py() for c in range(13, some.num_columns)])
+                    owner += [i] * len(rows)
+                    found += rows
+                if found:
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), *[pa.array(c, ARROW[k]) for c, k in zip(zip(*found), kinds)]], names=[key, *names])
 
     return tiles.mapInArrow(run, f"{_kind(tiles, key)}, {fields}")
 
