@@ -26,6 +26,7 @@ from driftlake.functions import color
 from driftlake.operators import rasters
 from driftlake.operators.planes import SIDE, WEIGHTS, WINDOW, Perceptual, lab, too_small
 from driftlake.operators.similarity import C1, C2, GMS_C, taps
+from driftlake.sources.scratch import kept
 
 SIZE = 512  # pixels of a tile's side, rounded up to a multiple of what the operator shrinks by
 Plan = Callable[[int, int], tuple[int, int]]  # of width and height: what tiles begin at multiples of, and their border
@@ -410,6 +411,8 @@ def perceptual_ssim(bands: DataFrame, options: Perceptual = Perceptual(), size:
 
     fields = "scale int, channel int, n long, ssim double, structure double"
     tiles = cut(bands, _scales_plan(scales, options.chroma_halvings), size, key)
+    if options.deviation_weight is not None:
+        tiles = kept(tiles)  # measured twice, cut once
     mean = lambda c: (F.sum(c) / F.sum("n")).alias(c)
     per = measured(tiles, each, fields, key).groupBy(key, "scale", "channel").agg(mean("ssim"), mean("structure"))
     if options.deviation_weight is not None:
