@@ -26,6 +26,11 @@ def encode(values: np.ndarray) -> bytes:
     return head.tobytes() + np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, :low]).tobytes() + np.packbits(bits, bitorder="little").tobytes()
 
 
+def length(buffer) -> int:
+    """How many values an encoded sequence has."""
+    return int(np.frombuffer(buffer, np.uint64, 1)[0])
+
+
 def decode(buffer) -> tuple[np.ndarray, int]:
     """The values, and how many bytes of the buffer they took."""
     n, low, first, bits = (int(x) for x in np.frombuffer(buffer, np.uint64, HEAD))

@@ -19,7 +19,7 @@ if they are long enough; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from driftlake.llm import batches, eliasfano, kernels
 
 WINDOW = 35
+PIECE = 1 << 17  # phrases of a shard that are sorted at a time
+STEP = 1 << 16  # words that are copied at a time
 
 
 class Phrases(NamedTuple):
@@ -70,33 +72,54 @@ def ask(window: int, shards: int):
 
 
 def answer(numbers: list[int], messages: list) -> list[bytes]:
-    """For each block's phrases of this shard: does another block have it, and which place of another block comes first?"""
-    asked = []
-    for m in messages:
-        high, low, first = batches.unpack(m, bytes, np.uint32, np.uint32)
-        asked.append((eliasfano.decode(high)[0] << np.uint64(8), low, first))
-    high, low, first = (np.concatenate([a[i] for a in asked]) for i in range(3))
-    sizes = [len(a[0]) for a in asked]
-    block = np.repeat(np.array(numbers, np.int64), sizes)
-    order = np.lexsort((block, low, high))
-    h, k = high[order], low[order]
-    head = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
-    at = np.flatnonzero(head)
-    many = np.append(at[1:], len(h)) - at > 1  # a block asks for a phrase once, so these are different blocks
-    lead = np.repeat(at, np.append(at[1:], len(h)) - at)
-    source = np.empty(len(h), np.int64)
-    source[order] = order[np.where(head, np.minimum(lead + 1, len(h) - 1), lead)]  # the first asks for the second, others for the first
-    found = np.empty(len(h), bool)
-    found[order] = np.repeat(many, np.append(at[1:], len(h)) - at)
-    replies, begin = [], 0
-    for n in sizes:
-        has = found[begin : begin + n]
-        of = source[begin : begin + n][has]
-        replies.append(batches.pack(np.packbits(has), block[of], first[of]))
-        begin += n
+    """For each block's phrases of this shard: does another block have it, and which place of another block comes first?
+
+    Questions are in the order of hashes, so the shard is gone through by ranges of hashes, and only a range's phrases are sorted at a time."""
+    sizes = [eliasfano.length(batches.unpack(m, bytes)[0]) for m in messages]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begins, n = ends - sizes, sum(sizes)
+    high, low, first = np.empty(n, np.uint64), np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for a, b, m in zip(begins, ends, messages):
+        hashes, low[a:b], first[a:b] = batches.unpack(m, bytes, np.uint32, np.uint32)
+        high[a:b] = eliasfano.decode(hashes)[0] << np.uint64(8)
+    found, who, place = np.zeros(n, bool), np.empty(n, np.uint32), np.empty(n, np.uint32)  # who, place: only where found
+    number = np.array(numbers, np.int64)
+    for piece in _ranges(high, begins, ends):
+        h, k = high[piece], low[piece]
+        asks = np.searchsorted(ends, piece, "right")
+        order = np.lexsort((number[asks], k, h))
+        h, k = h[order], k[order]
+        head = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
+        at = np.flatnonzero(head)
+        times = np.diff(at, append=len(h))
+        hit = np.flatnonzero(np.repeat(times > 1, times))  # a block asks for a phrase once, so these are different blocks
+        lead = np.repeat(at, times)[hit]
+        source = order[np.where(head[hit], lead + 1, lead)]  # the first asks for the second, others for the first
+        to = piece[order[hit]]
+        found[to], who[to], place[to] = True, asks[source], first[piece[source]]
+    replies = []
+    for a, b in zip(begins, ends):
+        has = found[a:b]
+        replies.append(batches.pack(np.packbits(has), number[who[a:b][has]], place[a:b][has]))
     return replies
 
 
+def _ranges(high: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of about PIECE hashes after each other, equal ones together; high[a:b] is in order for each of begins and ends."""
+    if not len(high):
+        return
+    least, most = int(high.min()), int(high.max())
+    parts = -(-len(high) // PIECE)
+    at = begins.copy()
+    for i in range(1, parts + 1):
+        cut = np.uint64(least + (most - least) * i // parts)
+        to = ends if i == parts else np.array([a + np.searchsorted(high[a:b], cut) for a, b in zip(at, ends)], np.int64)
+        sizes = to - at
+        if sizes.any():
+            yield np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        at = to
+
+
 class Factors(NamedTuple):
     begin: np.ndarray  # word at which each factor begins
     end: np.ndarray  # the word after its last
@@ -138,15 +161,18 @@ def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def finish(window: int, shards: int, texts_too: bool, factors_too: bool = False):
     def run(number: int, docs: pa.Table, replies: list) -> pa.Table:
         p = phrases(docs.column("text"), window)
-        w, data = p.words, p.data
         found = parse(number, p, replies, shards, window)
+        w, data = p.words, p.data
+        del p
         keep = ~_covered(len(w.starts), found.begin, found.end)
         s, e = w.starts[keep], w.ends[keep]
         sizes = e - s + 1
         place = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.repeat(s - place[:-1], sizes) + np.arange(int(place[-1]))
-        joined = data[np.minimum(flat, max(0, len(data) - 1))] if len(flat) else np.zeros(0, np.uint8)
-        joined = np.array(joined)
+        joined = np.empty(int(place[-1]), np.uint8)
+        for i in range(0, len(s), STEP):
+            size, at = sizes[i : i + STEP], place[i : i + STEP + 1]
+            flat = np.repeat(s[i : i + STEP] - at[:-1], size) + np.arange(at[0], at[-1])
+            joined[at[0] : at[-1]] = data[np.minimum(flat, len(data) - 1)]
         joined[place[1:] - 1] = 0x20
         left = np.concatenate(([0], np.cumsum(keep)))[w.first]  # kept words before each document
         n = np.diff(w.first)

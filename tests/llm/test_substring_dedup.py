@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from driftlake.llm import batches, eliasfano, substring_dedup
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +142,63 @@ def test_elias_fano_is_searched_in_place(values, shift, others):
     assert [(-1 if i < 0 else int(v[i])) for i in at] == [(int(x) if x in v else -1) for x in asked]
     half = s.search(v, np.full(len(v), len(v) // 2), np.full(len(v), len(v)))
     assert all((i >= len(v) // 2) == (x in v[len(v) // 2 :]) for i, x in zip(half, v))
+
+
+def asked_by(rng, blocks, each, pool):
+    """Questions of `each` phrases from each block, drawn from a pool of hashes; high hashes of few values meet by low ones."""
+    out = []
+    for _ in range(blocks):
+        i = np.sort(rng.choice(len(pool), each, replace=False))
+        high, low = pool["high"][i] >> np.uint64(8), pool["low"][i]
+        out.append(batches.pack(eliasfano.encode(high), low, np.arange(each, dtype=np.uint32)))
+    return out
+
+
+def pool_of(rng, n, values):
+    pool = np.empty(n, [("high", np.uint64), ("low", np.uint32)])
+    pool["high"], pool["low"] = rng.integers(0, values, n, dtype=np.uint64) << np.uint64(8), rng.permutation(n)
+    return np.sort(pool, order=["high", "low"])
+
+
+def test_a_shard_is_answered_range_by_range(monkeypatch):
+    rng = np.random.default_rng(4)
+    for values in (1, 5, 2**56):
+        pool = pool_of(rng, 900, values)
+        numbers, messages = [7 << 32, 3, 1 << 40, 12, 5], asked_by(rng, 5, 200, pool)
+        places = {}
+        for b, m in zip(numbers, messages):
+            high, low, first = batches.unpack(m, bytes, np.uint32, np.uint32)
+            for key in zip(eliasfano.decode(high)[0].tolist(), low.tolist(), first.tolist()):
+                places.setdefault(key[:2], []).append((b, key[2]))
+        for piece in (1, 64, 1 << 20):
+            monkeypatch.setattr(substring_dedup, "PIECE", piece)
+            for b, m, reply in zip(numbers, messages, substring_dedup.answer(numbers, messages)):
+                high, low, first = batches.unpack(m, bytes, np.uint32, np.uint32)
+                others = [min(x for x in places[key] if x[0] != b) if len(places[key]) > 1 else None for key in zip(eliasfano.decode(high)[0].tolist(), low.tolist())]
+                bits, block, place = batches.unpack(reply, np.uint8, np.int64, np.uint32)
+                assert np.unpackbits(bits, count=len(low)).tolist() == [x is not None for x in others]
+                assert list(zip(block.tolist(), place.tolist())) == [x for x in others if x is not None]
+
+
+def traced(f):
+    tracemalloc.start()
+    f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_a_shard_takes_little_more_than_its_phrases():
+    rng = np.random.default_rng(5)
+    messages = asked_by(rng, 60, 20_000, pool_of(rng, 100_000, 2**56))
+    peak = traced(lambda: substring_dedup.answer(list(range(60)), messages))
+    assert peak < 60 * 20_000 * 60  # 94 bytes a phrase when all were sorted at once, 34 by ranges
+
+
+def test_kept_words_are_copied_in_steps():
+    texts = pa.array([" ".join(f"w{i}x{d}" for i in range(5000)) for d in range(100)])
+    docs = pa.table({"id": pa.array(range(100)), "text": texts})
+    asked = substring_dedup.ask(35, 1)(docs)
+    replies = substring_dedup.answer([0], [asked[0][1]])
+    peak = traced(lambda: substring_dedup.finish(35, 1, True)(0, docs, replies))
+    assert peak < 20 * texts.nbytes  # 29 when all bytes were copied at once, 14 in steps
