@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlake.llm import kernels
 from driftlake.llm.tables import parts
 
 BATCH_BYTES = 4 << 20  # of text in a batch; a longer text is a batch of its own
@@ -72,8 +73,6 @@ def packed(docs: DataFrame, id_col: str, text_col: str, others: Sequence[str] =
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from driftlake.llm import kernels
-
         part, seq = TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=6)
         waiting: list[pa.RecordBatch] = []
@@ -101,7 +100,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, others: Sequence[str] =
         if waiting:
             yield one()
 
-    return src.mapInArrow(run, "batch long, payload binary").repartition(parts(docs.sparkSession), "batch")
+    return src.mapInArrow(kernels.tidy(run), "batch long, payload binary").repartition(parts(docs.sparkSession), "batch")
 
 
 def unpacked(payload) -> pa.Table:
@@ -193,9 +192,11 @@ def exchange(
         messages = [x.as_buffer() for x in t.column("message")]
         if near:
             got = answer(t.column("batch").to_pylist(), messages)
+            kernels.give_back()
             return pa.table({"batch": t.column("batch"), "place": t.column("place"), "message": pa.array(got, pa.binary())})
         pairs = [_unframed(m) for m in messages]
         got = iter(answer([n for some in pairs for n, _ in some], [q for some in pairs for _, q in some]))
+        kernels.give_back()
         back = [_framed([(n, next(got)) for n, _ in some]) for some in pairs]
         return pa.table({"place": t.column("place"), "bundle": t.column("bundle"), "shard": t.column("shard"), "message": pa.array(back, pa.binary())})
 
@@ -213,10 +214,12 @@ def exchange(
         got = [reply.column("message")[i].as_buffer() for _, i in order]
         if not near:
             got = [r for m in got for _, r in _unframed(m)]
-        return finish(batch.column("batch")[0].as_py(), unpacked(batch.column("payload")[0].as_buffer()), got)
+        done = finish(batch.column("batch")[0].as_py(), unpacked(batch.column("payload")[0].as_buffer()), got)
+        kernels.give_back()
+        return done
 
     bundles = 1 if near else max(1, -(-batches.count() // BUNDLE))
-    asked = batches.mapInArrow(questions, "place long, bundle long, batch long, message binary")
+    asked = batches.mapInArrow(kernels.tidy(questions), "place long, bundle long, batch long, message binary")
     answered = "batch long, place long, message binary"
     if near:
         replied = asked.groupBy("place").applyInArrow(replies, answered)

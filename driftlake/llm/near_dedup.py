@@ -42,12 +42,18 @@ PER_CENT = 75
 MARGIN = 0.19  # five standard deviations of an estimate at 0.75 from 128 registers
 BLOCK = 512  # members of a band whose registers are compared at a time
 SET_BLOCK = 256  # members of a family whose full sets are
+FILE_ROWS = 4096  # documents for each file of a scratch table
 BROADCAST_IDS = 200_000  # ids of 16 bytes at most on average; beyond it texts are fetched by a shuffle
 
 _SEEDS = kernels.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = kernels.mix(_SEEDS) | np.uint64(1)
 
 
+def _files(docs: DataFrame) -> int:
+    """The most files of a scratch table: they grow with docs, not with the session's partitions."""
+    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // FILE_ROWS))
+
+
 def shingle_sets(values: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = kernels.column(values)
@@ -118,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), *name, lists], names=["id", "md5", "n", "h1", "h2", "keys"])
 
     src = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("md5"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, md5 binary, n long, h1 long, h2 long, keys array<long>")
+    return src.mapInArrow(kernels.tidy(run), f"id {src.schema['id'].dataType.simpleString()}, md5 binary, n long, h1 long, h2 long, keys array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,7 +144,7 @@ def _estimated(stars: DataFrame, verts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c["vid"], c["lead"], pa.array(est)], names=["vid", "lead", "est"])
 
     joined = stars.join(verts.select("vid", "n", "keys"), "vid").join(lead, "lead").select("vid", "lead", "n", "nb", "keys", "kb")
-    return joined.mapInArrow(run, "vid long, lead long, est double")
+    return joined.mapInArrow(kernels.tidy(run), "vid long, lead long, est double")
 
 
 def _sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,13 +162,13 @@ def _sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in got], pa.binary())], names=["h1", "h2", "set"])
 
     names = needed.select("vid", "h1", "h2")
-    made = texts.mapInArrow(run, "h1 long, h2 long, set binary")
+    made = texts.mapInArrow(kernels.tidy(run), "h1 long, h2 long, set binary")
     return made.join(F.broadcast(names) if few else names, ["h1", "h2"]).select("vid", "set").dropDuplicates(["vid"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str, text_col: str, per_cent: int, files: int | None = None) -> DataFrame:
     """The pairs (vid, lead) whose full sets are similar enough."""
-    needed = kept(pairs.select("vid").union(pairs.select("lead")).distinct().join(verts.select("vid", "id", "h1", "h2"), "vid"))
+    needed = kept(pairs.select("vid").union(pairs.select("lead")).distinct().join(verts.select("vid", "id", "h1", "h2"), "vid"), files)
     full = _sets(needed, docs, id_col, text_col)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,30 +181,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str,
             yield x.select(["vid", "lead"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(full.withColumnRenamed("set", "sa"), "vid").join(full.select(F.col("vid").alias("lead"), F.col("set").alias("sb")), "lead")
-    return kept(joined.select("vid", "lead", "sa", "sb").mapInArrow(check, "vid long, lead long"))
+    return kept(joined.select("vid", "lead", "sa", "sb").mapInArrow(kernels.tidy(check), "vid long, lead long"), files)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(vid, comp): the least vertex reachable over edges (a, b), for the vertices that have edges.
 
     Least labels go to neighbours and then jump along labels, so the number of rounds grows with the logarithm of a path."""
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), files)
     labels = both.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("m")).select("vid", F.least("vid", "m").alias("comp"))
     while True:
         near = both.join(labels.select(F.col("vid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("vid")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "vid").select("vid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         up = labels.select(F.col("vid").alias("comp"), F.col("comp").alias("above"))
-        new = kept(step.join(up, "comp").select("vid", F.least("comp", "above").alias("comp"), "old"))
+        new = kept(step.join(up, "comp").select("vid", F.least("comp", "above").alias("comp"), "old"), files)
         if new.filter("comp <> old").isEmpty():
             return new.select("vid", "comp")
         labels = new.select("vid", "comp")
 
 
-def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, group: str, block: int, files: int | None = None) -> DataFrame:
     """rows (group, vid, part) once for each pair of blocks in which they are compared: (group, lo, hi, vid, part, c), where c is
     the row's own block.  A group's largest part has blocks of its own (numbered from -1 down), which never meet each other;
     groups of one part have none."""
-    sizes = kept(rows.groupBy(group, "part").agg(F.count("*").alias("size")))
+    sizes = kept(rows.groupBy(group, "part").agg(F.count("*").alias("size")), files)
     per = sizes.groupBy(group).agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts"))
     per = per.filter("parts > 1").select(group, F.col("top.part").alias("major"), F.ceil(F.col("top.size") / block).alias("n_major"), F.ceil((F.col("all") - F.col("top.size")) / block).alias("n_minor"))
     rows = rows.join(per, group)
@@ -226,10 +232,10 @@ def _links(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _weak_links(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFrame:
+def _weak_links(open_bands: DataFrame, verts: DataFrame, least: float, files: int | None = None) -> DataFrame:
     """Links (a, b) that join what is estimated at `least` or more within a band (bucket, vid, part): as few as join the same
     parts."""
-    rows = _blocks(open_bands, "bucket", BLOCK).join(verts.select("vid", "n", "keys"), "vid")
+    rows = _blocks(open_bands, "bucket", BLOCK, files).join(verts.select("vid", "n", "keys"), "vid")
 
     def compare(t: pa.Table) -> pa.Table:
         vid, part, n, c = (t.column(x).to_numpy() for x in ("vid", "part", "n", "c"))
@@ -244,7 +250,7 @@ def _weak_links(open_bands: DataFrame, verts: DataFrame, least: float) -> DataFr
                 links += _joined(label, vid, i, others[est >= least])
         return _links(links)
 
-    return kept(rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct())
+    return kept(rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct(), files)
 
 
 def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
@@ -252,21 +258,21 @@ def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
     return labels.join(joined.select(F.col("vid").alias("comp"), F.col("comp").alias("under")), "comp", "left").select("vid", F.coalesce("under", "comp").alias("comp"))
 
 
-def _families(near: DataFrame) -> DataFrame:
+def _families(near: DataFrame, files: int | None = None) -> DataFrame:
     """(vid, comp): components of the pairs (vid, lead).  Links of every vertex with its least lead come first; of the other pairs only those count
     that these leave apart, as pairs of components."""
-    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")))
+    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")), files)
     of_lead = families.select(F.col("vid").alias("lead"), F.col("comp").alias("b"))
     apart = near.join(families, "vid").join(of_lead, "lead", "left").select(F.col("comp").alias("a"), F.coalesce("b", "lead").alias("b"))
-    apart = kept(apart.filter("a <> b").distinct())
+    apart = kept(apart.filter("a <> b").distinct(), files)
     if apart.isEmpty():
         return families
-    joined = components(apart)
+    joined = components(apart, files)
     alone = joined.join(families.select("vid"), "vid", "left_anti")  # leads that are nobody's least
     return _relabelled(families, joined).union(alone.select("vid", "comp"))
 
 
-def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int, files: int | None = None) -> DataFrame:
     """Of members (family, vid, part) those that may be similar enough to another one, for all that is known of each alone.
 
     A shingle that no other member has is in no intersection.  So a set of n shingles, c of them shared, meets p per cent with a set of m only if
@@ -282,9 +288,9 @@ def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(to)), b.column(1).take(pa.array(to)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["family", "vid", "shingle"])
 
     full = rows.join(sets, "vid").select("family", "vid", "part", "set")
-    each = full.select("family", "vid", "set").mapInArrow(shingles, "family long, vid long, shingle long")
+    each = full.select("family", "vid", "set").mapInArrow(kernels.tidy(shingles), "family long, vid long, shingle long")
     alone = each.groupBy("family", "shingle").agg(F.count("*").alias("k"), F.min("vid").alias("vid")).filter("k = 1").groupBy("vid").agg(F.count("*").alias("alone"))
-    sized = kept(full.select("family", "vid", "part", F.expr("octet_length(set) div 8").alias("n")).join(alone, "vid", "left"))
+    sized = kept(full.select("family", "vid", "part", F.expr("octet_length(set) div 8").alias("n")).join(alone, "vid", "left"), files)
     sizes = sized.groupBy("family").agg(F.collect_set("n").alias("sizes"))  # distinct sizes, not members
     n, p = F.col("n"), per_cent
     most = F.lit(100 + p) * (n - F.coalesce("alone", F.lit(0))) - n * p
@@ -292,10 +298,10 @@ def _hopeful(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return sized.join(sizes, "family").filter(meets).select("family", "vid", "part")
 
 
-def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int, files: int | None = None) -> DataFrame:
     """Links (a, b) that join the members of a family (family, vid, part) whose full sets are similar enough, again as
     few as join the same parts.  Sets meet as rows of a 0/1 matrix, whose products are the sizes of intersections."""
-    rows = _blocks(families, "family", SET_BLOCK).join(sets, "vid")
+    rows = _blocks(families, "family", SET_BLOCK, files).join(sets, "vid")
 
     def compare(t: pa.Table) -> pa.Table:
         vid, part, c = (t.column(x).to_numpy() for x in ("vid", "part", "c"))
@@ -324,40 +330,40 @@ def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
             links += _joined(label, vid, i, others[label[others] != label[i]])
         return _links(links)
 
-    return kept(rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    return kept(rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long"), files)
 
 
-def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> DataFrame:
+def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int, files: int) -> DataFrame:
     """(id, md5, n, h1, component, least): for every row, its component's number (a vertex, null without words) and least id."""
     least = per_cent / 100 - MARGIN
-    sig = kept(signatures(docs, id_col, text_col))
+    sig = kept(signatures(docs, id_col, text_col), files)
     named = sig.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    verts = kept(named.withColumn("vid", F.monotonically_increasing_id()))  # written before it is used, so numbers stay
+    verts = kept(named.withColumn("vid", F.monotonically_increasing_id()), files)  # written before it is used, so numbers stay
     bands = verts.select("vid", F.posexplode("keys").alias("band", "key")).select("vid", F.xxhash64("band", "key").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("vid").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    members = kept(bands.join(shared, "bucket"))
+    members = kept(bands.join(shared, "bucket"), files)
 
     stars = members.filter("lead <> vid").groupBy("vid", "lead").agg(F.max("size").alias("size"))
-    scored = kept(_estimated(stars.select("vid", "lead"), verts))
+    scored = kept(_estimated(stars.select("vid", "lead"), verts), files)
     best = scored.filter(F.col("est") >= least).groupBy("vid").agg(F.max(F.struct("est", F.col("lead").alias("lead"))).alias("top")).select("vid", F.col("top.lead").alias("lead"))
-    sure = _verified(kept(best), docs, verts, id_col, text_col, per_cent)
+    sure = _verified(kept(best, files), docs, verts, id_col, text_col, per_cent, files)
     links = sure.select(F.col("lead").alias("a"), F.col("vid").alias("b"))
     near = scored.filter(F.col("est") >= least)
-    families = _families(near.select("vid", "lead"))
+    families = _families(near.select("vid", "lead"), files)
 
     part = families.withColumnRenamed("comp", "part")
     of_lead = part.select(F.col("vid").alias("lead"), F.col("part").alias("lead_part"))
     apart = scored.filter(F.col("est") < least).select("vid", "lead").join(part, "vid", "left").join(of_lead, "lead", "left")
     apart = apart.filter(F.coalesce("part", "vid") != F.coalesce("lead_part", "lead")).select("vid", "lead")
     still = members.filter("size > 2").join(apart, ["vid", "lead"]).select("bucket").distinct()  # of two members the pair is known
-    rows = kept(members.select("bucket", "vid").join(still, "bucket", "left_semi").join(part, "vid", "left").select("bucket", "vid", F.coalesce("part", "vid").alias("part")))
+    rows = kept(members.select("bucket", "vid").join(still, "bucket", "left_semi").join(part, "vid", "left").select("bucket", "vid", F.coalesce("part", "vid").alias("part")), files)
     if not rows.isEmpty():
-        more = _weak_links(rows, verts, least)
+        more = _weak_links(rows, verts, least, files)
         if not more.isEmpty():
             # only families that are joined get new numbers
             of = rows.select("vid", F.col("part").alias("family")).distinct()
             ends = more.join(of.withColumnsRenamed({"vid": "a", "family": "x"}), "a").join(of.withColumnsRenamed({"vid": "b", "family": "y"}), "b")
-            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), files)
             families = families.union(rows.select("vid", "part").distinct().join(families.select("vid"), "vid", "left_anti").select("vid", F.col("part").alias("comp")))
             families = _relabelled(families, joined)
 
@@ -366,14 +372,14 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> Da
     two = up.join(up.select(F.col("vid").alias("lead"), F.col("lead").alias("above")), "lead", "left").select("vid", F.coalesce("above", "lead").alias("part"))
     rows = families.select("vid", F.col("comp").alias("family")).join(two, "vid", "left").select("family", "vid", F.coalesce("part", "vid").alias("part"))
     mixed = rows.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("family")
-    rows = kept(rows.join(mixed, "family", "left_semi").join(verts.select("vid", "id", "h1", "h2"), "vid"))
+    rows = kept(rows.join(mixed, "family", "left_semi").join(verts.select("vid", "id", "h1", "h2"), "vid"), files)
     if not rows.isEmpty():
-        sets = kept(_sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col))
-        links = links.union(_exact_links(_hopeful(rows.select("family", "vid", "part"), sets, per_cent), sets, per_cent))
+        sets = kept(_sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col), files)
+        links = links.union(_exact_links(_hopeful(rows.select("family", "vid", "part"), sets, per_cent, files), sets, per_cent, files))
 
-    found = components(links).join(verts.select("vid", "id"), "vid")
+    found = components(links, files).join(verts.select("vid", "id"), "vid")
     least_id = found.groupBy("comp").agg(F.min("id").alias("least"))
-    found = kept(found.select("vid", "comp").join(least_id, "comp"))
+    found = kept(found.select("vid", "comp").join(least_id, "comp"), files)
     of = verts.select("vid", "h1", "h2", "id").join(found, "vid", "left").select("h1", "h2", F.coalesce("comp", "vid").alias("component"), F.coalesce("least", "id").alias("least"))
     return sig.drop("keys").join(of, ["h1", "h2"], "left").select("id", "md5", "n", "component", "least")
 
@@ -381,17 +387,18 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
     """For every row: id_col, n_shingles, component_id, kept (the row has its component's least id)."""
     component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least"))
-    return _clustered(docs, id_col, text_col, per_cent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return _clustered(docs, id_col, text_col, per_cent, _files(docs)).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
     """One row of each component of docs, and all rows without words.  A row is known by its id and text: of a component the
     row with the least id (null ids last) stays, with ties the one whose text has the least MD5, and of rows equal in both
     any one."""
-    rows = kept(_clustered(docs, id_col, text_col, per_cent).filter("component IS NOT NULL").groupBy("component", "id", "md5").agg(F.count("*").alias("rows")))
+    files = _files(docs)
+    rows = kept(_clustered(docs, id_col, text_col, per_cent, files).filter("component IS NOT NULL").groupBy("component", "id", "md5").agg(F.count("*").alias("rows")), files)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("md5").alias("md5"))
     first = rows.groupBy("component").agg(F.min(order).alias("top"), F.sum("rows").alias("all")).filter("all > 1").select("component", "top")
-    judged = kept(rows.join(first, "component").select(F.col("id").alias("_near_id"), F.col("md5").alias("_near_md5"), (F.col("id").eqNullSafe(F.col("top.id")) & F.col("md5").eqNullSafe(F.col("top.md5"))).alias("_near_stays"), F.col("rows").alias("_near_rows")))
+    judged = kept(rows.join(first, "component").select(F.col("id").alias("_near_id"), F.col("md5").alias("_near_md5"), (F.col("id").eqNullSafe(F.col("top.id")) & F.col("md5").eqNullSafe(F.col("top.md5"))).alias("_near_stays"), F.col("rows").alias("_near_rows")), files)
     gone = judged.filter("NOT _near_stays").select("_near_id", "_near_md5")
     again = judged.filter("_near_stays AND _near_rows > 1").select("_near_id", "_near_md5")
 

@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlake.llm import kernels
+
 MARK = "▁"
 NONE = np.int64(1 << 40)
-CACHE = 300_000  # units whose ids a worker remembers; it then starts anew, so memory is bounded
+CACHE = 100_000  # units of a generation; a worker remembers two of these, so memory is bounded
 
 
 class Bpe:
@@ -208,22 +210,44 @@ def model(model_file: str) -> Bpe:
     return _models[model_file]
 
 
-def _encoded(texts: pa.Array, model_file: str, cache: dict[str, tuple[str, int, str]]) -> Iterator[tuple[int, str, str]]:
+class Cache:
+    """Units' ids joined by commas.  A full generation becomes the old one, and its units that are met again move to the young one: frequent
+    units stay, and rare ones don't fill a worker's memory.  Only texts that differ from their unit's are held."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded texts other than the unit with spaces for marks
+
+    def fill(self, bpe: Bpe, units: set[str]) -> dict[str, str]:
+        """The ids of all of units, and of some others, by unit."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+            self.odd = {u: t for u, t in self.odd.items() if u in self.old}
+        lacking = units.difference(self.young)
+        again = lacking.intersection(self.old)
+        self.young.update((u, self.old[u]) for u in again)
+        new = list(lacking - again)
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            for u, ids in zip(some, bpe.encode_units(some)):
+                self.young[u] = ",".join(map(str, ids))
+                text = bpe.unit_text(ids)
+                if text != u.replace(MARK, " "):
+                    self.odd[u] = text
+        return self.young
+
+
+def _encoded(texts: pa.Array, model_file: str, cache: Cache) -> Iterator[tuple[int, str, str]]:
     """For each text: number of ids, the ids joined by commas, the decoded text."""
     bpe = model(model_file)
     for at in range(0, len(texts), 256):
         units = [bpe.units(t.as_py() or "") for t in texts.slice(at, 256)]
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({u for us in units for u in us if u not in cache})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for u, ids in zip(some, bpe.encode_units(some)):
-                cache[u] = (",".join(map(str, ids)), len(ids), bpe.unit_text(ids))
+        known = cache.fill(bpe, {u for us in units for u in us})
         for us in units:
-            got = [cache[u] for u in us]
-            text = "".join([g[2] for g in got])
-            yield sum([g[1] for g in got]), ",".join([g[0] for g in got]), text[1:] if bpe.prefix and text[:1] == " " else text
+            joined = ",".join([known[u] for u in us])
+            text = "".join([cache.odd[u] if u in cache.odd else u.replace(MARK, " ") for u in us]) if cache.odd else "".join(us).replace(MARK, " ")
+            yield joined.count(",") + 1 if us else 0, joined, text[1:] if bpe.prefix and text[:1] == " " else text
 
 
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, others: Sequence[str] = ()) -> DataFrame:
@@ -235,7 +259,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[str, int, str]] = {}
+        cache = Cache()
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -254,5 +278,5 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     kind = {f.name: f.dataType.simpleString() for f in src.schema}
     schema = ", ".join([f"_id {kind['_id']}", *[f"_o{i} {kind[f'_o{i}']}" for i in range(len(others))], "n_tokens long, ids_sha256 string, decoded_sha256 string"])
-    out = src.mapInArrow(run, schema + (", ids array<int>, decoded string" if ids else ""))
+    out = src.mapInArrow(kernels.tidy(run), schema + (", ids array<int>, decoded string" if ids else ""))
     return out.withColumnsRenamed({"_id": id_col, **{f"_o{i}": c for i, c in enumerate(others)}})
