@@ -25,6 +25,7 @@ four words are one shingle; equal rows are linked; a component's id is its least
 from __future__ import annotations
 
 import hashlib
+from contextvars import ContextVar
 from typing import Iterator
 
 import numpy as np
@@ -49,6 +50,9 @@ _SEEDS = kernels.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x
 _ODD = kernels.mix(_SEEDS) | np.uint64(1)
 
 
+_most_files: ContextVar[int | None] = ContextVar("most_files", default=None)  # of the tables that components() writes
+
+
 def _files(docs: DataFrame) -> int:
     """The most files of a scratch table: they grow with docs, not with the session's partitions."""
     return max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // FILE_ROWS))
@@ -184,10 +188,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, verts: DataFrame, id_col: str,
     return kept(joined.select("vid", "lead", "sa", "sb").mapInArrow(kernels.tidy(check), "vid long, lead long"), files)
 
 
-def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(vid, comp): the least vertex reachable over edges (a, b), for the vertices that have edges.
 
     Least labels go to neighbours and then jump along labels, so the number of rounds grows with the logarithm of a path."""
+    files = _most_files.get()
     both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), files)
     labels = both.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("m")).select("vid", F.least("vid", "m").alias("comp"))
     while True:
@@ -261,13 +266,13 @@ def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
 def _families(near: DataFrame, files: int | None = None) -> DataFrame:
     """(vid, comp): components of the pairs (vid, lead).  Links of every vertex with its least lead come first; of the other pairs only those count
     that these leave apart, as pairs of components."""
-    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")), files)
+    families = components(near.groupBy("vid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("vid").alias("b")))
     of_lead = families.select(F.col("vid").alias("lead"), F.col("comp").alias("b"))
     apart = near.join(families, "vid").join(of_lead, "lead", "left").select(F.col("comp").alias("a"), F.coalesce("b", "lead").alias("b"))
     apart = kept(apart.filter("a <> b").distinct(), files)
     if apart.isEmpty():
         return families
-    joined = components(apart, files)
+    joined = components(apart)
     alone = joined.join(families.select("vid"), "vid", "left_anti")  # leads that are nobody's least
     return _relabelled(families, joined).union(alone.select("vid", "comp"))
 
@@ -334,7 +339,15 @@ def _exact_links(families: DataFrame, sets: DataFrame, per_cent: int, files: int
 
 
 def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int, files: int) -> DataFrame:
-    """(id, md5, n, h1, component, least): for every row, its component's number (a vertex, null without words) and least id."""
+    """(id, md5, n, component, least): for every row, its component's number (a vertex, null without words) and least id."""
+    before = _most_files.set(files)
+    try:
+        return _cluster(docs, id_col, text_col, per_cent, files)
+    finally:
+        _most_files.reset(before)
+
+
+def _cluster(docs: DataFrame, id_col: str, text_col: str, per_cent: int, files: int) -> DataFrame:
     least = per_cent / 100 - MARGIN
     sig = kept(signatures(docs, id_col, text_col), files)
     named = sig.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -363,7 +376,7 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int, files
             # only families that are joined get new numbers
             of = rows.select("vid", F.col("part").alias("family")).distinct()
             ends = more.join(of.withColumnsRenamed({"vid": "a", "family": "x"}), "a").join(of.withColumnsRenamed({"vid": "b", "family": "y"}), "b")
-            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), files)
+            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
             families = families.union(rows.select("vid", "part").distinct().join(families.select("vid"), "vid", "left_anti").select("vid", F.col("part").alias("comp")))
             families = _relabelled(families, joined)
 
@@ -377,7 +390,7 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str, per_cent: int, files
         sets = kept(_sets(rows.select("vid", "id", "h1", "h2"), docs, id_col, text_col), files)
         links = links.union(_exact_links(_hopeful(rows.select("family", "vid", "part"), sets, per_cent, files), sets, per_cent, files))
 
-    found = components(links, files).join(verts.select("vid", "id"), "vid")
+    found = components(links).join(verts.select("vid", "id"), "vid")
     least_id = found.groupBy("comp").agg(F.min("id").alias("least"))
     found = kept(found.select("vid", "comp").join(least_id, "comp"), files)
     of = verts.select("vid", "h1", "h2", "id").join(found, "vid", "left").select("h1", "h2", F.coalesce("comp", "vid").alias("component"), F.coalesce("least", "id").alias("least"))
